@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import simhash, substring
+from tidemark.llm import bpe, chat, ctw, neighbours, packing, quality, simhash, substring, suffixes, vectors
 from tidemark.llm.common import session
 
 
@@ -16,10 +18,72 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_examples(turns.unionByName(own)))
+
+
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.where("kept").select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "kept")
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op10_substring)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_packing, op3_embedding_dedup, op4_bpe, op5_chat, op6_language_model, op7_quality, op8_neighbours,
+        op9_suffixes, op10_substring,
+    )
+}
+
+_UNITS = """
+  WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+  ok AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, c -> c * c))) AS norm FROM v
+         WHERE x IS NOT NULL AND len(list_filter(x, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, c -> c <> 0)) > 0)
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+#: Only what plain SQL can state over whole tables; the other queries are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op10_substring": r"""
+      WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+      pos AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+      first AS (SELECT win, min(doc_id) AS least FROM pos GROUP BY win),
+      bad AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS at FROM pos JOIN first USING (win) WHERE least < doc_id),
+      gone AS (SELECT doc_id, list(at) AS ats FROM bad GROUP BY doc_id),
+      kept AS (SELECT doc_id, len(ws) AS n, len(coalesce(ats, [])) AS cut,
+                      list_filter(list_transform(range(1, len(ws) + 1), i -> CASE WHEN list_contains(coalesce(ats, []), i) THEN NULL ELSE ws[i] END), x -> x IS NOT NULL) AS k
+               FROM w LEFT JOIN gone USING (doc_id))
+      SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(cut AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+    """,
+}
