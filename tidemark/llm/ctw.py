@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.llm.common import buckets_for, settled
 from tidemark.llm.exchange import ROWS_PER_BUCKET, Lookup, bucketed, cuts, in_order
@@ -92,7 +93,7 @@ def _log_gamma(z: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - low
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _log_kt(zeros: pd.Series, ones: pd.Series) -> pd.Series:
     """ln of the Krichevsky-Trofimov probability of a sequence with these counts."""
     a, b = zeros.to_numpy(float), ones.to_numpy(float)
