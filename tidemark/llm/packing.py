@@ -21,8 +21,8 @@ from tidemark.llm.common import settled
 
 WINDOW = 2048
 END_ID = 1
-#: Encoded words a worker remembers; the memory of the tokenizer, not a limit on the texts.
-CACHE_WORDS = 200_000
+#: Encoded words in each of the two generations a worker remembers; a limit on its memory, not on the texts.
+CACHE_WORDS = 500_000
 
 
 class WordEncoder:
@@ -40,17 +40,23 @@ class WordEncoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def __call__(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8").split()
-        known = self._known
+        if len(self._known) > CACHE_WORDS:  # words in use move to the new generation, others are forgotten with the old
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
         if new := [w for w in set(words) if w not in known]:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, x in zip(part, self._tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
+            unseen = []
+            for w in new:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    unseen.append(w)
+            for at in range(0, len(unseen), 4096):
+                part = unseen[at : at + 4096]
+                for w, x in zip(part, self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                     known[w] = np.array(x.ids, "<u4").tobytes()
         return b"".join(map(known.__getitem__, words))
 
