@@ -24,17 +24,17 @@ def test_random_passages(spark):
         rows.append((d, rng.choice([" ", "\n", "\t "]).join(parts)))
     rng.shuffle(rows)
     for window, anchor in ((13, 5), (13, 13), (6, 2), (3, 1)):
-        check(spark, rows, window=window, anchor=anchor)
+        check(spark, rows, window=window, anchor=anchor, rows_per_bucket=25)
 
 
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    check(spark, [(r.doc_id, r.text) for r in docs.collect()])
+    check(spark, [(r.doc_id, r.text) for r in docs.collect()], rows_per_bucket=70)
 
 
 def test_odd_rows(spark):
     long = " ".join("x%d" % i for i in range(20))
-    rows = [(1, None), (2, ""), (3, long), (4, long), (5, "a " * 30), (6, "a " * 12), (7, "a " * 13), (8, "\x1c\x85 " + long)]
+    rows = [(1, None), (2, ""), (3, long), (4, long), (5, "a " * 30), (6, "a " * 12), (7, "a " * 13), (8, "\x1c\x85 " + long), (9, long), (10, long + " y")]
     check(spark, rows)
     same = spark.createDataFrame([(3, long, "", ""), (3, long + " y", "", ""), (None, long, "", "")], SCHEMA)
     assert sorted(r.n_removed for r in substring.digest(same).collect()) == [0, 0, 0]

@@ -22,12 +22,12 @@ def test_random_passages(spark):
         rows.append((60, "a" * 300))
         rows.append((61, "a" * 200))
         rng.shuffle(rows)
-        check(spark, rows, length=length, rows_per_bucket=9)
+        check(spark, rows, length=length, rows_per_bucket=25)
 
 
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    check(spark, rows, rows_per_bucket=40)
+    check(spark, rows, rows_per_bucket=70)
 
 
 def test_odd_rows(spark):

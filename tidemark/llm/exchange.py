@@ -145,7 +145,9 @@ def shared_anchors(rows: DataFrame, shards: int, find: Callable) -> tuple[DataFr
         shared = key[np.concatenate(bits).astype(bool)]
         out = []
         for h, first, n in found:
-            hit = np.flatnonzero(np.isin(h >> low, shared)) if len(shared) else np.zeros(0, np.int64)
+            short = h >> low
+            place = np.minimum(np.searchsorted(shared, short), max(len(shared) - 1, 0))
+            hit = np.flatnonzero(shared[place] == short) if len(shared) else np.zeros(0, np.int64)
             out.append((h[hit], first[hit], n[hit]))
         return out
 

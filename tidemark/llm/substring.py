@@ -8,8 +8,8 @@ Extension.  Each shared anchor is extended both ways over all the windows it sta
 equal as a whole are matched by one key; only where different stretches share an anchor are the single windows compared.
 A window is a repeat where it also starts in a document with a smaller id, and overlapping repeats join into maximal runs.
 
-Every match is made by grouping on a key with a minimum, never by listing pairs, so a passage in a third of all documents
-costs one row for each place where it stands.
+Every match is made by grouping on a key with a minimum, never by listing pairs, and a bucket of documents sends each
+different stretch once, so a passage in a third of all documents costs a few bytes for each place where it stands.
 """
 
 from __future__ import annotations
@@ -18,169 +18,165 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settled
+from tidemark.llm.common import buckets_for
+from tidemark.llm.exchange import ROWS_PER_BUCKET, covered, cuts, opened, pack, rows_of, shared_anchors, squeezed, unpack
 from tidemark.llm.rolling import Prefix, runs, winnow
 
 WINDOW = 13
 ANCHOR = 5
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
-def _stretches(words: list[bytes], window: int, anchor: int):
-    """Anchor hash, first window and number of windows of each stretch, and a hash for slices by word numbers."""
+def _words(text: bytes):
+    """The words' single-spaced text, and where each word starts and ends in it."""
+    words = text.split()
     length = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(length + 1) - 1
-    start = end - length
-    prefix = Prefix(b" ".join(words))
-    h = prefix.slices(start[: len(words) - anchor + 1], end[anchor - 1 :])
+    return words, b" ".join(words), end - length, end
+
+
+def _stretches(text: bytes, window: int, anchor: int):
+    """Anchor hash, first window and number of windows of each stretch."""
+    words, joined, start, end = _words(text)
+    if len(words) < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = Prefix(joined).slices(start[: len(words) - anchor + 1], end[anchor - 1 :])
     at = winnow(h, window - anchor + 1)
     first, n = runs(at)
-    return h[at[first]], first, n, lambda i, j: prefix.slices(start[i], end[j - 1])
-
-
-def _key(text):
-    """Tells rows apart that share a doc_id."""
-    return F.xxhash64(text)
-
-
-def _seeds(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            ids, seeds = [], []
-            for doc_id, text in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
-                words = _words(text)
-                if len(words) >= window:
-                    found = np.unique(_stretches(words, window, anchor)[0])
-                    ids.append(np.full(len(found), doc_id, np.int64))
-                    seeds.append(found.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(seeds))], ["doc_id", "seed"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, seed long")
-
-
-def _extend(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """The stretches of the shared seeds of each document: their place, the hash of the whole, and of each window."""
-
-    def run(batches):
-        for batch in batches:
-            out = [[], [], [], [], [], []]
-            for doc_id, key, text, wanted in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
-                words = _words(text)
-                if len(words) < window:
-                    continue
-                seed, first, n, slices = _stretches(words, window, anchor)
-                hit = np.isin(seed, np.asarray(wanted.values).view(np.uint64))
-                seed, first, n = seed[hit], first[hit], n[hit]
-                if not len(seed):
-                    continue
-                each = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                out[0].append(np.full(len(seed), doc_id, np.int64))
-                out[1].append(np.full(len(seed), key, np.int64))
-                out[2].append(first)
-                out[3].append(seed.view(np.int64))
-                out[4].append(slices(first, first + n + window - 1).view(np.int64))
-                out[5].append((n, slices(each, each + window).view(np.int64)))
-            if out[0]:
-                ends = np.r_[0, np.cumsum(np.concatenate([n for n, _ in out[5]]))].astype(np.int32)
-                windows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([w for _, w in out[5]])))
-                columns = [pa.array(np.concatenate(x)) for x in out[:5]]
-                yield pa.RecordBatch.from_arrays([*columns, windows], ["doc_id", "key", "at", "seed", "whole", "windows"])
-
-    return docs.select("doc_id", "key", "text", "seeds").mapInArrow(run, "doc_id long, key long, at long, seed long, whole long, windows array<long>")
-
-
-def _repeats(stretches: DataFrame) -> DataFrame:
-    """For every stretch that holds repeats: its place and ``mask``, whose bit i is set if window i is one."""
-    whole = stretches.groupBy("seed", "whole").agg(F.min("doc_id").alias("first"), F.any_value("windows").alias("windows"))
-    whole = settled(whole, "wholes")
-    # only a seed that stands in different stretches can hide a window that is first seen elsewhere
-    mixed = whole.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    single = whole.join(mixed, "seed", "left_semi").select("seed", "whole", "first", F.posexplode("windows").alias("i", "w"))
-    earliest = single.groupBy("seed", "w").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
-    late = single.join(earliest, ["seed", "w"]).where("least < first")
-    masks = late.groupBy("seed", "whole").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("some"))
-    decided = whole.select("seed", "whole", "first").join(masks, ["seed", "whole"], "left")
-    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.size("windows")) - 1
-    hit = stretches.join(decided, ["seed", "whole"])
-    mask = F.when(F.col("doc_id") > F.col("first"), every).otherwise(F.col("some"))
-    return hit.select("doc_id", "key", "at", mask.alias("mask")).where("mask <> 0")
-
-
-def _cut(window: int):
-    @F.pandas_udf("n_words long, n_removed long, kept string")
-    def cut(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, found in zip(text, marks):
-            words = _words(x)
-            gone = np.zeros(len(words) + 1, np.int64)
-            if found is not None and len(found):
-                at = np.array([m["at"] for m in found], np.int64)
-                mask = np.array([m["mask"] for m in found], np.int64)
-                for i in range(int(mask.max()).bit_length()):
-                    start = at[(mask >> i) & 1 == 1] + i
-                    np.add.at(gone, start, 1)
-                    np.add.at(gone, start + window, -1)
-            keep = np.cumsum(gone)[:-1] == 0
-            kept = b" ".join([w for w, k in zip(words, keep) if k] if not keep.all() else words)
-            rows.append((len(words), len(words) - int(keep.sum()), kept.decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
-
-    return cut
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` with ``dedup`` added: a struct of ``n_words``, ``n_removed`` and ``kept`` (the kept words, single-spaced).
+    return h[at[first]], first, n
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorting order of rows by their keys, the start of each group in it, and each sorted row's group number."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    if len(order):
+        new[0] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """doc_id, text_key, n_words, n_removed and ``kept`` (the kept words, single-spaced, as binary) of every document.
+
+    ``text_key`` is Spark's xxhash64 of the text ('' if null), which tells rows apart that share a doc_id.
 
     A word goes if it lies in ``window`` consecutive words that also start in a document with a smaller doc_id; windows
-    are judged on the texts as given.  ``window - anchor`` must be below 63.  Nulls: a null text has no words; rows with
+    are judged on the texts as given.  ``window - anchor`` must be below 62.  Nulls: a null text has no words; rows with
     a null doc_id lose nothing and take nothing from others.  Rows that share a doc_id count as one document and never cut
-    each other.  Texts shorter than a window stay as they are.  All other columns pass through; a column named ``dedup``
-    is replaced.
+    each other.  Texts shorter than a window stay as they are.  Other columns are ignored; an empty table gives an empty
+    result.
     """
-    if not 0 < anchor <= window <= anchor + 62:
-        raise ValueError("anchor must be at most window, and at least window - 62")
-    rows = docs.drop("dedup")
-    names = rows.columns
-    slim = rows.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    slim = slim.withColumn("key", _key("text"))
-
-    seeds = _seeds(slim, window, anchor)
-    shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    wanted = seeds.join(shared.select("seed"), "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    stretches = settled(_extend(slim.join(wanted, "doc_id"), window, anchor), "stretches")
-
-    marks = _repeats(stretches).groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "mask")).alias("_marks"))
-    marks = marks.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    full = rows.join(marks, (rows["doc_id"] == marks["_id"]) & (_key(rows["text"].cast("string")) == marks["_key"]), "left")
-    cut = _cut(window)(F.col("text").cast("string"), F.col("_marks"))
-    return full.select(*names, cut.alias("dedup"))
+    if not 0 < anchor <= window <= anchor + 61:
+        raise ValueError("anchor must be at most window, and at least window - 61")
+    buckets = buckets_for(docs, rows_per_bucket)
+    shards = buckets
+    rows = squeezed(docs, buckets)
+    told, left = shared_anchors(rows, shards, lambda text: _stretches(text, window, anchor))
+
+    def extend(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """Shared anchors extended both ways: the hash of each stretch, and of each window of the different ones."""
+        ids, texts = opened(pdf)
+        parts = []
+        for r, (text, (seed, first, n)) in enumerate(zip(texts, left(ids, texts, told))):
+            if len(seed):
+                _, joined, start, end = _words(text)
+                prefix = Prefix(joined)
+                each = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                whole = prefix.slices(start[first], end[first + n + window - 2])
+                parts.append((seed, whole, n, first, np.full(len(seed), r), np.full(len(seed), ids[r]), prefix.slices(start[each], end[each + window - 1])))
+        none = np.zeros(0, np.int64)
+        seed, whole, n, first, row, owner, windows = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 2 + (none,) * 4 + (np.zeros(0, np.uint64),)
+        order, start, _ = _groups(seed, whole)
+        count = np.diff(np.r_[start, len(order)])
+        begin = np.cumsum(n) - n
+        lone = order[start]  # one stretch for each different one
+        pick = np.repeat(begin[lone] - np.r_[0, np.cumsum(n[lone])[:-1]], n[lone]) + np.arange(n[lone].sum()) if len(lone) else none
+        windows, ends = windows[pick], np.r_[0, np.cumsum(n[lone])]
+        at, occurs = cuts(seed[lone], shards), np.r_[0, np.cumsum(count)]
+        small = lambda x: x.astype(np.int32) if not len(x) or x.max() < 1 << 31 else x
+        blobs = []
+        for a, b in zip(at[:-1], at[1:]):
+            mine = order[occurs[a] : occurs[b]]
+            blobs.append(pack(seed[lone[a:b]], whole[lone[a:b]], n[lone[a:b]].astype(np.uint8), windows[ends[a] : ends[b]], small(count[a:b]), small(owner[mine]), small(row[mine]), small(first[mine])))
+        return pd.DataFrame({"shard": np.arange(shards, dtype=np.int32), "bucket": np.int32(pdf["bucket"].iloc[0]), "run": blobs})
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The stretches of a range of anchors from all buckets: which of their windows an earlier document has."""
+        parts = [unpack(x) for x in pdf["run"]]
+        seed, whole, n, windows, count, owner = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        n, owner = n.astype(np.int64), owner.astype(np.int64)
+        least = np.minimum.reduceat(owner, np.cumsum(count) - count) if len(count) else owner[:0]
+        order, start, group = _groups(seed, whole)
+        first = np.zeros(len(seed), np.int64)
+        first[order] = np.minimum.reduceat(least[order], start)[group] if len(order) else first[:0]
+        # an anchor that leads different stretches can hide a window first seen in another of them
+        lone = order[start]
+        mixed = np.zeros(len(lone), bool)
+        if len(lone) > 1:
+            next_same = seed[lone][1:] == seed[lone][:-1]
+            mixed[1:] |= next_same
+            mixed[:-1] |= next_same
+        some = np.zeros(len(lone), np.int64)
+        hard = lone[mixed]
+        if len(hard):
+            size, begin = n[hard], (np.cumsum(n) - n)[hard]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            w, lead, doc = windows[np.repeat(begin, size) + inner], np.repeat(seed[hard], size), np.repeat(first[hard], size)
+            o, s, g = _groups(lead, w)
+            earliest = np.empty(len(w), np.int64)
+            earliest[o] = np.minimum.reduceat(doc[o], s)[g]
+            late = earliest < doc
+            np.bitwise_or.at(some, np.repeat(np.flatnonzero(mixed), size)[late], np.int64(1) << inner[late])
+        mask = np.zeros(len(seed), np.int64)
+        mask[order] = some[group]
+        blobs, a = [], 0
+        for p in parts:
+            b = a + len(p[0])
+            f, m, every = (np.repeat(x[a:b], p[4]) for x in (first, mask, (np.int64(1) << n) - 1))
+            m = np.where(p[5] > f, every, m)
+            blobs.append(pack(p[6][m != 0], p[7][m != 0], m[m != 0]))
+            a = b
+        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "shard": pdf["shard"].to_numpy(), "marks": blobs})
+
+    def cut(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        ids, texts = opened(pdf)
+        out = []
+        for i, text, (at, mask) in zip(ids, texts, rows_of([unpack(x) for x in told["marks"]], len(ids))):
+            words = text.split()
+            n = len(words)
+            if len(at):
+                words = [words[i] for i in np.flatnonzero(~covered(n, at, mask, window)).tolist()]
+            out.append((i, xxhash.xxh64_intdigest(text, 42), n, n - len(words), b" ".join(words)))
+        out = pd.DataFrame(out, columns=["doc_id", "text_key", "n_words", "n_removed", "kept"])
+        return out.assign(text_key=out["text_key"].astype("uint64").astype("int64")).astype({"doc_id": "Int64"})
+
+    sent = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(extend, "shard int, bucket int, run binary")
+    marks = sent.groupBy("shard").applyInPandas(match, "bucket int, shard int, marks binary")
+    return rows.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cut, "doc_id long, text_key long, n_words long, n_removed long, kept binary")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the SHA-256 of the kept words."""
-    out = remove_repeats(docs.select("doc_id", "text"), **options)
-    return out.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.col("dedup.kept").cast("binary"), 256).alias("kept_sha256"))
+    return remove_repeats(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple[int, int, int, str]]:
     """The same result by definition, for small tests."""
     first: dict[tuple, int] = {}
     for doc_id, text in rows:
-        words = _words(text)
+        words = (text or "").encode().split()
         for i in range(len(words) - window + 1):
             w = tuple(words[i : i + window])
             first[w] = min(doc_id, first.get(w, doc_id))
     out = []
     for doc_id, text in rows:
-        words = _words(text)
+        words = (text or "").encode().split()
         gone: set[int] = set()
         for i in range(len(words) - window + 1):
             if first[tuple(words[i : i + window])] < doc_id:
