@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 #: The pre-token pattern of this vocabulary family: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PIECES = 200_000
+#: Pieces in each of the two generations a worker remembers; a limit on its memory, not on the texts.
+CACHE_PIECES = 400_000
 _INFINITY = 1 << 60
 
 
@@ -58,6 +59,7 @@ class PrefixBpe:
         self._automaton.make_automaton()
         self._apart: dict[tuple[int, int], bool] = {}
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._pieces = regex.compile(PATTERN)
         self._spaced = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -109,22 +111,17 @@ class PrefixBpe:
     def _ordinary(self, text: str) -> bytes:
         # a single space before a visible character always begins a pre-token, so texts fall apart there
         chunks = self._spaced.split(text)
-        known = self._known
+        if len(self._known) > CACHE_PIECES:  # pieces in use move to the new generation, others are forgotten with the old
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
         for chunk in set(chunks[1:]):
             if chunk not in known:
-                self._learn(chunk, " " + chunk)
-        out = b"".join(map(known.__getitem__, chunks[1:]))
-        head = self._ids(chunks[0])
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        return head + out
+                known[chunk] = older[chunk] if chunk in older else self._ids(" " + chunk)
+        return self._ids(chunks[0]) + b"".join(map(known.__getitem__, chunks[1:]))
 
     def _ids(self, text: str) -> bytes:
         return np.array([i for x in self._pieces.findall(text) for i in self.piece(x.encode())], "<u4").tobytes()
 
-    def _learn(self, key: str, text: str) -> None:
-        self._known[key] = self._ids(text)
-
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers; the strings of special tokens give their ids."""
         parts = self._specials.split(text or "") if self._specials else [text or ""]
