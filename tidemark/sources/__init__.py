@@ -1 +1,110 @@
-"""Part of the analytics library."""
+"""Readers and writers of the analytics tables."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import parse_date
+
+
+def as_of(spark: SparkSession, path: str, date, column: str = "month") -> DataFrame:
+    """One date of a table partitioned by date; only that partition is read."""
+    return spark.read.parquet(path).where(F.col(column) == F.lit(date).cast("date"))
+
+
+def write_dates(df: DataFrame, path: str, column: str = "month") -> None:
+    """Replaces the dates that ``df`` has and leaves all others: safe to run again."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def mapping_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``(key, ticker)`` from a CSV file whose header may name the columns GVKEY or GKEY, TICKER or SYMBOL."""
+    df = spark.read.csv(path, header=True)
+    find = lambda *names: next(c for n in names for c in df.columns if c.strip().upper() == n)
+    return df.select(F.trim(F.col(find("GVKEY", "GKEY"))).alias("key"), F.upper(F.trim(F.col(find("TICKER", "SYMBOL")))).alias("ticker"))
+
+
+def index_lines(lines: DataFrame, forms: list[str] | None = None, start=None, end=None) -> DataFrame:
+    """Index rows of ``lines(value)``: five fields between bars; heading lines have none that parse."""
+    p = F.split("value", r"\|")
+    rows = lines.where(F.size(p) == 5).select(F.ltrim(F.trim(p[0]), F.lit("0")).alias("cik"), F.trim(p[1]).alias("company"), F.trim(p[2]).alias("form"), parse_date(F.trim(p[3]), "yyyy-MM-dd", "yyyyMMdd").alias("filed"), F.trim(p[4]).alias("path"))
+    rows = rows.where("filed is not null")
+    if forms:
+        rows = rows.where(F.col("form").isin(forms))
+    if start:
+        rows = rows.where(F.col("filed").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return rows.withColumn("accession", F.regexp_extract("path", r"(\d{10}-\d{2}-\d{6})", 1))
+
+
+def factor_section(lines: DataFrame, names: list[str]) -> DataFrame:
+    """Monthly rows of a sectioned CSV given as ``lines(value)``: YYYYMM and numbers; -99.99 and -999 are missing; percent."""
+    p = F.split("value", ",")
+    rows = lines.where(F.col("value").rlike(r"^\s*\d{6}\s*,"))
+    x = lambda i: F.trim(p[i]).try_cast("double")
+    value = lambda i: F.when(~x(i).isin(-99.99, -999.0), x(i) / 100)
+    return rows.select(F.last_day(F.to_date(F.trim(p[0]), "yyyyMM")).alias("month"), *(value(i + 1).alias(n) for i, n in enumerate(names)))
+
+
+def filings(spark: SparkSession, folder: str) -> DataFrame:
+    """``(id, form, content)`` of files named FORM_accession.txt anywhere below a folder."""
+    rows = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(folder)
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return rows.select(F.regexp_extract(name, r"_(.+)\.txt$", 1).alias("id"), F.regexp_extract(name, r"^([^_]+)_", 1).alias("form"), F.col("value").alias("content"))
+
+
+def manifest(index: DataFrame, companies: DataFrame, root: str) -> DataFrame:
+    """Index rows of the target companies with the local path of each filing."""
+    rows = index.join(companies.select("cik"), "cik", "left_semi")
+    q = F.concat(F.lit("Q"), F.quarter("filed"))
+    return rows.withColumn("local", F.concat_ws("/", F.lit(root), F.year("filed"), q, "cik", F.concat(F.col("form"), F.lit("_"), F.col("accession"), F.lit(".txt"))))
+
+
+def without_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return table.join(keys.select(key), key, "left_anti")
+
+
+def quarters_between(spark: SparkSession, start: str, end: str) -> DataFrame:
+    rows = spark.range(1).select(F.explode(F.sequence(F.trunc(F.lit(start).cast("date"), "quarter"), F.lit(end).cast("date"), F.expr("interval 3 months"))).alias("d"))
+    return rows.select(F.year("d").alias("year"), F.quarter("d").alias("quarter"))
+
+
+def latest_release(*tables: DataFrame, column: str = "month") -> DataFrame:
+    """The newest date that every table has."""
+    dates = tables[0].select(column).distinct()
+    for t in tables[1:]:
+        dates = dates.intersect(t.select(column).distinct())
+    return dates.agg(F.max(column).alias(column))
+
+
+def table_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows and columns of each table."""
+    from tidemark.functions import union_all
+
+    return union_all([df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows", F.lit(len(df.columns)).alias("columns")) for n, df in tables.items()])
+
+
+def export(df: DataFrame, folder: str, name: str, formats=("csv", "parquet")) -> None:
+    for f in formats:
+        writer = df.write.mode("overwrite")
+        writer.option("header", True).csv(f"{folder}/{name}.csv") if f == "csv" else writer.format(f).save(f"{folder}/{name}.{f}")
+
+
+def release(spark: SparkSession, tables: dict[str, DataFrame], root: str, date: str) -> None:
+    """Tables of one date in a dated folder with a manifest; the newest folder is the current release."""
+    for name, df in tables.items():
+        export(df, f"{root}/{date}", name)
+    counts = {name: df.count() for name, df in tables.items()}
+    spark.createDataFrame([(date, json.dumps(counts))], "date string, rows string").write.mode("overwrite").json(f"{root}/{date}/manifest")
+
+
+def universe(prices: DataFrame, column: str, forced: list[str]) -> DataFrame:
+    extra = prices.sparkSession.createDataFrame([(x,) for x in forced], f"{column} string")
+    return prices.select(F.col(column).cast("string")).union(extra).distinct()
+
+
+def to_database(df: DataFrame, url: str, table: str, batch: int = 10_000, **options) -> None:
+    """Truncate and load through JDBC."""
+    df.write.format("jdbc").mode("overwrite").option("truncate", True).option("batchsize", batch).options(url=url, dbtable=table, **options).save()
