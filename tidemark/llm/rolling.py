@@ -59,6 +59,14 @@ class Prefix:
         return _mix(body + (end - start).astype(np.uint64))
 
 
+    def sliding(self, size: int) -> np.ndarray:
+        """Hashes of all slices of one size, in order."""
+        n = len(self._sums) - size
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        return _mix((self._sums[size:] - self._sums[:n]) * self._down[:n] + np.uint64(size))
+
+
 def winnow(h: np.ndarray, window: int) -> np.ndarray:
     """For every run of ``window`` consecutive values, the index of its smallest value (the last one among equals).
 

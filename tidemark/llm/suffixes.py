@@ -33,8 +33,7 @@ def _stretches(data: bytes, length: int, anchor: int):
     """Anchor hash, first string and number of strings of each stretch."""
     if len(data) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i = np.arange(len(data) - anchor + 1)
-    h = Prefix(data).slices(i, i + anchor)
+    h = Prefix(data).sliding(anchor)
     at = winnow(h, length - anchor + 1)
     first, n = runs(at)
     return h[at[first]], first, n
