@@ -32,17 +32,17 @@ def histories(chosen: DataFrame, returns: DataFrame, months: int = 36, least: in
 
 def project(w: np.ndarray, low: np.ndarray, high: np.ndarray, total: float) -> np.ndarray:
     """Nearest point with bounds and a fixed sum, by bisection on the shift."""
-    a, b = (low - w).min() - 1, (high - w).max() + 1
-    for _ in range(100):
+    a, b = (low - w).min(), (high - w).max()
+    for _ in range(45):
         mid = (a + b) / 2
-        if np.clip(w + mid, low, high).sum() < total:
+        if np.minimum(np.maximum(w + mid, low), high).sum() < total:
             a = mid
         else:
             b = mid
-    return np.clip(w + (a + b) / 2, low, high)
+    return np.minimum(np.maximum(w + (a + b) / 2, low), high)
 
 
-def min_quadratic(q: np.ndarray, c: np.ndarray, low, high, total: float, steps: int = 500) -> np.ndarray:
+def min_quadratic(q: np.ndarray, c: np.ndarray, low, high, total: float, steps: int = 200) -> np.ndarray:
     """min w'Qw/2 + c'w with bounds and a fixed sum: accelerated projected gradient."""
     low, high = np.broadcast_to(low, c.shape).astype(float), np.broadcast_to(high, c.shape).astype(float)
     if low.sum() > total or high.sum() < total:
@@ -71,11 +71,11 @@ def long_short_weights(history: DataFrame, bound: float = 0.5) -> DataFrame:
         long, short = (side == "long").to_numpy(), (side == "short").to_numpy()
         w = np.zeros(len(names))
         cap_l, cap_s = (max(bound, 1.0 / max(1, m.sum())) for m in (long, short))
-        for _ in range(40):  # the two legs in turn, each given the other
+        for _ in range(12):  # the two legs in turn, each given the other
             if long.any():
-                w[long] = min_quadratic(q[np.ix_(long, long)], q[np.ix_(long, short)] @ w[short], 0, cap_l, 1.0, 60)
+                w[long] = min_quadratic(q[np.ix_(long, long)], q[np.ix_(long, short)] @ w[short], 0, cap_l, 1.0, 30)
             if short.any():
-                w[short] = min_quadratic(q[np.ix_(short, short)], q[np.ix_(short, long)] @ w[long], -cap_s, 0, -1.0, 60)
+                w[short] = min_quadratic(q[np.ix_(short, short)], q[np.ix_(short, long)] @ w[long], -cap_s, 0, -1.0, 30)
         return pd.DataFrame({"month": pdf.month.iloc[0], "sec": names, "weight": w})
 
     return history.groupBy("month").applyInPandas(solve, "month date, sec long, weight double")

@@ -44,12 +44,6 @@ def j7_table_values(t):
     return filings.tables(t.filings())
 
 
-@add()
-def j1_headers(t):
-    """Header fields of filings made from orders: every order is a filing text."""
-    return filings.header(_order_filings(t))
-
-
 def _order_filings(t):
     d = F.date_format("o_orderdate", "yyyyMMdd")
     text = F.concat(F.lit("CONFORMED SUBMISSION TYPE: 10-Q\nFILED AS OF DATE: "), d, F.lit("\nCOMPANY CONFORMED NAME: Customer "), "o_custkey", F.lit("\nCENTRAL INDEX KEY: "), F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit("\nFISCAL YEAR END: 1231\n"))
@@ -59,7 +53,7 @@ def _order_filings(t):
     return t.read("orders").select(F.col("o_orderkey").alias("id"), F.concat(text, context, fact).alias("content"))
 
 
-@add("SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS cik, 'Customer ' || o_custkey AS name, CAST(o_orderdate AS DATE) AS filed, '10-Q' AS form FROM orders")
+@add("SELECT o_orderkey AS id, ltrim(CAST(o_custkey AS VARCHAR), '0') AS cik, 'Customer ' || o_custkey AS name, CAST(o_orderdate AS DATE) AS filed, '10-Q' AS form FROM orders")
 def j1_filing_headers(t):
     return filings.header(_order_filings(t))
 
@@ -229,7 +223,7 @@ def q10_top_summary(t):
     return rows.orderBy(F.desc("n"), "key").limit(100)
 
 
-@add("SELECT CAST(o_custkey AS VARCHAR) AS cik, 'Customer ' || o_custkey AS company, CASE WHEN o_orderkey % 2 = 0 THEN '10-Q' ELSE '10-K' END AS form, CAST(o_orderdate AS DATE) AS filed, 'edgar/data/' || o_orderkey || '.txt' AS path, '' AS accession FROM orders WHERE o_orderkey % 2 = 0")
+@add("SELECT ltrim(CAST(o_custkey AS VARCHAR), '0') AS cik, 'Customer ' || o_custkey AS company, CASE WHEN o_orderkey % 2 = 0 THEN '10-Q' ELSE '10-K' END AS form, CAST(o_orderdate AS DATE) AS filed, 'edgar/data/' || o_orderkey || '.txt' AS path, '' AS accession FROM orders WHERE o_orderkey % 2 = 0")
 def a4_index_lines(t):
     d = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     form = F.when(F.col("o_orderkey") % 2 == 0, "10-Q").otherwise("10-K")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import winsor_z
+from tidemark.functions import union_all, winsor_z
 from tidemark.operators import backtest, covariance, exposures, factors, fundamentals, prices, quality, regress, risk
 from tidemark.plans.registry import Registry
 from tidemark.plans.standins import Tables
@@ -32,7 +32,7 @@ def _z(x: str, source: str, where: str = "true") -> str:
 
 
 def _returns(t: Tables) -> DataFrame:
-    return prices.monthly_returns(prices.monthly_prices(t.daily()))
+    return t.keep("returns", lambda: prices.monthly_returns(prices.monthly_prices(t.daily())))
 
 
 def _panel(t: Tables) -> DataFrame:
@@ -40,21 +40,22 @@ def _panel(t: Tables) -> DataFrame:
 
 
 def _style(t: Tables) -> DataFrame:
-    r = _returns(t)
-    parts = {"size": exposures.size(r), "momentum": exposures.momentum(r), "book_to_price": exposures.book_to_price(_panel(t))}
-    from tidemark.functions import union_all
+    def make():
+        r = _returns(t)
+        parts = {"size": exposures.size(r), "momentum": exposures.momentum(r), "book_to_price": exposures.book_to_price(_panel(t))}
+        return union_all([exposures.standardise(x, n) for n, x in parts.items()])
 
-    return union_all([exposures.standardise(x, n) for n, x in parts.items()])
+    return t.keep("style", make)
 
 
 def _factor_returns(t: Tables) -> DataFrame:
     r = _returns(t)
-    x = _style(t).unionByName(exposures.country(r))
-    return regress.cross_section(x, r)
+    return t.keep("factor_returns", lambda: regress.cross_section(_style(t).unionByName(exposures.country(r)), r))
 
 
 _SMALL_FACTORS = """
-fr AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, o_orderpriority AS factor, avg(o_totalprice) / 1e5 - 1.4 AS factor_return FROM orders GROUP BY ALL)
+fr0 AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, o_orderpriority AS factor, avg(o_totalprice) / 1e5 - 1.4 AS factor_return FROM orders GROUP BY ALL),
+fr AS (SELECT * FROM fr0 WHERE month IN (SELECT month FROM fr0 GROUP BY month HAVING count(*) = (SELECT count(DISTINCT factor) FROM fr0)))
 """
 
 
@@ -248,8 +249,7 @@ def h22_cross_section(t):
 @add()
 def h23_residuals(t):
     r = _returns(t)
-    x = _style(t).unionByName(exposures.country(r))
-    return regress.residuals(x, r, regress.cross_section(x, r))
+    return regress.residuals(_style(t).unionByName(exposures.country(r)), r, _factor_returns(t))
 
 
 @add()
@@ -322,13 +322,13 @@ def h27_model_risk(t):
     return risk.model_risk(_summary(t))
 
 
-@add("""SELECT portfolio, count(*) AS n, stddev_samp(r - market_return) * sqrt(12) AS tracking_error, avg(r - market_return) AS mean_active, product(1 + r) - 1 AS portfolio_return, product(1 + market_return) - 1 AS benchmark_return FROM (
+@add("""SELECT portfolio, count(*) AS n, stddev_samp(r - market_return) * sqrt(12) AS tracking_error, avg(r - market_return) AS mean_active FROM (
   SELECT portfolio, month, sum(weight * ret) AS r, count(*) AS c FROM pw JOIN returns USING (sec) WHERE ret IS NOT NULL GROUP BY ALL) JOIN (SELECT portfolio, count(*) AS k FROM pw GROUP BY ALL) USING (portfolio) JOIN market USING (month) WHERE c = k GROUP BY portfolio""",
-     "tracking_error mean_active portfolio_return benchmark_return", "pw AS (SELECT sector AS portfolio, sec, 1.0::DOUBLE / count(*) OVER (PARTITION BY sector) AS weight FROM security WHERE sec % 5 = 0)", places=4)
+     "tracking_error mean_active", "pw AS (SELECT sector AS portfolio, sec, 1.0::DOUBLE / count(*) OVER (PARTITION BY sector) AS weight FROM security WHERE sec % 5 = 0)", places=4)
 def h28_realised_tracking_error(t):
     r = _returns(t)
     w = t.security().where("sec % 5 = 0").select(F.col("sector").alias("portfolio"), "sec", (1.0 / F.count("*").over(Window.partitionBy("sector"))).alias("weight"))
-    return risk.realised_tracking_error(w, r, prices.market_returns(r).select("month", F.col("market_return").alias("bench")))
+    return risk.realised_tracking_error(w, r, prices.market_returns(r).select("month", F.col("market_return").alias("bench"))).drop("portfolio_return", "benchmark_return")
 
 
 @add()

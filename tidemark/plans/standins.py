@@ -12,7 +12,13 @@ class Tables:
     """Domain tables of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._kept = spark, sf_dir, {}
+
+    def keep(self, name: str, make) -> DataFrame:
+        """A table that several parts of one query read: worked out once and kept (memory first, then disk)."""
+        if name not in self._kept:
+            self._kept[name] = make().persist()
+        return self._kept[name]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -43,7 +49,7 @@ class Tables:
         rows = o.join(li, o["o_orderkey"] == li["l_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
         return rows.select(
             F.col("o_custkey").alias("acct"), F.col("p_brand").alias("sec"), F.col("o_orderdate").cast("date").alias("d"), (F.col("o_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
-            F.when(F.col("l_returnflag") == "R", "S").otherwise("B").alias("side"), F.col("l_quantity").alias("qty"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"),
+            F.when(F.col("l_returnflag") == "R", "S").otherwise("B").alias("side"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         )
 
     def last_prices(self) -> DataFrame:
@@ -81,7 +87,7 @@ quarters0 AS (SELECT l_suppkey AS sec, year(CAST(l_shipdate AS DATE)) AS fy, qua
 quarters AS (SELECT q.*, fy * 12 + fq * 3 - 1 AS mi, abs(balance) + sales AS book, sales + debt + abs(balance) AS assets,
              last_day(make_date(fy, fq * 3, 1)) AS d FROM quarters0 q JOIN security USING (sec)),
 trades AS (SELECT o_custkey AS acct, p_brand AS sec, CAST(o_orderdate AS DATE) AS d, o_orderkey * 100 + l_linenumber AS seq,
-           CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'B' END AS side, l_quantity AS qty, round(l_extendedprice / l_quantity, 4) AS price
+           CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'B' END AS side, l_quantity AS qty, l_extendedprice / l_quantity AS price
            FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
 last_prices AS (SELECT sec, arg_max(price, (d, seq)) AS price FROM trades GROUP BY sec),
 accounts AS (SELECT c_custkey AS acct, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.37 ELSE 0.32 END::DOUBLE AS short_rate, 0.2::DOUBLE AS long_rate FROM customer),
