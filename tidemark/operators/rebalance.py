@@ -109,9 +109,9 @@ def positions_report(open_lots: DataFrame, prices: DataFrame) -> DataFrame:
     return rows.groupBy("acct", "sec").agg(F.sum("remaining").alias("quantity"), F.sum(F.col("remaining") * F.col("last")).alias("value"), F.sum(F.col("remaining") * (F.col("last") - F.col("price"))).alias("unrealised"), F.count("*").alias("lots"))
 
 
-def acquisition_price(rows: DataFrame, price: str = "price", gain: str = "gain") -> DataFrame:
+def acquisition_price(rows: DataFrame, price: str = "price", gain: str = "gain", places: int = 4) -> DataFrame:
     """Cost from an embedded return: price / (1 + gain), four decimals."""
-    return rows.withColumn("acquisition_price", F.round(F.try_divide(F.col(price), 1 + F.col(gain)), 4))
+    return rows.withColumn("acquisition_price", F.round(F.try_divide(F.col(price), 1 + F.col(gain)), places))
 
 
 def upsert(master: DataFrame, incoming: DataFrame, key: str, overwrite: list[str], fill: list[str]) -> DataFrame:

@@ -229,10 +229,10 @@ def h70_positions_report(t):
     return rebalance.positions_report(lots.open_lots(t.trades()), t.last_prices())
 
 
-@add("SELECT seq, round(price / (1 + l_discount), 4) AS acquisition_price FROM trades JOIN lineitem ON l_orderkey * 100 + l_linenumber = seq", "acquisition_price")
+@add("SELECT l_orderkey, l_linenumber, l_extendedprice / (1 + l_discount) AS acquisition_price FROM lineitem", "acquisition_price", places=5)
 def h71_acquisition_price(t):
-    li = t.read("lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_discount").alias("gain"))
-    return rebalance.acquisition_price(t.trades().join(li, "seq")).select("seq", "acquisition_price")
+    li = t.read("lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("gain"))
+    return rebalance.acquisition_price(li, places=9).select("l_orderkey", "l_linenumber", "acquisition_price")
 
 
 @add("SELECT coalesce(c.c_custkey, o.k) AS key, coalesce(o.total, c.c_acctbal) AS balance, coalesce(nullif(c.c_name, ''), o.name) AS name FROM customer c FULL JOIN (SELECT o_custkey + 10 AS k, sum(o_totalprice) AS total, 'new' AS name FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.k", "balance", places=2)

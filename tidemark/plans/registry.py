@@ -28,7 +28,7 @@ class Registry:
             query.__name__, query.__doc__ = f.__name__, f.__doc__
             self.queries[f.__name__] = query
             if sql is not None:
-                fix = ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in floats.split())
+                fix = ", ".join(f"floor({c} * 1e{places} + 0.5) / 1e{places} AS {c}" for c in floats.split())
                 head = SQL.strip() + (",\n" + ctes.strip().rstrip(",") if ctes else "")
                 self.sql[f.__name__] = f"WITH {head}\nSELECT *{f' REPLACE ({fix})' if fix else ''} FROM ({sql.strip()})"
             return f
@@ -37,6 +37,7 @@ class Registry:
 
 
 def rounded(df: DataFrame, places: int) -> DataFrame:
-    """Doubles rounded, with no negative zero."""
-    fix = {c: F.round(c, places) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"}
+    """Doubles rounded by the same arithmetic as in the SQL (huge values and NaN stay as they are)."""
+    unit = 10.0**places
+    fix = {c: F.when(F.abs(c) < 9e18 / unit, F.floor(F.col(c) * unit + 0.5) / unit).otherwise(F.col(c)) for c, kind in df.dtypes if kind == "double"}
     return df.withColumns(fix) if fix else df

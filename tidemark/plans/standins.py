@@ -46,9 +46,11 @@ class Tables:
     def trades(self) -> DataFrame:
         """(acct, sec, d, seq, side, qty, price): line items as trades of a customer in a brand."""
         o, li, p = self.read("orders"), self.read("lineitem"), self.read("part")
+        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
+        li = li.withColumn("_n", F.row_number().over(order))
         rows = o.join(li, o["o_orderkey"] == li["l_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
         return rows.select(
-            F.col("o_custkey").alias("acct"), F.col("p_brand").alias("sec"), F.col("o_orderdate").cast("date").alias("d"), (F.col("o_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
+            F.col("o_custkey").alias("acct"), F.col("p_brand").alias("sec"), F.col("o_orderdate").cast("date").alias("d"), (F.col("o_orderkey") * 1000 + F.col("_n")).alias("seq"),
             F.when(F.col("l_returnflag") == "R", "S").otherwise("B").alias("side"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         )
 
@@ -86,7 +88,7 @@ quarters0 AS (SELECT l_suppkey AS sec, year(CAST(l_shipdate AS DATE)) AS fy, qua
               FROM lineitem GROUP BY ALL),
 quarters AS (SELECT q.*, fy * 12 + fq * 3 - 1 AS mi, abs(balance) + sales AS book, sales + debt + abs(balance) AS assets,
              last_day(make_date(fy, fq * 3, 1)) AS d FROM quarters0 q JOIN security USING (sec)),
-trades AS (SELECT o_custkey AS acct, p_brand AS sec, CAST(o_orderdate AS DATE) AS d, o_orderkey * 100 + l_linenumber AS seq,
+trades AS (SELECT o_custkey AS acct, p_brand AS sec, CAST(o_orderdate AS DATE) AS d, o_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) AS seq,
            CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'B' END AS side, l_quantity AS qty, l_extendedprice / l_quantity AS price
            FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
 last_prices AS (SELECT sec, arg_max(price, (d, seq)) AS price FROM trades GROUP BY sec),
