@@ -88,6 +88,6 @@ def test_against_definition(spark):
 
 def test_compresses_and_empty(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = ctw.score(docs).where("held_out").agg({"score": "sum", "base_score": "sum", "bits_per_byte": "avg"}).first()
-    assert got["sum(score)"] > got["sum(base_score)"] and got["avg(bits_per_byte)"] < 4
+    got = {r.held_out: r.b for r in ctw.score(docs).groupBy("held_out").agg({"bits_per_byte": "avg"}).toDF("held_out", "b").collect()}
+    assert got[False] < got[True] < 3.5  # a thousand documents; English prose stored plainly takes 8
     assert ctw.score(docs.limit(0)).count() == 0
