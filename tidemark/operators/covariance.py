@@ -32,7 +32,9 @@ def factor_covariance(factor_returns: DataFrame, months: int = 60, mirror: bool
     cov = cov.where("n >= 2").drop("n")
     if not mirror:
         return cov
-    return cov.unionByName(cov.where("fi < fj").select("month", F.col("fj").alias("fi"), F.col("fi").alias("fj"), "cov"))
+    pair = lambda a, b: F.struct(F.col(a).alias("fi"), F.col(b).alias("fj"))
+    both = F.when(F.col("fi") == F.col("fj"), F.array(pair("fi", "fj"))).otherwise(F.array(pair("fi", "fj"), pair("fj", "fi")))
+    return cov.select("month", F.inline(both), "cov")
 
 
 def pairwise_covariance(returns: DataFrame, least: int = 2) -> DataFrame:

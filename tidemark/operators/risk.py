@@ -7,8 +7,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import union_all
-
 DEFAULT_SPECIFIC = 0.10
 
 
@@ -35,8 +33,10 @@ def summary(weights: DataFrame, exposures: DataFrame, cov: DataFrame, specific:
     parts = x.join(fx.withColumnRenamed("fi", "factor"), ["month", "factor"], "left").select("month", F.col("factor").alias("item"), F.col("x").alias("exposure"), (F.col("x") * F.coalesce("v", F.lit(0.0))).alias("variance"))
     own = weights.join(specific, ["month", "sec"]).groupBy("month").agg(F.sum(F.col("weight") * F.col("weight") * F.col("specific_var")).alias("variance"))
     own = own.select("month", F.lit("specific").alias("item"), F.lit(None).cast("double").alias("exposure"), "variance")
-    total = parts.unionByName(own).groupBy("month").agg(F.sum("variance").alias("variance")).select("month", F.lit("total").alias("item"), F.lit(None).cast("double").alias("exposure"), "variance")
-    return union_all([parts, own, total])
+    rows = parts.unionByName(own)  # each row counts for itself and for the total
+    none = F.lit(None).cast("double")
+    each = F.array(F.struct("item", "exposure"), F.struct(F.lit("total").alias("item"), none.alias("exposure")))
+    return rows.select("month", "variance", F.inline(each)).groupBy("month", "item").agg(F.max("exposure").alias("exposure"), F.sum("variance").alias("variance"))
 
 
 def model_risk(summary_rows: DataFrame) -> DataFrame:

@@ -304,12 +304,16 @@ def h29_top_exposures(t):
     return risk.top_exposures(risk.cap_weights(_returns(t), 100), _style(t), 2)
 
 
+def _model_covariance(t: Tables) -> DataFrame:
+    return t.keep("covariance", lambda: covariance.factor_covariance(_factor_returns(t).select("month", "factor", "factor_return")))
+
+
+def _specific(t: Tables) -> DataFrame:
+    return _returns(t).where("ret is not null").select("sec", "month", (F.col("ret") * F.col("ret")).alias("specific_var"))
+
+
 def _summary(t: Tables) -> DataFrame:
-    r = _returns(t)
-    x = _style(t)
-    fr = _factor_returns(t).select("month", "factor", "factor_return")
-    specific = r.where("ret is not null").select("sec", "month", (F.col("ret") * F.col("ret")).alias("specific_var"))
-    return risk.summary(risk.cap_weights(r, 100), x, covariance.factor_covariance(fr), specific)
+    return t.keep("summary", lambda: risk.summary(risk.cap_weights(_returns(t), 100), _style(t), _model_covariance(t), _specific(t)))
 
 
 @add()
@@ -333,10 +337,7 @@ def h28_realised_tracking_error(t):
 
 @add()
 def h54_asset_covariance(t):
-    r = _returns(t)
-    x = _style(t).where("sec <= 60")
-    fr = _factor_returns(t).select("month", "factor", "factor_return")
-    return covariance.asset_covariance(x, covariance.factor_covariance(fr), r.where("ret is not null").select("sec", "month", (F.col("ret") * F.col("ret")).alias("specific_var")))
+    return covariance.asset_covariance(_style(t).where("sec <= 60"), _model_covariance(t), _specific(t))
 
 
 @add("""SELECT m.month, coalesce(e.x, m.market_return) AS market_return, e.x IS NOT NULL AS external FROM market m LEFT JOIN (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, avg(o_totalprice) / 1e7 AS x FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL) e USING (month)""", "market_return")

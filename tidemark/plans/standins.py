@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import month_index
+from tidemark.runtime import reachable
 
 
 class Tables:
     """Domain tables of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._kept = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._kept = reachable(spark), sf_dir, {}
 
     def keep(self, name: str, make) -> DataFrame:
         """A table that several parts of one query read: worked out once and kept (memory first, then disk)."""
