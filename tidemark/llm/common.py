@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.runtime import reachable
+
 #: Rows a Python worker gets at once.  Documents can be long, so the session's default of 10,000 rows is too many.
 BATCH_ROWS = 512
 
@@ -16,7 +18,7 @@ BATCH_ROWS = 512
 def session(spark: SparkSession) -> SparkSession:
     """Settings of the corpus queries: small Arrow batches, since texts have no bounded length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    return reachable(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
