@@ -223,11 +223,11 @@ def q10_top_summary(t):
     return rows.orderBy(F.desc("n"), "key").limit(100)
 
 
-@add("SELECT ltrim(CAST(o_custkey AS VARCHAR), '0') AS cik, 'Customer ' || o_custkey AS company, CASE WHEN o_orderkey % 2 = 0 THEN '10-Q' ELSE '10-K' END AS form, CAST(o_orderdate AS DATE) AS filed, 'edgar/data/' || o_orderkey || '.txt' AS path, '' AS accession FROM orders WHERE o_orderkey % 2 = 0")
+@add("SELECT ltrim(CAST(o_custkey AS VARCHAR), '0') AS cik, 'Customer ' || o_custkey AS company, CASE WHEN o_orderkey % 2 = 0 THEN '10-Q' ELSE '10-K' END AS form, CAST(o_orderdate AS DATE) AS filed, 'filings/data/' || o_orderkey || '.txt' AS path, '' AS accession FROM orders WHERE o_orderkey % 2 = 0")
 def a4_index_lines(t):
     d = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     form = F.when(F.col("o_orderkey") % 2 == 0, "10-Q").otherwise("10-K")
-    lines = t.read("orders").select(F.concat_ws("|", F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.concat(F.lit("Customer "), "o_custkey"), form, d, F.concat(F.lit("edgar/data/"), "o_orderkey", F.lit(".txt"))).alias("value"))
+    lines = t.read("orders").select(F.concat_ws("|", F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.concat(F.lit("Customer "), "o_custkey"), form, d, F.concat(F.lit("filings/data/"), "o_orderkey", F.lit(".txt"))).alias("value"))
     return sources.index_lines(lines, ["10-Q"])
 
 
