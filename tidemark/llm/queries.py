@@ -67,22 +67,16 @@ QUERIES = {
     )
 }
 
-_UNITS = """
-  WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-  ok AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, c -> c * c))) AS norm FROM v
-         WHERE x IS NOT NULL AND len(list_filter(x, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, c -> c <> 0)) > 0)
-"""
-
 #: Only what plain SQL can state over whole tables; the other queries are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op10_substring": r"""
-      WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+      WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
       pos AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
       first AS (SELECT win, min(doc_id) AS least FROM pos GROUP BY win),
-      bad AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS at FROM pos JOIN first USING (win) WHERE least < doc_id),
-      gone AS (SELECT doc_id, list(at) AS ats FROM bad GROUP BY doc_id),
+      bad AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM pos JOIN first USING (win) WHERE least < doc_id),
+      gone AS (SELECT doc_id, list(place) AS ats FROM bad GROUP BY doc_id),
       kept AS (SELECT doc_id, len(ws) AS n, len(coalesce(ats, [])) AS cut,
-                      list_filter(list_transform(range(1, len(ws) + 1), i -> CASE WHEN list_contains(coalesce(ats, []), i) THEN NULL ELSE ws[i] END), x -> x IS NOT NULL) AS k
+                      list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN list_contains(coalesce(ats, []), i) THEN NULL ELSE ws[i] END), lambda x: x IS NOT NULL) AS k
                FROM w LEFT JOIN gone USING (doc_id))
       SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(cut AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
     """,
