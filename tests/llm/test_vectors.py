@@ -91,3 +91,27 @@ def test_recall(spark):
     found = neighbours.search(rows, asked)
     assert found.groupBy("query_id").count().where("count <> 20").count() == 0
     assert neighbours.recall(found, rows, asked) >= 0.9
+
+
+def mixed(rng):
+    """Three lengths in both labels; the smallest id has a length that hardly any other has."""
+    rows = [(0, [1.0, 2.0, 3.0], 0), (1, [1.0, 2.0, 3.1], 0), (2, [1.0, 1.0], 1)]
+    rows += [(10 + i, v, lab) for i, v, lab in cloud(rng, 150)]
+    return rows + [(400 + i, v, lab) for i, v, lab in cloud(rng, 100, size=5)]
+
+
+def test_links_between_vectors_of_mixed_length(spark):
+    rows = mixed(random.Random(6))
+    check(spark, rows)
+    check(spark, rows, block_rows=25, max_pivots=4)
+
+
+def test_search_among_vectors_of_mixed_length(spark):
+    rows = mixed(random.Random(7))
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], SCHEMA)
+    asked = {i for i, *_ in rows if i % 10 == 0}
+    got = {(r.query_id, r["rank"]): r.vec_id for r in neighbours.search(df, df.where("vec_id % 10 = 0"), 10, factor=1.0).collect()}
+    want = {}
+    for size in {len(v) for _, v, _ in rows}:
+        want |= nearest([r for r in rows if len(r[1]) == size], asked, 10)
+    assert got == {k: v[0] for k, v in want.items()}

@@ -103,17 +103,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
     """The k rows of ``vectors`` with the largest inner product with each row of ``queries`` (its own id left out).
 
     Returns query_id, rank (from 1), vec_id and score, ties going to the smaller id.  Vectors that are null, zero, hold null
-    or non-finite components, or have a null id take no part; nor do vectors of another length than the shortest id's.
-    Rows that share an id count once each.  Other columns are ignored; an empty side gives an empty result.
+    or non-finite components, or have a null id take no part; a query meets the vectors of its own length.  Rows
+    that share an id count once each.  Other columns are ignored; an empty side gives an empty result.
     """
     pick = lambda df: df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     base, asked = pick(vectors), pick(queries)
-    facts = base.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square"), F.min_by(F.size("v"), "id").alias("size")).first()
-    size = facts["size"] or 0
-    base, asked = base.where(F.size("v") == size), asked.where(F.size("v") == size)
-    shards = max(1, -(-facts["n"] // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    square = facts["square"] or 0.0
+    base, asked = base.withColumn("size", F.size("v")), asked.withColumn("size", F.size("v"))
+    stored = base.groupBy("size").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square"))
+    facts = stored.join(asked.groupBy("size").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks")), "size")
+    facts = F.broadcast(settled(facts, "lengths"))  # one row per length
 
     def walk(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "vec_id", "score"]
@@ -122,7 +120,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
         left = left.sort_values("id")
         x, ids = np.stack(left["v"].to_numpy()), left["id"].to_numpy()
         q, own = np.stack(right["v"].to_numpy()), right["id"].to_numpy()
-        lift = np.sqrt(np.maximum(square - (x * x).sum(axis=1), 0))
+        lift = np.sqrt(np.maximum(left["square"].iloc[0] - (x * x).sum(axis=1), 0))
         tree = VantageTree(np.c_[x, lift])
         _, row = tree.search(np.c_[q, np.zeros(len(q))], own, ids, k, factor)
         at, slot = np.nonzero(row >= 0)
@@ -130,9 +128,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
         score = np.einsum("ij,ij->i", q[at], x[hit])
         return pd.DataFrame(dict(zip(columns, (own[at], ids[hit], score))))
 
-    left = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(walk, "query_id long, vec_id long, score double")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = base.join(facts, "size").withColumn("shard", own(F.col("shards"))).withColumn("block", every("blocks")).drop("shards", "blocks")
+    right = asked.join(facts.drop("square"), "size").withColumn("block", own(F.col("blocks"))).withColumn("shard", every("shards")).drop("shards", "blocks")
+    key = ["size", "shard", "block"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(walk, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -164,9 +164,9 @@ def _open(pa, pb, child_a, child_b, same):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, label)``: vec_id, n_links, component_id, kept.
 
-    Vectors link if their labels are equal and not null and their cosine is at least ``threshold``.  Vectors that are null,
-    zero, hold null or non-finite components, have no label or differ in length from the label's first vector link with
-    nothing and are their own component.  A null vec_id links with nothing: n_links 0, component_id null, kept false.
+    Vectors link if their labels are equal and not null, they have the same length and their cosine is at least
+    ``threshold``.  Vectors that are null, zero, hold null or non-finite components or have no label link with nothing and
+    are their own component.  A null vec_id links with nothing: n_links 0, component_id null, kept false.
     Rows that share a vec_id are vectors of their own.  Other columns are ignored; an empty table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
@@ -175,25 +175,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
 
     size = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c * c)
     scale = F.aggregate("v", F.lit(0.0), lambda acc, c: F.greatest(acc, F.abs(c)))  # first by the largest part, lest squares overflow
-    unit = classes.withColumn("v", F.transform("v", lambda c: c / scale)).withColumn("v", F.transform("v", lambda c: c / F.sqrt(size)))
-    counts = unit.groupBy("label").agg(F.count("*").alias("n"), F.min_by(F.size("v"), "id").alias("size"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    unit = classes.withColumn("v", F.transform("v", lambda c: c / scale)).withColumn("v", F.transform("v", lambda c: c / F.sqrt(size))).withColumn("size", F.size("v"))
+    key = ["label", "size"]  # every length has pivots and cells of its own
+    counts = unit.groupBy(*key).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*key).orderBy(F.xxhash64("id"), "id")
     ranked = unit.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_pivots)
     wanted = F.least(F.lit(max_pivots), F.ceil(F.col("n") / block_rows))
-    pivots = ranked.join(counts, "label").where((F.col("k") <= wanted) & (F.size("v") == F.col("size")))
-    pivots = pivots.groupBy("label").agg(F.collect_list("v").alias("pivots"), F.first("size").alias("size"))
+    pivots = ranked.join(counts, key).where(F.col("k") <= wanted).groupBy(*key).agg(F.collect_list("v").alias("pivots"))
     pivots = settled(pivots, "pivots")
 
     @F.pandas_udf("array<double>")
     def distances(v: pd.Series, pivots: pd.Series) -> pd.Series:
         return pd.Series([np.sqrt(np.maximum(2 - 2 * (np.stack(p) @ x), 0)) for x, p in zip(v, pivots)])
 
-    near = unit.join(pivots, "label").where(F.size("v") == F.col("size")).withColumn("d", distances("v", "pivots")).drop("pivots", "size")
+    near = unit.join(pivots, key).withColumn("d", distances("v", "pivots")).drop("pivots")
     near = near.withColumn("own", F.array_min("d")).withColumn("cell", F.array_position("d", F.col("own")).cast("int") - 1)
     near = settled(near, "cells")
-    cells = near.groupBy("label", "cell").agg(F.max("own").alias("radius"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    cells = cells.groupBy("label").agg(F.collect_list(F.struct("cell", "radius", "blocks")).alias("cells"))  # max_pivots at most
-    near = near.join(cells, "label")
+    cells = near.groupBy(*key, "cell").agg(F.max("own").alias("radius"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    cells = cells.groupBy(*key).agg(F.collect_list(F.struct("cell", "radius", "blocks")).alias("cells"))  # max_pivots at most
+    near = near.join(cells, key)
     reach = math.sqrt(2 - 2 * threshold) + _SLACK
     blocks = F.filter("cells", lambda c: c["cell"] == F.col("cell"))[0]["blocks"]
     near = near.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
@@ -201,7 +201,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     others = F.flatten(F.transform(open_, lambda c: F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda s: F.struct(c["cell"].alias("cell"), s.alias("block")))))
     own = F.struct("cell", "block")
     met = near.withColumn("own", own).withColumn("other", F.explode(others))
-    met = met.select("label", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("right"), "id", "w", "v")
+    met = met.select(*key, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("right"), "id", "w", "v")
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -217,7 +217,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
         hit = n > 0
         return pd.DataFrame({"id": ids[hit], "n": n[hit], "root": ids[label][hit]})
 
-    found = settled(met.groupBy("label", "p", "q").applyInPandas(task, "id long, n double, root long"), "links")
+    found = settled(met.groupBy(*key, "p", "q").applyInPandas(task, "id long, n double, root long"), "links")
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("id").agg(F.sum("n").alias("n"))
     known = classes.join(totals, "id", "left").join(joined, F.col("id") == F.col("node"), "left")
