@@ -43,17 +43,23 @@ def portfolio_benefit(benefits: DataFrame) -> DataFrame:
 def replacements(security: DataFrame, correlation: DataFrame, most: int = 5, least_corr: float = 0.7, least_days: int = 30) -> DataFrame:
     """Candidates to replace a security: same sector first, then others; correlated enough or of unknown correlation.
 
-    ``correlation(si, sj, corr, n)`` holds each unordered pair once; fewer than ``least_days`` common dates is unknown.
+    ``correlation(si, sj, corr, n)`` holds each unordered pair at most once; fewer than ``least_days`` common dates, or no
+    row, is unknown.  A null sector or industry is nobody else's.
     """
-    a = security.select(F.col("sec").alias("sec"), F.col("sector").alias("s1"), F.col("industry").alias("i1"))
-    b = security.select(F.col("sec").alias("candidate"), F.col("sector").alias("s2"), F.col("industry").alias("i2"))
     both = correlation.where("si <> sj")
     both = both.select("si", "sj", "corr", "n").unionByName(both.select(F.col("sj").alias("si"), F.col("si").alias("sj"), "corr", "n"))
-    pairs = both.withColumnsRenamed({"si": "sec", "sj": "candidate"}).join(a, "sec").join(b, "candidate")
-    known = F.when(F.col("n") >= least_days, F.abs("corr"))
-    pairs = pairs.withColumn("known", known).where((F.col("known") >= least_corr) | F.col("known").isNull())
-    similar = 0.5 * (F.col("s1") == F.col("s2")).cast("double") + 0.3 * (F.col("i1") == F.col("i2")).cast("double") + 0.2
-    order = Window.partitionBy("sec").orderBy((F.col("s1") == F.col("s2")).desc(), "candidate")
+    barred = both.where((F.col("n") >= least_days) & (F.abs("corr") < least_corr)).select(F.col("si").alias("sec"), F.col("sj").alias("candidate"))
+    place = F.row_number().over(Window.orderBy("sec"))  # one narrow row a security
+    b = security.select(F.col("sec").alias("candidate"), F.col("sector").alias("s2"), F.col("industry").alias("i2"), place.alias("place"))
+    a = security.select("sec", F.col("sector").alias("s1"), F.col("industry").alias("i1"), F.count("sector").over(Window.partitionBy("sector")).alias("peers"))
+    same = a.drop("peers").join(b.drop("place"), F.col("s1") == F.col("s2"))
+    # among so many first securities at least ``most`` are neither barred nor of the same sector
+    reach = a.join(barred.groupBy("sec").agg(F.count("*").alias("b")), "sec", "left").withColumn("place", F.explode(F.sequence(F.lit(1), (most + 1 + F.col("peers") + F.coalesce("b", F.lit(0))).cast("int"))))
+    others = reach.join(b, "place").where(~F.coalesce(F.col("s1") == F.col("s2"), F.lit(False))).select(same.columns)
+    pairs = same.unionByName(others).where("sec <> candidate").join(barred, ["sec", "candidate"], "left_anti")
+    pairs = pairs.withColumns({"alike": F.coalesce(F.col("s1") == F.col("s2"), F.lit(False)), "close": F.coalesce(F.col("i1") == F.col("i2"), F.lit(False))})
+    similar = 0.5 * F.col("alike").cast("double") + 0.3 * F.col("close").cast("double") + 0.2
+    order = Window.partitionBy("sec").orderBy(F.desc("alike"), "candidate")
     return pairs.withColumns({"similarity": similar, "rank": F.row_number().over(order)}).where(F.col("rank") <= most).select("sec", "candidate", "rank", "similarity")
 
 
