@@ -23,13 +23,13 @@ def test_random_passages(spark):
             parts += [rng.choice(words) for _ in range(rng.randint(0, 9))] + rng.choice(shared)[rng.randint(0, 6) :]
         rows.append((d, rng.choice([" ", "\n", "\t "]).join(parts)))
     rng.shuffle(rows)
-    for window, anchor in ((13, 5), (13, 13), (6, 2), (3, 1)):
-        check(spark, rows, window=window, anchor=anchor, rows_per_bucket=25)
+    for window, anchor, direct in ((13, 5, 256), (13, 13, 1), (6, 2, 256), (3, 1, 1)):
+        check(spark, rows, window=window, anchor=anchor, bucket_bytes=8_000, direct=direct)
 
 
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    check(spark, [(r.doc_id, r.text) for r in docs.collect()], rows_per_bucket=70)
+    check(spark, [(r.doc_id, r.text) for r in docs.collect()], bucket_bytes=100_000)
 
 
 def test_odd_rows(spark):

@@ -13,7 +13,7 @@ def check(spark, rows, **options):
 
 def test_random_passages(spark):
     rng = random.Random(7)
-    for letters, length in (("ab", 12), ("abcdefgh ", 20), ("é ü", 50)):
+    for letters, length, direct in (("ab", 12, 256), ("abcdefgh ", 20, 1), ("é ü", 50, 256)):
         text = lambda n: "".join(rng.choice(letters) for _ in range(n))
         shared = [text(rng.randint(length // 2, 3 * length)) for _ in range(5)]
         rows = []
@@ -22,12 +22,12 @@ def test_random_passages(spark):
         rows.append((60, "a" * 300))
         rows.append((61, "a" * 200))
         rng.shuffle(rows)
-        check(spark, rows, length=length, rows_per_bucket=25)
+        check(spark, rows, length=length, bucket_bytes=8_000, direct=direct)
 
 
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    check(spark, rows, rows_per_bucket=70)
+    check(spark, rows, bucket_bytes=100_000)
 
 
 def test_odd_rows(spark):

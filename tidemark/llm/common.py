@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +21,13 @@ def session(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir, or the one set on the context."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not kept.isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return kept.get()
     return folder
 
 
@@ -40,9 +38,20 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets_for(df: DataFrame, rows_per_bucket: int) -> int:
-    """How many hash buckets keep a bucket near ``rows_per_bucket`` rows, whatever the size of the table."""
-    return max(1, math.ceil(df.count() / rows_per_bucket))
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What a worker process keeps from one task to the next, one thing at a time: asking for another forgets it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget() -> None:
+    """Frees what an earlier stage's tasks have left in this worker process."""
+    _held.clear()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

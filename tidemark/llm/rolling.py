@@ -23,7 +23,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_WORDS = {lane: _mix(np.arange(1 + 1000 * lane, 257 + 1000 * lane, dtype=np.uint64) * np.uint64(_BASE)) for lane in (0, 1)}
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -44,21 +44,20 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Prefix hashes of one byte string: ``slices(start, end)`` hashes many slices at once."""
+    """Prefix hashes of a string of bytes, or of items that are hashes already: many slices are hashed at once."""
 
-    def __init__(self, data: bytes, lane: int = 0):
-        raw = np.frombuffer(data, np.uint8)
-        up, self._down = _power_tables(len(raw) + 1)
-        sums = np.empty(len(raw) + 1, np.uint64)
+    def __init__(self, data: bytes | np.ndarray):
+        items = _BYTES[np.frombuffer(data, np.uint8)] if isinstance(data, bytes) else data
+        up, self._down = _power_tables(len(items) + 1)
+        sums = np.empty(len(items) + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_WORDS[lane][raw] * up[: len(raw)], out=sums[1:])
+        np.cumsum(items * up[: len(items)], out=sums[1:])
         self._sums = sums
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         body = (self._sums[end] - self._sums[start]) * self._down[start]
         return _mix(body + (end - start).astype(np.uint64))
 
-
     def sliding(self, size: int) -> np.ndarray:
         """Hashes of all slices of one size, in order."""
         n = len(self._sums) - size

@@ -8,8 +8,9 @@ Extension.  Each shared anchor is extended both ways over all the windows it sta
 equal as a whole are matched by one key; only where different stretches share an anchor are the single windows compared.
 A window is a repeat where it also starts in a document with a smaller id, and overlapping repeats join into maximal runs.
 
-Every match is made by grouping on a key with a minimum, never by listing pairs, and a bucket of documents sends each
-different stretch once, so a passage in a third of all documents costs a few bytes for each place where it stands.
+Every match is made by grouping on a key with a minimum, never by listing pairs.  A bucket of documents sends each
+different stretch once, with the smallest of its documents; the places where a stretch stands stay with the bucket.  So a
+passage in a third of all documents costs its shard one entry for each bucket.
 """
 
 from __future__ import annotations
@@ -22,28 +23,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buckets_for
-from tidemark.llm.exchange import ROWS_PER_BUCKET, covered, cuts, opened, pack, rows_of, shared_anchors, squeezed, unpack
+from tidemark.llm.common import forget
+from tidemark.llm.exchange import BUCKET_BYTES, DIRECT, RUNS, answered, buckets_for, covered, crossed, cuts, incoming, opened, outgoing, pack, shared_anchors, small, squeezed, unpack, width_for
 from tidemark.llm.rolling import Prefix, runs, winnow
 
 WINDOW = 13
 ANCHOR = 5
 
 
-def _words(text: bytes):
-    """The words' single-spaced text, and where each word starts and ends in it."""
+def _words(text: bytes) -> np.ndarray:
+    """One hash for each word."""
     words = text.split()
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(length + 1) - 1
-    return words, b" ".join(words), end - length, end
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _stretches(text: bytes, window: int, anchor: int):
     """Anchor hash, first window and number of windows of each stretch."""
-    words, joined, start, end = _words(text)
-    if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = Prefix(joined).slices(start[: len(words) - anchor + 1], end[anchor - 1 :])
+    h = Prefix(_words(text)).sliding(anchor)
     at = winnow(h, window - anchor + 1)
     first, n = runs(at)
     return h[at[first]], first, n
@@ -61,7 +57,7 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bucket_bytes: int = BUCKET_BYTES, direct: int = DIRECT) -> DataFrame:
     """doc_id, text_key, n_words, n_removed and ``kept`` (the kept words, single-spaced, as binary) of every document.
 
     ``text_key`` is Spark's xxhash64 of the text ('' if null), which tells rows apart that share a doc_id.
@@ -69,15 +65,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     A word goes if it lies in ``window`` consecutive words that also start in a document with a smaller doc_id; windows
     are judged on the texts as given.  ``window - anchor`` must be below 62.  Nulls: a null text has no words; rows with
     a null doc_id lose nothing and take nothing from others.  Rows that share a doc_id count as one document and never cut
-    each other.  Texts shorter than a window stay as they are.  Other columns are ignored; an empty table gives an empty
-    result.
+    each other.  Texts shorter than a window stay as they are; a text of any length is handled whole, in one task, with
+    memory in proportion to it.  Other columns are ignored; an empty table gives an empty result.
     """
     if not 0 < anchor <= window <= anchor + 61:
         raise ValueError("anchor must be at most window, and at least window - 61")
-    buckets = buckets_for(docs, rows_per_bucket)
-    shards = buckets
+    buckets = shards = buckets_for(docs, bucket_bytes)
+    width = width_for(buckets, 2 * shards, direct)
     rows = squeezed(docs, buckets)
-    told, left = shared_anchors(rows, shards, lambda text: _stretches(text, window, anchor))
+    told, left = shared_anchors(rows, buckets, shards, width, lambda text: _stretches(text, window, anchor))
 
     def extend(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """Shared anchors extended both ways: the hash of each stretch, and of each window of the different ones."""
@@ -85,33 +81,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         parts = []
         for r, (text, (seed, first, n)) in enumerate(zip(texts, left(ids, texts, told))):
             if len(seed):
-                _, joined, start, end = _words(text)
-                prefix = Prefix(joined)
+                prefix = Prefix(_words(text))
                 each = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                whole = prefix.slices(start[first], end[first + n + window - 2])
-                parts.append((seed, whole, n, first, np.full(len(seed), r), np.full(len(seed), ids[r]), prefix.slices(start[each], end[each + window - 1])))
-        none = np.zeros(0, np.int64)
-        seed, whole, n, first, row, owner, windows = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 2 + (none,) * 4 + (np.zeros(0, np.uint64),)
+                parts.append((seed, prefix.slices(first, first + n + window - 1), n, first, np.full(len(seed), r), np.full(len(seed), ids[r]), prefix.sliding(window)[each]))
+        if not parts:
+            return outgoing(0, {}, width)
+        seed, whole, n, first, row, owner, windows = (np.concatenate(x) for x in zip(*parts))
         order, start, _ = _groups(seed, whole)
-        count = np.diff(np.r_[start, len(order)])
-        begin = np.cumsum(n) - n
         lone = order[start]  # one stretch for each different one
-        pick = np.repeat(begin[lone] - np.r_[0, np.cumsum(n[lone])[:-1]], n[lone]) + np.arange(n[lone].sum()) if len(lone) else none
+        least = np.minimum.reduceat(owner[order], start)
+        pick = np.repeat((np.cumsum(n) - n)[lone] - np.r_[0, np.cumsum(n[lone])[:-1]], n[lone]) + np.arange(n[lone].sum())
         windows, ends = windows[pick], np.r_[0, np.cumsum(n[lone])]
-        at, occurs = cuts(seed[lone], shards), np.r_[0, np.cumsum(count)]
-        small = lambda x: x.astype(np.int32) if not len(x) or x.max() < 1 << 31 else x
-        blobs = []
-        for a, b in zip(at[:-1], at[1:]):
-            mine = order[occurs[a] : occurs[b]]
-            blobs.append(pack(seed[lone[a:b]], whole[lone[a:b]], n[lone[a:b]].astype(np.uint8), windows[ends[a] : ends[b]], small(count[a:b]), small(owner[mine]), small(row[mine]), small(first[mine])))
-        return pd.DataFrame({"shard": np.arange(shards, dtype=np.int32), "bucket": np.int32(pdf["bucket"].iloc[0]), "run": blobs})
+        at = cuts(seed[lone], shards)
+        sent = {s: pack(seed[lone[a:b]], whole[lone[a:b]], n[lone[a:b]].astype(np.uint8), windows[ends[a] : ends[b]], small(least[a:b])) for s, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a}
+        bucket = int(pdf["bucket"].iloc[0])
+        places = pack(np.diff(np.r_[start, len(order)]), *(small(x[order]) for x in (n, owner, row, first)))
+        return outgoing(bucket, sent | {shards + bucket: places}, width)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         """The stretches of a range of anchors from all buckets: which of their windows an earlier document has."""
-        parts = [unpack(x) for x in pdf["run"]]
-        seed, whole, n, windows, count, owner = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        n, owner = n.astype(np.int64), owner.astype(np.int64)
-        least = np.minimum.reduceat(owner, np.cumsum(count) - count) if len(count) else owner[:0]
+        forget()
+        dst, got = int(pdf["dst"].iloc[0]), incoming(pdf, width)
+        if dst >= shards:  # a bucket's own places
+            return outgoing(dst, dict(got), width)
+        parts = [unpack(x) for _, x in got]
+        seed, whole, n, windows, least = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        n, least = n.astype(np.int64), least.astype(np.int64)
         order, start, group = _groups(seed, whole)
         first = np.zeros(len(seed), np.int64)
         first[order] = np.minimum.reduceat(least[order], start)[group] if len(order) else first[:0]
@@ -135,19 +130,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             np.bitwise_or.at(some, np.repeat(np.flatnonzero(mixed), size)[late], np.int64(1) << inner[late])
         mask = np.zeros(len(seed), np.int64)
         mask[order] = some[group]
-        blobs, a = [], 0
-        for p in parts:
-            b = a + len(p[0])
-            f, m, every = (np.repeat(x[a:b], p[4]) for x in (first, mask, (np.int64(1) << n) - 1))
-            m = np.where(p[5] > f, every, m)
-            blobs.append(pack(p[6][m != 0], p[7][m != 0], m[m != 0]))
-            a = b
-        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "shard": pdf["shard"].to_numpy(), "marks": blobs})
+        ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+        answers = zip(got, np.split(first, ends), np.split(mask, ends))
+        return outgoing(dst, {bucket: pack(small(f), m) for (bucket, _), f, m in answers}, width)
 
     def cut(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         ids, texts = opened(pdf)
         out = []
-        for i, text, (at, mask) in zip(ids, texts, rows_of([unpack(x) for x in told["marks"]], len(ids))):
+        for i, text, (at, mask) in zip(ids, texts, answered(told, len(ids), width)):
             words = text.split()
             n = len(words)
             if len(at):
@@ -156,8 +146,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         out = pd.DataFrame(out, columns=["doc_id", "text_key", "n_words", "n_removed", "kept"])
         return out.assign(text_key=out["text_key"].astype("uint64").astype("int64")).astype({"doc_id": "Int64"})
 
-    sent = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(extend, "shard int, bucket int, run binary")
-    marks = sent.groupBy("shard").applyInPandas(match, "bucket int, shard int, marks binary")
+    sent = crossed(rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(extend, RUNS), width)
+    marks = crossed(sent.groupBy("dst").applyInPandas(match, RUNS), width).withColumnRenamed("dst", "bucket")
     return rows.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cut, "doc_id long, text_key long, n_words long, n_removed long, kept binary")
 
 

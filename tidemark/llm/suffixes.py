@@ -9,8 +9,8 @@ Each bucket sorts its suffixes, led by their anchor's hash so that shards are ra
 equal ones, and sends front-coded runs: for each suffix the length of the prefix shared with the one before, and the rest.
 A shard merges the runs with a loser tree that keeps these lengths: two heads are told apart by their lengths alone unless
 they are equal, and then the comparison starts behind the known prefix.  Equal suffixes come out side by side; where one
-anchor leads different suffixes, their single strings are matched as well.  What goes back to a bucket is, for each
-suffix with repeats, a bit for each of its strings.
+anchor leads different suffixes, their single strings are matched as well.  What goes back to a bucket is, for each of its
+different suffixes, the smallest document that has it and a bit for each of its strings; the places stay with the bucket.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buckets_for
-from tidemark.llm.exchange import ROWS_PER_BUCKET, covered, cuts, opened, pack, rows_of, shared_anchors, squeezed, unpack
+from tidemark.llm.common import forget
+from tidemark.llm.exchange import BUCKET_BYTES, DIRECT, RUNS, answered, buckets_for, covered, crossed, cuts, incoming, opened, outgoing, pack, shared_anchors, small, squeezed, unpack, width_for
 from tidemark.llm.rolling import Prefix, runs, winnow
 
 LENGTH = 50
@@ -48,11 +48,11 @@ def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
 
 def front_code(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Shared-prefix lengths, lengths of the rest, and the rests of a sorted list."""
-    lcp, before = np.zeros(len(strings), np.uint16), b""
+    lcp, before = np.zeros(len(strings), np.uint32), b""
     for i, s in enumerate(strings):
         lcp[i] = shared_prefix(before, s)
         before = s
-    size = np.fromiter(map(len, strings), np.uint16, len(strings)) - lcp
+    size = np.fromiter(map(len, strings), np.uint32, len(strings)) - lcp
     return lcp, size, b"".join([s[k:] for s, k in zip(strings, lcp.tolist())])
 
 
@@ -122,21 +122,22 @@ def merge(codes: list[tuple[np.ndarray, np.ndarray, bytes]]):
             node //= 2
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int | None = None, bucket_bytes: int = BUCKET_BYTES, direct: int = DIRECT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary) of every document.
 
     A byte goes if it lies in a ``length``-byte string that also starts in a document with a smaller doc_id; strings are
     judged on the texts as given, overlaps count, and matches never cross documents.  A null text is empty.  A row with a
     null doc_id loses nothing and takes nothing from others; rows that share a doc_id count as one document and never cut
-    each other.  Texts shorter than ``length`` stay whole.  Other columns are ignored; an empty table gives an empty result.
+    each other.  Texts shorter than ``length`` stay whole; a text of any length is handled whole, in one task, with memory in
+    proportion to it.  Other columns are ignored; an empty table gives an empty result.
     """
     anchor = anchor or max(1, length // 2 - 1)
     if length - anchor + 1 > 62:
         raise ValueError("length - anchor must be below 62")
-    buckets = buckets_for(docs, rows_per_bucket)
-    shards = buckets
+    buckets = shards = buckets_for(docs, bucket_bytes)
+    width = width_for(buckets, 2 * shards, direct)
     rows = squeezed(docs, buckets)
-    told, left = shared_anchors(rows, shards, lambda data: _stretches(data, length, anchor))
+    told, left = shared_anchors(rows, buckets, shards, width, lambda data: _stretches(data, length, anchor))
 
     def send(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         ids, texts = opened(pdf)
@@ -147,9 +148,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int | None = N
             strings += [lead[8 * i : 8 * i + 8] + text[s:e] for i, (s, e) in enumerate(zip(begin, end))]
             row += [r] * len(begin)
             first += begin
+        if not strings:
+            return outgoing(0, {}, width)
         order = sorted(range(len(strings)), key=strings.__getitem__)
         row, first = np.array(row, np.int32)[order], np.array(first, np.int64)[order]
-        owner = np.array([0 if i is None else i for i in ids], np.int64)[row] if len(row) else np.zeros(0, np.int64)
+        owner = np.array([0 if i is None else i for i in ids], np.int64)[row]
         distinct, count = [], []
         for i in order:
             if distinct and distinct[-1] == strings[i]:
@@ -158,21 +161,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int | None = N
                 distinct.append(strings[i])
                 count.append(1)
         lead = np.array([int.from_bytes(s[:8], "big") for s in distinct], np.uint64)
-        at, ends = cuts(lead, shards), np.r_[0, np.cumsum(np.array(count, np.int64))]
-        blobs = [
-            pack(front_code(distinct[a:b]), np.array(count[a:b], np.int32), owner[ends[a] : ends[b]], row[ends[a] : ends[b]], first[ends[a] : ends[b]])
-            for a, b in zip(at[:-1], at[1:])
-        ]
-        return pd.DataFrame({"shard": np.arange(shards, dtype=np.int32), "bucket": np.int32(pdf["bucket"].iloc[0]), "run": blobs})
+        count = np.array(count, np.int64)
+        least = np.minimum.reduceat(owner, np.cumsum(count) - count)
+        n = np.repeat(np.array([len(s) - 7 - length for s in distinct], np.uint8), count)
+        at = cuts(lead, shards)
+        sent = {s: pack(front_code(distinct[a:b]), small(least[a:b])) for s, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a}
+        bucket = int(pdf["bucket"].iloc[0])
+        return outgoing(bucket, sent | {shards + bucket: pack(small(count), n, small(owner), row, small(first))}, width)
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
-        parts = [unpack(x) for x in pdf["run"]]
-        ends = [np.r_[0, np.cumsum(p[1])] for p in parts]
-        least = [np.minimum.reduceat(p[2], e[:-1]).tolist() if len(p[1]) else [] for p, e in zip(parts, ends)]
-        first = [np.zeros(len(p[1]), np.int64) for p in parts]  # smallest document of each suffix
-        some = [np.zeros(len(p[1]), np.int64) for p in parts]  # its strings that start in a smaller document still
-        spans = [np.zeros(len(p[1]), np.int64) for p in parts]
+        forget()
+        dst, got = int(pdf["dst"].iloc[0]), incoming(pdf, width)
+        if dst >= shards:  # a bucket's own places
+            return outgoing(dst, dict(got), width)
+        parts = [unpack(x) for _, x in got]
+        least = [p[1].tolist() for p in parts]
+        first = [np.zeros(len(x), np.int64) for x in least]  # smallest document of each suffix
+        some = [np.zeros(len(x), np.int64) for x in least]  # its strings that start in a smaller document still
 
         def resolve(group: list) -> None:
             """All suffixes of one anchor: [string, smallest document, places]."""
@@ -190,7 +195,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int | None = N
                             masks[g] |= 1 << i - 8
             for mask, (s, doc, places) in zip(masks, group):
                 for r, i in places:
-                    first[r][i], some[r][i], spans[r][i] = doc, mask, len(s) - 8 - length + 1
+                    first[r][i], some[r][i] = doc, mask
 
         group: list = []
         for s, lcp, r, i in merge([p[0] for p in parts]):
@@ -204,27 +209,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int | None = N
             else:
                 group.append([s, doc, [(r, i)]])
         resolve(group)
-        blobs = []
-        for p, f, m, n in zip(parts, first, some, spans):
-            owner = p[2]
-            f, m, n = np.repeat(f, p[1]), np.repeat(m, p[1]), np.repeat(n, p[1])
-            mask = np.where(owner > f, (np.int64(1) << n) - 1, m)
-            hit = mask != 0
-            blobs.append(pack(p[3][hit], p[4][hit], mask[hit]))
-        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "shard": pdf["shard"].to_numpy(), "marks": blobs})
+        return outgoing(dst, {bucket: pack(small(f), m) for (bucket, _), f, m in zip(got, first, some)}, width)
 
     def cut(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         ids, texts = opened(pdf)
         out = []
-        for i, text, (at, mask) in zip(ids, texts, rows_of([unpack(x) for x in told["marks"]], len(ids))):
+        for i, text, (at, mask) in zip(ids, texts, answered(told, len(ids), width)):
             gone = covered(len(text), at, mask, length) if len(at) else np.zeros(0, bool)
             spans = int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
             out.append((i, len(text), len(text) - len(kept), spans, kept))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
 
-    sent = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(send, "shard int, bucket int, run binary")
-    marks = sent.groupBy("shard").applyInPandas(combine, "bucket int, shard int, marks binary")
+    sent = crossed(rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(send, RUNS), width)
+    marks = crossed(sent.groupBy("dst").applyInPandas(combine, RUNS), width).withColumnRenamed("dst", "bucket")
     return rows.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
