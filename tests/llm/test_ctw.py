@@ -59,9 +59,9 @@ class Tree:
         return total
 
 
-def check(spark, rows, depth):
+def check(spark, rows, depth, bucket_bytes=1 << 20, direct=256):
     df = spark.createDataFrame([(d, t, "a", "b") for d, t in rows], SCHEMA)
-    got = sorted(((r.doc_id or 0, r.n_tokens), r) for r in ctw.score(df, depth, rows_per_bucket=30).collect())
+    got = sorted(((r.doc_id or 0, r.n_tokens), r) for r in ctw.score(df, depth, bucket_bytes, direct).collect())
     tree = Tree([(t or "").encode() for d, t in rows if not is_out(d)], depth)
     words = Counter()
     split = lambda t: (t or "").encode().lower().split() + [None]
@@ -77,13 +77,16 @@ def check(spark, rows, depth):
     want.sort(key=lambda w: w[0])
     for (key, r), w in zip(got, want, strict=True):
         assert (key, r.held_out, r.n_known, r.train_tokens) == w[:4]
-        assert abs(r.base_score - w[4]) < 1e-6 * max(1, -w[4])
-        assert abs(r.score - w[5]) < 1e-4 * max(1, -w[5])
+        assert abs(r.base_score - w[4]) < 1e-9 * max(1, -w[4])
+        assert abs(r.score - w[5]) < 1e-9 * max(1, -w[5])
 
 
 def test_against_definition(spark):
     rows = [(i, t) for i, t in enumerate(["ab ab abc", "Abab c", "é ab", "", None, "ab ab", "zz top ab", "a\nb a", "ab ab abc", "abc abd", "x"])]
-    check(spark, [*rows, (5, "ab ab"), (None, "ab q")], 2)
+    rows += [(5, "ab ab"), (None, "ab q")]
+    check(spark, rows, 2)
+    check(spark, rows, 5, bucket_bytes=2000, direct=1)
+    check(spark, rows, 0)
 
 
 def test_compresses_and_empty(spark):

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import held
+
 #: The pre-token pattern of this vocabulary family: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces in each of the two generations a worker remembers; a limit on its memory, not on the texts.
@@ -131,14 +133,9 @@ class PrefixBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_models: dict[str, PrefixBpe] = {}
-
-
 def model(path: str) -> PrefixBpe:
-    """One model per worker process and file."""
-    if path not in _models:
-        _models[path] = PrefixBpe(path)
-    return _models[path]
+    """One model per worker process and file, until the worker turns to another stage."""
+    return held(("bpe", path), lambda: PrefixBpe(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -168,7 +165,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Per document: n_tokens and the SHA-256 of its ids and of the text decoded from them.
 
-    Rows with null doc_id or repeated rows each give a row; other columns are ignored; an empty table gives no rows.
+    Rows with null doc_id or repeated rows each give a row; a text of any length is encoded whole, its time in proportion to
+    its length; other columns are ignored; an empty table gives no rows.
     """
     out = decode(encode(docs, path), path)
     return out.select(

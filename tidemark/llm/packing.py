@@ -17,12 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settled
+from tidemark.llm.common import held, settled
 
 WINDOW = 2048
 END_ID = 1
 #: Encoded words in each of the two generations a worker remembers; a limit on its memory, not on the texts.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 class WordEncoder:
@@ -61,14 +61,9 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, words))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """One encoder per worker process and file, until the worker turns to another stage."""
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -99,7 +94,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` (unsigned little-endian
     32-bit) if ``with_ids``.  A null text counts as empty and gives one piece with the end id alone; a null doc_id and
-    repeated rows are packed like any other row; other columns are ignored; an empty table gives no pieces.
+    repeated rows are packed like any other row; a text of any length is encoded whole and cut as often as need be; other
+    columns are ignored; an empty table gives no pieces.
     """
     blocks = token_blocks(docs, tokenizer_path, end_id)
     totals = {r.part: r.n for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a number per partition
