@@ -85,6 +85,24 @@ def test_exact_search(spark):
     assert neighbours.search(df.limit(0), df, 5).count() == 0
 
 
+def test_ties_of_identical_vectors(spark):
+    """150 equal rows among 700: ranks go by product, then by id, although distances differ in their last bits."""
+    rng = np.random.default_rng(3)
+    for size in (64, 8):
+        x = rng.normal(size=(700, size))
+        x[rng.choice(700, 150, replace=False)] = x[0]
+        tree = neighbours.VantageTree(x, np.arange(700), (x * x).sum(axis=1).max(), leaf=40)
+        _, got = tree.search(x, np.arange(700), 20, 1.0)
+        products = np.stack([np.einsum("ij,ij->i", np.repeat(x[i : i + 1], 700, axis=0), x) for i in range(700)])
+        for i in range(700):
+            order = [j for j in np.lexsort((np.arange(700), -products[i])) if j != i][:20]
+            assert got[i].tolist() == order
+        rows = [(int(i), [float(c) for c in v], 0, "a", "b") for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cell string, own string")
+        found = neighbours.search(df, df.where("vec_id % 20 = 0"), 20, factor=1.0).orderBy("query_id", "rank").collect()
+        assert [r.vec_id for r in found] == [j for i in range(0, 700, 20) for j in got[i].tolist()]
+
+
 def test_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     asked = rows.where("vec_id % 20 = 0")
