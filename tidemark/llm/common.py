@@ -38,6 +38,13 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 _held: dict = {}
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, settled
@@ -92,18 +92,17 @@ def groups(prints: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...
         raise ValueError("segments must sum to 64 bits and number more than half the distance")
     classes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
 
-    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    index = _variants(classes.select("fp"), segments)
-    centre = index.groupBy("bit", "rest").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).where("n > 1")
-    stars = (
-        index.alias("l").join(centre.alias("r"), ["bit", "rest"]).where((F.col("l.fp") > F.col("r.fp")) & (F.bit_count(x) <= distance))
-        .select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    )
-    first = settled(components(stars), "stars")
+    same = Window.partitionBy("bit", "rest")
+    index = _variants(classes.select("fp"), segments).withColumn("centre", F.min("fp").over(same))
+    stars = index.where((F.col("fp") > F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= distance))
+    first = settled(components(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b"))), "stars")
 
     labelled = classes.join(first, classes["fp"] == first["node"], "left").select("fp", F.coalesce("component", "fp").alias("c"))
     labelled = settled(labelled, "labelled")
-    index = _variants(labelled, segments)
+    # variants whose members are of one component have nothing left to find
+    index = _variants(labelled, segments).withColumns({"low": F.min("c").over(same), "high": F.max("c").over(same)})
+    index = settled(index.where("low <> high").drop("low", "high"), "open")
+    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     bridges = index.alias("l").join(
         index.alias("r"),
         (F.col("l.bit") == F.col("r.bit")) & (F.col("l.rest") == F.col("r.rest")) & (F.col("l.fp") < F.col("r.fp")) & (F.col("l.c") != F.col("r.c"))
@@ -120,17 +119,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: tuple[i
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Nulls, blank texts and repeated rows: a null or blank text has fingerprint zero and links like any other; rows that
-    share a doc_id each get their own row.  Other columns are ignored, whatever their names.  An empty table gives an
-    empty result.
+    share a doc_id each get their own row.  A text of any length is hashed whole, in pieces.  Other columns are ignored,
+    whatever their names.  An empty table gives an empty result.
     """
     prints = settled(fingerprints(docs, shingle), "prints")
     found = groups(prints, distance, segments)
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that represent their group (doc_id equals component_id); rows with a null doc_id stay."""
-    found = near_duplicates(docs.where("doc_id is not null"), **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    return known.unionByName(docs.where("doc_id is null"))
