@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import finite, trailing, union_all, winsor_z
 
 
+LEVELS = ("sector", "industry", "sub_industry")
+
+
 def standardise(raw: DataFrame, name: str) -> DataFrame:
     """``(sec, month, x)`` to exposures: finite values, clipped and z-scored within the month."""
     rows = raw.select("sec", "month", finite(F.col("x")).alias("exposure")).where("exposure is not null")
@@ -43,17 +46,25 @@ def currency_sensitivity(returns: DataFrame, fx: DataFrame, months: int = 60, le
     return slope_over(returns.join(fx, "month"), "ret", "fx_return", months, least)
 
 
-def momentum(returns: DataFrame, months: int = 12, skip: int = 1, least: int = 11) -> DataFrame:
-    """Compounded return of the ``months`` months that end ``skip`` months back."""
+def trailing_return(returns: DataFrame, months: int, skip: int, least: int) -> DataFrame:
+    """Compounded return of the ``months`` months that end ``skip`` months back, of which ``least`` have a return."""
     w = Window.partitionBy("sec").orderBy("mi").rangeBetween(-(months + skip - 1), -skip)
     rows = returns.where("ret is not null").withColumn("g", 1 + F.col("ret"))
     rows = rows.withColumns({"n": F.count("*").over(w), "p": F.exp(F.sum(F.log(F.when(F.col("g") > 0, F.col("g")))).over(w)), "dead": F.min("g").over(w) <= 0})
     return rows.where(F.col("n") >= least).select("sec", "month", F.when(F.col("dead"), -1.0).otherwise(F.col("p") - 1).alias("x"))
 
 
+def momentum(returns: DataFrame, months: int = 12, skip: int = 1, least: int = 11) -> DataFrame:
+    """The return ``skip`` months back, which must be there, compounded with the ``months`` months before it, of which at
+    least ``least`` have a return."""
+    last = trailing_return(returns, 1, skip, 1).withColumnRenamed("x", "latest")
+    older = trailing_return(returns, months, skip + 1, least)
+    return older.join(last, ["sec", "month"]).select("sec", "month", ((1 + F.col("x")) * (1 + F.col("latest")) - 1).alias("x"))
+
+
 def blended_momentum(returns: DataFrame) -> DataFrame:
     """Horizons 1, 3, 6 and 12 months weighted .05, .15, .30 and .50; all must be there."""
-    parts = [momentum(returns, m, 1, max(1, m - 1)).withColumn("w", F.lit(w)) for m, w in ((1, 0.05), (3, 0.15), (6, 0.3), (12, 0.5))]
+    parts = [trailing_return(returns, m, 1, max(1, m - 1)).withColumn("w", F.lit(w)) for m, w in ((1, 0.05), (3, 0.15), (6, 0.3), (12, 0.5))]
     return union_all(parts).groupBy("sec", "month").agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.count("x").alias("n")).where("n = 4").drop("n")
 
 
@@ -110,10 +121,10 @@ def dividend_yield(panel: DataFrame) -> DataFrame:
 
 
 def industry(returns: DataFrame, security: DataFrame) -> DataFrame:
-    """One-hot membership at sector and industry level; unknown is ``Unclassified``."""
-    rows = returns.select("sec", "month").join(security, "sec", "left")
+    """One-hot membership at the levels sector, industry and sub-industry; unknown is ``Unclassified``."""
+    rows = returns.select("sec", "month").join(security.select("sec", *LEVELS), "sec", "left")
     level = lambda name: F.struct(F.lit(name).alias("level"), F.coalesce(F.col(name), F.lit("Unclassified")).alias("label"))
-    rows = rows.select("sec", "month", F.inline(F.array(level("sector"), level("industry"))))
+    rows = rows.select("sec", "month", F.inline(F.array(*map(level, LEVELS))))
     return rows.select("sec", "month", F.concat_ws(":", "level", "label").alias("factor"), F.lit(1.0).alias("exposure"))
 
 
@@ -121,6 +132,12 @@ def country(returns: DataFrame, label: str = "US") -> DataFrame:
     return returns.select("sec", "month", F.lit(f"country:{label}").alias("factor"), F.lit(1.0).alias("exposure"))
 
 
+def combined(styles: DataFrame, returns: DataFrame, security: DataFrame) -> DataFrame:
+    """Imputed style, industry and country exposures in one table, the country under one label."""
+    parts = [impute(styles, returns, security).drop("flags"), industry(returns, security), country(returns)]
+    return union_all([x.select("sec", "month", "factor", "exposure") for x in parts])
+
+
 def impute(exposures: DataFrame, returns: DataFrame, security: DataFrame) -> DataFrame:
     """Fills every (security, factor) of a month: industry median, else the month's median, else zero; flags what it filled."""
     grid = returns.select("sec", "month").distinct().join(exposures.select("month", "factor").distinct(), "month").join(security.select("sec", "industry"), "sec", "left")
@@ -150,11 +167,11 @@ def orthogonalise(exposures: DataFrame, base: str = "size") -> DataFrame:
     return rows.select("sec", "month", "factor", F.when(F.col("sd") > 1e-12, (F.col("r") - F.col("m")) / F.col("sd")).otherwise(0.0).alias("exposure"))
 
 
-def style_exposures(returns: DataFrame, market: DataFrame, panel: DataFrame) -> DataFrame:
-    """All style factors of all months in one table."""
+def style_exposures(returns: DataFrame, market: DataFrame, panel: DataFrame, fx: DataFrame) -> DataFrame:
+    """All ten style factors of all months in one table."""
     raw = {
         "size": size(returns), "beta": beta(returns, market), "momentum": momentum(returns), "earnings_yield": earnings_yield(panel),
         "book_to_price": book_to_price(panel), "growth": growth(panel), "earnings_variability": earnings_variability(panel),
-        "leverage": leverage(panel), "dividend_yield": dividend_yield(panel),
+        "leverage": leverage(panel), "dividend_yield": dividend_yield(panel), "currency_sensitivity": currency_sensitivity(returns, fx),
     }
     return union_all([standardise(df, name) for name, df in raw.items()])

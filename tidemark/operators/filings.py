@@ -59,7 +59,8 @@ def facts(filings: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.col("t"), r"(?s)<[^>]*>", "")
     value = number_from_text(text) * F.when(attr("sign") == "-", -1).otherwise(1)
     scale = attr("scale").try_cast("int")
-    value = F.when(scale.isNotNull(), value * F.pow(F.lit(10.0), scale - 6)).otherwise(value)
+    # a power of ten below one is not exact in binary, a division by its inverse is
+    value = F.when(scale >= 6, value * F.pow(F.lit(10.0), scale - 6)).when(scale.isNotNull(), value / F.pow(F.lit(10.0), 6 - scale)).otherwise(value)
     return rows.select("id", F.regexp_replace(attr("name"), "^[^:]*:", "").alias("tag"), attr("contextRef").alias("context"), value.alias("value")).where("value is not null")
 
 

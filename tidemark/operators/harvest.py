@@ -67,14 +67,15 @@ def opportunities(benefits: DataFrame, wash: DataFrame, candidates: DataFrame, l
     """Open lots with a loss worth taking, scored, the best ``top`` of each account.
 
     Score: 1000 x (benefit, halved if a wash sale, plus 0.2 x benefit x mean similarity of the three best candidates, or
-    times 0.7 without candidates) over the loss.  ``wash(acct, sec, lot, wash)``.
+    times 0.7 without candidates) over the loss; scores equal to six places tie, and go by security and lot.
+    ``wash(acct, sec, lot, wash)``.
     """
     best = candidates.where("rank <= 3").groupBy("sec").agg(F.avg("similarity").alias("similarity"))
     rows = benefits.where(F.col("gain") <= -least_loss).join(wash.select("acct", "sec", "lot", "wash"), ["acct", "sec", "lot"], "left").join(best, "sec", "left")
     worth = F.col("benefit") * F.when(F.coalesce("wash", F.lit(False)), 0.5).otherwise(1.0)
     worth = F.when(F.col("similarity").isNull(), worth * 0.7).otherwise(worth + F.col("benefit") * 0.2 * F.col("similarity"))
     rows = rows.withColumn("score", worth / -F.col("gain") * 1000)
-    order = Window.partitionBy("acct").orderBy(F.desc("score"), "sec", "lot")
+    order = Window.partitionBy("acct").orderBy(F.desc(F.round("score", 6)), "sec", "lot")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("acct", "rank", "sec", "lot", "gain", "benefit", F.coalesce("wash", F.lit(False)).alias("wash"), "score")
 
 

@@ -48,6 +48,12 @@ def model_risk(summary_rows: DataFrame) -> DataFrame:
     return out.withColumn("monthly_vol", vol).withColumn("annual_vol", vol * math.sqrt(12))
 
 
+def top_contributions(summary_rows: DataFrame, n: int = 10) -> DataFrame:
+    """The n largest variance contributions of each month; specific and total rows are none."""
+    rows = summary_rows.where("item not in ('specific', 'total')")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("variance"), "item"))).where(F.col("rank") <= n)
+
+
 def top_exposures(weights: DataFrame, exposures: DataFrame, n: int = 10) -> DataFrame:
     """The n largest |x| of each month."""
     x = factor_exposure(weights, exposures)

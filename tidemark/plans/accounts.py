@@ -146,17 +146,12 @@ def _opportunities(t: Tables) -> DataFrame:
     return harvest.opportunities(_benefits(t), harvest.wash_sales(open_, _buys(t), exclude_own_lot=True), _replacements(t))
 
 
-@add("SELECT acct, count(*) AS n, count_if(gain <= -100) AS checked FROM opp GROUP BY acct", "", _FOUND)
-def h49_opportunity_counts(t):
-    return _opportunities(t).groupBy("acct").agg(F.count("*").alias("n"), F.count_if(F.col("gain") <= -100).alias("checked"))
-
-
-@add()
+@add("SELECT * FROM opp", "gain benefit score", _FOUND, places=4)
 def h49_harvest_opportunities(t):
     return _opportunities(t)
 
 
-@add()
+@add("SELECT acct, count(*) AS n, count_if(benefit > 500) AS significant, sum(benefit) AS total_benefit, sum(-gain) AS total_loss, avg(score) AS mean_score FROM opp GROUP BY acct", "total_benefit total_loss mean_score", _FOUND, places=3)
 def h50_opportunity_summary(t):
     return harvest.opportunity_summary(_opportunities(t))
 

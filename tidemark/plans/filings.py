@@ -64,7 +64,7 @@ def j2_period_contexts(t):
     return filings.contexts(_order_filings(t))
 
 
-@add("SELECT o_orderkey AS id, 'Revenues' AS tag, 'c1' AS context, -round(o_totalprice, 2) / 1000 AS value FROM orders", "value", places=3)
+@add("SELECT o_orderkey AS id, 'Revenues' AS tag, 'c1' AS context, -round(o_totalprice, 2) / 1000 AS value FROM orders", "value", places=6)
 def j3_inline_facts(t):
     return filings.facts(_order_filings(t))
 

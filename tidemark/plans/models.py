@@ -36,7 +36,7 @@ def _returns(t: Tables) -> DataFrame:
 
 
 def _panel(t: Tables) -> DataFrame:
-    return exposures.as_of(_returns(t), exposures.with_history(t.quarters()))
+    return t.keep("panel", lambda: exposures.as_of(_returns(t), exposures.with_history(t.quarters())))
 
 
 def _style(t: Tables) -> DataFrame:
@@ -48,9 +48,26 @@ def _style(t: Tables) -> DataFrame:
     return t.keep("style", make)
 
 
-def _factor_returns(t: Tables) -> DataFrame:
+def _ten_styles(t: Tables) -> DataFrame:
     r = _returns(t)
-    return t.keep("factor_returns", lambda: regress.cross_section(_style(t).unionByName(exposures.country(r)), r))
+    return t.keep("ten_styles", lambda: exposures.style_exposures(r, prices.market_returns(r), _panel(t), _fx(t)))
+
+
+def _model(t: Tables) -> DataFrame:
+    """Exposures of the whole model: ten styles, three industry levels, country."""
+    return t.keep("model", lambda: exposures.combined(_ten_styles(t), _returns(t), t.security()))
+
+
+def _factor_returns(t: Tables) -> DataFrame:
+    return t.keep("factor_returns", lambda: regress.cross_section(_model(t), _returns(t)))
+
+
+def _residuals(t: Tables) -> DataFrame:
+    return t.keep("residuals", lambda: regress.residuals(_model(t), _returns(t), _factor_returns(t)))
+
+
+def _smoothed(t: Tables) -> DataFrame:
+    return t.keep("smoothed", lambda: regress.smoothed_risk(_residuals(t), t.security()))
 
 
 _SMALL_FACTORS = """
@@ -133,8 +150,8 @@ def e11_winsor_zscore(t):
     return winsor_z(rows, "exposure", ["month"])
 
 
-@add("""SELECT sec, month, exp(s) - 1 AS x FROM (SELECT sec, month, count(*) OVER w AS n, sum(ln(1 + ret)) OVER w AS s FROM returns WHERE ret IS NOT NULL
-  WINDOW w AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n >= 11""", "x")
+@add("""SELECT sec, month, exp(s + l) - 1 AS x FROM (SELECT sec, month, count(*) OVER w AS n, sum(ln(1 + ret)) OVER w AS s, sum(ln(1 + ret)) OVER v AS l FROM returns WHERE ret IS NOT NULL
+  WINDOW w AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 13 PRECEDING AND 2 PRECEDING), v AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)) WHERE n >= 11 AND l IS NOT NULL""", "x")
 def h9_momentum(t):
     return exposures.momentum(_returns(t))
 
@@ -176,14 +193,17 @@ f AS (SELECT r.sec, r.month, count(*) OVER w AS n, sum(ret) OVER w AS sx, sum(fx
 """
 
 
+def _fx(t: Tables) -> DataFrame:
+    fx = t.read("orders").groupBy(F.last_day(F.col("o_orderdate").cast("date")).alias("month")).agg(F.avg("o_totalprice").alias("p"))
+    return fx.select("month", (F.col("p") / F.lag("p").over(Window.orderBy("month")) - 1).alias("fx_return"))  # one row a month
+
+
 @add("SELECT sec, month, (sxy - sx * sy / n) / (syy - sy * sy / n) AS x FROM f WHERE n >= 24", "x", _FX, places=4)
 def h16_currency_sensitivity(t):
-    fx = t.read("orders").groupBy(F.last_day(F.col("o_orderdate").cast("date")).alias("month")).agg(F.avg("o_totalprice").alias("p"))
-    fx = fx.select("month", (F.col("p") / F.lag("p").over(Window.orderBy("month")) - 1).alias("fx_return"))  # one row a month
-    return exposures.currency_sensitivity(_returns(t), fx)
+    return exposures.currency_sensitivity(_returns(t), _fx(t))
 
 
-@add("SELECT sec, month, 'sector:' || sector AS factor, 1.0::DOUBLE AS exposure FROM returns JOIN security USING (sec) UNION ALL SELECT sec, month, 'industry:' || industry, 1.0::DOUBLE FROM returns JOIN security USING (sec)", "exposure")
+@add("SELECT sec, month, 'sector:' || sector AS factor, 1.0::DOUBLE AS exposure FROM returns JOIN security USING (sec) UNION ALL SELECT sec, month, 'industry:' || industry, 1.0::DOUBLE FROM returns JOIN security USING (sec) UNION ALL SELECT sec, month, 'sub_industry:' || sub_industry, 1.0::DOUBLE FROM returns JOIN security USING (sec)", "exposure")
 def h17_industry_exposures(t):
     return exposures.industry(_returns(t), t.security())
 
@@ -194,8 +214,8 @@ def h18_country_exposure(t):
 
 
 _STYLE = _HISTORY.strip() + f""",
-mom AS (SELECT sec, month, exp(s) - 1 AS x FROM (SELECT sec, month, count(*) OVER w AS n, sum(ln(1 + ret)) OVER w AS s FROM returns WHERE ret IS NOT NULL
-  WINDOW w AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n >= 11),
+mom AS (SELECT sec, month, exp(s + l) - 1 AS x FROM (SELECT sec, month, count(*) OVER w AS n, sum(ln(1 + ret)) OVER w AS s, sum(ln(1 + ret)) OVER v AS l FROM returns WHERE ret IS NOT NULL
+  WINDOW w AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 13 PRECEDING AND 2 PRECEDING), v AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)) WHERE n >= 11 AND l IS NOT NULL),
 style AS (SELECT 'size' AS factor, * FROM ({_z("ln(cap)", "returns", "cap > 0")}) UNION ALL SELECT 'momentum', * FROM ({_z("x", "mom")})
           UNION ALL SELECT 'book_to_price', * FROM ({_z("ln(book / cap)", "panel", "cap > 0 AND book > 0")})),
 grid AS (SELECT * FROM (SELECT DISTINCT sec, month FROM returns) JOIN (SELECT DISTINCT month, factor FROM style) USING (month) JOIN security USING (sec)),
@@ -218,8 +238,17 @@ def h21_style_coverage(t):
 
 @add()
 def h20_style_exposures(t):
-    r = _returns(t)
-    return exposures.style_exposures(r, prices.market_returns(r), _panel(t))
+    """All ten factors, each stated in SQL by its own query (h7 to h16)."""
+    return _ten_styles(t)
+
+
+@add("""SELECT factor, count(*) AS n FROM (SELECT sec, month, 'sector:' || sector AS factor FROM returns JOIN security USING (sec) UNION ALL SELECT sec, month, 'industry:' || industry FROM returns JOIN security USING (sec)
+  UNION ALL SELECT sec, month, 'sub_industry:' || sub_industry FROM returns JOIN security USING (sec) UNION ALL SELECT sec, month, 'country:US' FROM returns
+  UNION ALL SELECT sec, month, unnest(['size', 'beta', 'momentum', 'earnings_yield', 'book_to_price', 'growth', 'earnings_variability', 'leverage', 'dividend_yield', 'currency_sensitivity']) FROM returns WHERE false) GROUP BY factor""")
+def h57_combined_labels(t):
+    """Rows of every industry and country factor of the combined exposures."""
+    styles = [r.factor for r in _ten_styles(t).select("factor").distinct().collect()]
+    return _model(t).where(~F.col("factor").isin(styles)).groupBy("factor").agg(F.count("*").alias("n"))
 
 
 @add()
@@ -248,14 +277,25 @@ def h22_cross_section(t):
 
 @add()
 def h23_residuals(t):
-    r = _returns(t)
-    return regress.residuals(_style(t).unionByName(exposures.country(r)), r, _factor_returns(t))
+    return _residuals(t)
+
+
+@add()
+def h23_r_squared(t):
+    """Explained share of each month's variance."""
+    return regress.r_squared(_residuals(t), _returns(t))
 
 
 @add()
 def h24_smoothed_risk(t):
-    r = _returns(t).where("ret is not null").select("sec", "month", (F.col("ret") * F.col("ret")).alias("specific_var"))
-    return regress.smoothed_risk(r, t.security())
+    return _smoothed(t)
+
+
+@add("SELECT sec, month, ret FROM returns WHERE ret IS NOT NULL", "ret", places=5)
+def k6_return_attribution(t):
+    """Contributions of all factors and the residual add up to the return."""
+    parts = regress.attribution(_model(t), _factor_returns(t), _residuals(t))
+    return parts.groupBy("sec", "month").agg(F.sum("contribution").alias("ret"))
 
 
 _WINDOWED = _SMALL_FACTORS.strip() + """,
@@ -282,10 +322,21 @@ def k4_blended_covariance(t):
     return covariance.blend(_plain_factors(t))
 
 
-@add("""SELECT a.sec AS si, b.sec AS sj, covar_samp(a.ret, b.ret) AS cov, count(*) AS n FROM returns a JOIN returns b USING (month) WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL AND a.sec <= b.sec AND a.sec <= 60 AND b.sec <= 60 GROUP BY ALL HAVING count(*) >= 2""", "cov")
+_LARGEST = """
+big AS (SELECT sec FROM (SELECT sec, row_number() OVER (ORDER BY cap DESC, sec) AS n FROM returns WHERE cap > 0 AND month = (SELECT max(month) FROM returns WHERE cap > 0)) WHERE n <= 100)
+"""
+
+
+def _largest(t: Tables) -> DataFrame:
+    """Members of the portfolio of the latest month: the assets of a covariance request."""
+    w = risk.cap_weights(_returns(t), 100)
+    return w.join(w.agg(F.max("month").alias("month")), "month", "left_semi").select("sec")
+
+
+@add("""SELECT a.sec AS si, b.sec AS sj, covar_samp(a.ret, b.ret) AS cov, count(*) AS n FROM returns a JOIN returns b USING (month) WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL AND a.sec <= b.sec
+  AND a.sec IN (FROM big) AND b.sec IN (FROM big) GROUP BY ALL HAVING count(*) >= 2""", "cov", _LARGEST)
 def d14_pairwise_covariance(t):
-    """All pairs among the first sixty securities: the benchmark members of a covariance request."""
-    return covariance.pairwise_covariance(_returns(t).where("sec <= 60"))
+    return covariance.pairwise_covariance(_returns(t).join(_largest(t), "sec", "left_semi"))
 
 
 _PORTFOLIO = _STYLE.strip() + """,
@@ -309,11 +360,11 @@ def _model_covariance(t: Tables) -> DataFrame:
 
 
 def _specific(t: Tables) -> DataFrame:
-    return _returns(t).where("ret is not null").select("sec", "month", (F.col("ret") * F.col("ret")).alias("specific_var"))
+    return covariance.choose_specific(_residuals(t).select("sec", "month", "specific_var"), _smoothed(t))
 
 
 def _summary(t: Tables) -> DataFrame:
-    return t.keep("summary", lambda: risk.summary(risk.cap_weights(_returns(t), 100), _style(t), _model_covariance(t), _specific(t)))
+    return t.keep("summary", lambda: risk.summary(risk.cap_weights(_returns(t), 100), _model(t), _model_covariance(t), _specific(t)))
 
 
 @add()
@@ -326,18 +377,40 @@ def h27_model_risk(t):
     return risk.model_risk(_summary(t))
 
 
-@add("""SELECT portfolio, count(*) AS n, stddev_samp(r - market_return) * sqrt(12) AS tracking_error, avg(r - market_return) AS mean_active FROM (
+@add("""SELECT month, item, rank FROM (SELECT month, item, CAST(row_number() OVER (PARTITION BY month ORDER BY variance DESC, item) AS INTEGER) AS rank FROM (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, o_orderpriority AS item, sum(o_totalprice) AS variance FROM orders GROUP BY ALL)) WHERE rank <= 3""")
+def h27_top_contributions(t):
+    rows = t.read("orders").groupBy(F.last_day(F.col("o_orderdate").cast("date")).alias("month"), F.col("o_orderpriority").alias("item")).agg(F.sum("o_totalprice").alias("variance"))
+    return risk.top_contributions(rows, 3).select("month", "item", "rank")
+
+
+@add("""SELECT portfolio, count(*) AS n, stddev_samp(r - market_return) * sqrt(12) AS tracking_error, avg(r - market_return) AS mean_active, sum(ln(1 + r)) AS portfolio_growth, sum(ln(1 + market_return)) AS benchmark_growth FROM (
   SELECT portfolio, month, sum(weight * ret) AS r, count(*) AS c FROM pw JOIN returns USING (sec) WHERE ret IS NOT NULL GROUP BY ALL) JOIN (SELECT portfolio, count(*) AS k FROM pw GROUP BY ALL) USING (portfolio) JOIN market USING (month) WHERE c = k GROUP BY portfolio""",
-     "tracking_error mean_active", "pw AS (SELECT sector AS portfolio, sec, 1.0::DOUBLE / count(*) OVER (PARTITION BY sector) AS weight FROM security WHERE sec % 5 = 0)", places=4)
+     "tracking_error mean_active portfolio_growth benchmark_growth", "pw AS (SELECT industry AS portfolio, sec, 1.0::DOUBLE / count(*) OVER (PARTITION BY industry) AS weight FROM security)", places=4)
 def h28_realised_tracking_error(t):
     r = _returns(t)
-    w = t.security().where("sec % 5 = 0").select(F.col("sector").alias("portfolio"), "sec", (1.0 / F.count("*").over(Window.partitionBy("sector"))).alias("weight"))
-    return risk.realised_tracking_error(w, r, prices.market_returns(r).select("month", F.col("market_return").alias("bench"))).drop("portfolio_return", "benchmark_return")
+    w = t.security().select(F.col("industry").alias("portfolio"), "sec", (1.0 / F.count("*").over(Window.partitionBy("industry"))).alias("weight"))
+    out = risk.realised_tracking_error(w, r, prices.market_returns(r).select("month", F.col("market_return").alias("bench")))
+    growth = {f"{c}_growth": F.log1p(f"{c}_return") for c in ("portfolio", "benchmark")}  # compounded over years: compared as logarithms
+    return out.withColumns(growth).drop("portfolio_return", "benchmark_return")
+
+
+@add()
+def h53_risk_components(t):
+    ids = risk.cap_weights(_returns(t), 100).select("month", "sec")
+    return risk.risk_components(ids, _model(t), _specific(t))
 
 
 @add()
 def h54_asset_covariance(t):
-    return covariance.asset_covariance(_style(t).where("sec <= 60"), _model_covariance(t), _specific(t))
+    """Covariance of each month's hundred largest."""
+    held = risk.cap_weights(_returns(t), 100).select("month", "sec")
+    return covariance.asset_covariance(_model(t).join(held, ["month", "sec"], "left_semi"), _model_covariance(t), _specific(t))
+
+
+@add()
+def h59_ex_ante_tracking_error(t):
+    w = risk.cap_weights(_returns(t))
+    return risk.ex_ante_tracking_error(risk.cap_weights(_returns(t), 100), w, _model(t), _model_covariance(t))
 
 
 @add("""SELECT m.month, coalesce(e.x, m.market_return) AS market_return, e.x IS NOT NULL AS external FROM market m LEFT JOIN (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, avg(o_totalprice) / 1e7 AS x FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL) e USING (month)""", "market_return")
@@ -413,8 +486,8 @@ def h2_quarterly_features(t):
 
 
 _SCORES = """
-sc AS (SELECT sec, month, exp(s) - 1 AS score FROM (SELECT sec, month, count(*) OVER w AS n, sum(ln(1 + ret)) OVER w AS s FROM returns WHERE ret IS NOT NULL
-  WINDOW w AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n >= 11)
+sc AS (SELECT sec, month, exp(s + l) - 1 AS score FROM (SELECT sec, month, count(*) OVER w AS n, sum(ln(1 + ret)) OVER w AS s, sum(ln(1 + ret)) OVER v AS l FROM returns WHERE ret IS NOT NULL
+  WINDOW w AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 13 PRECEDING AND 2 PRECEDING), v AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)) WHERE n >= 11 AND l IS NOT NULL)
 """
 
 
@@ -464,6 +537,6 @@ def h38_strategy_performance(t):
 
 @add()
 def q1_model_checks(t):
+    """Checks of the model itself: its imputed styles, industries, residuals and covariance."""
     r = _returns(t)
-    residual = r.where("ret is not null").select("sec", "month", (F.col("ret") - F.avg("ret").over(Window.partitionBy("month"))).alias("residual"))
-    return quality.model_checks(exposures.impute(_style(t), r, t.security()), exposures.industry(r, t.security()), residual.withColumn("specific_var", F.col("residual") ** 2), covariance.factor_covariance(_plain_factors(t)))
+    return quality.model_checks(exposures.impute(_ten_styles(t), r, t.security()), exposures.industry(r, t.security()), _residuals(t), _model_covariance(t))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import month_index
-from tidemark.runtime import reachable
+from tidemark.runtime import reachable, settled
 
 
 class Tables:
@@ -16,9 +16,9 @@ class Tables:
         self.spark, self.sf_dir, self._kept = reachable(spark), sf_dir, {}
 
     def keep(self, name: str, make) -> DataFrame:
-        """A table that several parts of one query read: worked out once and kept (memory first, then disk)."""
+        """A table that several parts of one query read: worked out once and settled, which also keeps later plans small."""
         if name not in self._kept:
-            self._kept[name] = make().persist()
+            self._kept[name] = settled(make(), name)
         return self._kept[name]
 
     def read(self, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ class Tables:
     def security(self) -> DataFrame:
         s, n, r = self.read("supplier"), self.read("nation"), self.read("region")
         rows = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
-        return rows.select(F.col("s_suppkey").alias("sec"), F.col("s_name").alias("ticker"), F.col("n_name").alias("industry"), F.col("r_name").alias("sector"), F.when(F.col("s_suppkey") % 2 == 0, "N").otherwise("A").alias("exchange"), F.col("s_acctbal").alias("balance"))
+        return rows.select(F.col("s_suppkey").alias("sec"), F.col("s_name").alias("ticker"), F.col("n_name").alias("industry"), F.col("r_name").alias("sector"), F.concat_ws("/", "n_name", (F.col("s_suppkey") % 3).cast("string")).alias("sub_industry"), F.when(F.col("s_suppkey") % 2 == 0, "N").otherwise("A").alias("exchange"), F.col("s_acctbal").alias("balance"))
 
     def quarters(self) -> DataFrame:
         """(sec, d, mi, fy, fq, income, sales, book, assets, debt, dividends): line items of a supplier and quarter."""
@@ -82,7 +82,7 @@ class Tables:
 SQL = """
 daily AS (SELECT l_suppkey AS sec, CAST(l_shipdate AS DATE) AS d, sum(l_extendedprice) / sum(l_quantity) AS price, sum(l_extendedprice) AS cap
           FROM lineitem GROUP BY ALL),
-security AS (SELECT s_suppkey AS sec, s_name AS ticker, n_name AS industry, r_name AS sector, CASE WHEN s_suppkey % 2 = 0 THEN 'N' ELSE 'A' END AS exchange,
+security AS (SELECT s_suppkey AS sec, s_name AS ticker, n_name AS industry, r_name AS sector, n_name || '/' || (s_suppkey % 3) AS sub_industry, CASE WHEN s_suppkey % 2 = 0 THEN 'N' ELSE 'A' END AS exchange,
              s_acctbal AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 quarters0 AS (SELECT l_suppkey AS sec, year(CAST(l_shipdate AS DATE)) AS fy, quarter(CAST(l_shipdate AS DATE)) AS fq, sum(l_extendedprice) AS sales,
               sum(l_extendedprice * (1 - l_discount * 5 - l_tax)) AS income, sum(l_extendedprice * l_tax) AS dividends, sum(l_extendedprice * l_discount) AS debt

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -14,3 +16,25 @@ def reachable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir, or the one set on the context; where neither is set, as in
+    tests, a local run gets one of its own and a cluster is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if kept.isDefined():
+            return kept.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
