@@ -97,3 +97,8 @@ def choose_specific(raw: DataFrame, smoothed: DataFrame) -> DataFrame:
     """Smoothed risk where the month has any, raw otherwise: all or nothing by month."""
     have = smoothed.select("month").distinct()
     return smoothed.select("sec", "month", "specific_var").unionByName(raw.join(have, "month", "left_anti").select("sec", "month", "specific_var"))
+
+
+def historical_covariance(filled: DataFrame, periods: int = 252) -> DataFrame:
+    """Annualised covariance of ``filled(sec, mi, ret)``, which has a value for every date: ``(si, sj, cov)`` with si <= sj."""
+    return pairwise_covariance(filled.withColumnRenamed("mi", "month")).select("si", "sj", (F.col("cov") * periods).alias("cov"))

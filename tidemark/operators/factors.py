@@ -78,3 +78,13 @@ def combine(ours: DataFrame, official: DataFrame, on: list[str]) -> DataFrame:
 
 def correlations(combined: DataFrame, on: list[str]) -> DataFrame:
     return combined.agg(*(F.corr(c, f"{c}_official").alias(c) for c in on)).unpivot([], on, "factor", "corr")
+
+
+def formation_range(panel: DataFrame) -> DataFrame:
+    """First and last formation year of the panel."""
+    return panel.agg(F.min("fy").alias("first"), F.max("fy").alias("last"))
+
+
+def largest_names(panel: DataFrame, n: int) -> DataFrame:
+    """The n names with the largest market equity in any month."""
+    return panel.groupBy("sec").agg(F.max("me").alias("me")).orderBy(F.desc("me"), "sec").limit(n)

@@ -92,3 +92,12 @@ def links(filings: DataFrame) -> DataFrame:
     """Number of links, headings and paragraphs and the title of a page."""
     count = lambda p: F.regexp_count("content", F.lit(p)).cast("long")
     return filings.select("id", count(r"<a\s").alias("links"), count(r"<p[ >]").alias("paragraphs"), F.length("content").cast("long").alias("chars"), _get(F.col("content"), r"<title>([^<]*)</title>").alias("title"))
+
+
+def choose_by_context(rows: DataFrame) -> DataFrame:
+    """One value per filing and element by the name of its context: a quarter, any other name, year to date, none; ties go
+    to the first context and the larger amount.  ``rows(id, tag, context, value)``."""
+    name = F.lower("context")
+    rank = F.when(name.isNull() | (name == ""), 3).when(name.rlike("qtr|quarter|q[1-4]"), 0).when(name.contains("ytd"), 2).otherwise(1)
+    w = Window.partitionBy("id", "tag").orderBy(rank, "context", F.desc(F.abs("value")), F.desc("value"))
+    return rows.where("value is not null").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

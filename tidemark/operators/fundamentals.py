@@ -57,3 +57,38 @@ def ytd_fold(facts: DataFrame) -> DataFrame:
         return F.when(drop, acc).otherwise(done)
 
     return rows.select("company", "item", "fy", F.inline(F.aggregate("q", start, step)["out"]))
+
+
+def annual_features(returns: DataFrame, annual: DataFrame) -> DataFrame:
+    """Returns with the preferred annual row ``(sec, fy, datafmt, consol, ...)`` of the month's calendar year, if any."""
+    return returns.withColumn("fy", F.year("month")).join(dedup_standard(annual, ["sec", "fy"]), ["sec", "fy"], "left")
+
+
+def annual_growth(rows: DataFrame, value: str = "sales") -> DataFrame:
+    """Growth over the fiscal year before, from the latest row of each year ``(sec, fy, mi, ...)``: ``(sec, fy, growth)``."""
+    year = rows.groupBy("sec", "fy").agg(F.max_by(value, "mi").alias("v"))
+    w = Window.partitionBy("sec").orderBy("fy")
+    out = year.withColumns({"b": F.lag("v").over(w), "p": F.lag("fy").over(w)}).where("p = fy - 1")
+    return out.select("sec", "fy", (F.try_divide("v", "b") - 1).alias("growth"))
+
+
+def multi_horizon_growth(annual: DataFrame, weights: tuple = ((1, 0.5), (3, 0.3), (5, 0.2))) -> DataFrame:
+    """Compound yearly growth over several horizons of ``annual(sec, fy, value)``, weighted over the horizons there are."""
+    now = annual.where("value > 0")
+    each = F.inline(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(w).alias("w")) for h, w in weights)))
+    ask = now.select("sec", "fy", "value", each).withColumn("then", F.col("fy") - F.col("h"))
+    hit = ask.join(now.select("sec", F.col("fy").alias("then"), F.col("value").alias("old")), ["sec", "then"])
+    rate = F.pow(F.col("value") / F.col("old"), 1 / F.col("h")) - 1
+    return hit.groupBy("sec", "fy").agg((F.sum(rate * F.col("w")) / F.sum("w")).alias("growth"), F.count("*").alias("horizons"))
+
+
+def book_equity(rows: DataFrame) -> DataFrame:
+    """Book equity of annual rows: stockholders' equity, else common plus preferred, else assets less liabilities; plus
+    deferred tax, less the first preferred value there is.  Columns seq, ceq, at, lt, pstk, pstkl, pstkrv, txditc."""
+    equity = F.coalesce("seq", F.col("ceq") + F.coalesce("pstk", F.lit(0.0)), F.col("at") - F.col("lt"))
+    return rows.withColumn("book", equity + F.coalesce("txditc", F.lit(0.0)) - F.coalesce("pstkrv", "pstkl", "pstk", F.lit(0.0)))
+
+
+def without_codes(rows: DataFrame, code: str, low: str, high: str) -> DataFrame:
+    """Leaves out rows whose code begins with a prefix between two; a null code stays."""
+    return rows.where(~F.coalesce(F.substring(code, 1, len(low)).between(low, high), F.lit(False)))

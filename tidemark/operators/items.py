@@ -117,3 +117,11 @@ def warnings(wide: DataFrame, limits: dict[str, float]) -> DataFrame:
     keys = [c for c in wide.columns if c not in limits]
     parts = [wide.where(F.abs(c) > limit).select(*keys, F.lit(c).alias("item"), F.col(c).alias("value")) for c, limit in limits.items()]
     return union_all(parts)
+
+
+def breakouts(wide: DataFrame, triples: list[tuple[str, str, str]]) -> DataFrame:
+    """Totals broken out into two parts: of (total, part, rest) the one that is missing follows from the other two."""
+    for total, part, rest in triples:
+        t, p, r = F.col(total), F.col(part), F.col(rest)
+        wide = wide.withColumns({total: F.coalesce(t, p + r), part: F.coalesce(p, t - r), rest: F.coalesce(r, t - p)})
+    return wide

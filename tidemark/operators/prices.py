@@ -58,3 +58,35 @@ def cumulative(returns: DataFrame, by: str = "sec") -> DataFrame:
     size = F.exp(F.sum(F.log(F.when(g != 0, F.abs(g)))).over(w))
     sign = F.when(F.max((g == 0).cast("int")).over(w) == 1, 0.0).otherwise(1 - 2 * F.pmod(F.sum((g < 0).cast("int")).over(w), F.lit(2)))
     return returns.where("ret is not null").withColumn("curve", F.coalesce(size, F.lit(0.0)) * sign)
+
+
+def on_date(requests: DataFrame, daily: DataFrame) -> DataFrame:
+    """``requests(sec, d)`` with the price of exactly that day, null where there is none."""
+    return requests.join(daily.select("sec", "d", "price"), ["sec", "d"], "left")
+
+
+def weekdays(rows: DataFrame, start, end, date: str = "d") -> DataFrame:
+    """Rows of the days Monday to Friday between two dates."""
+    day = F.col(date)
+    return rows.where(day.between(F.lit(start).cast("date"), F.lit(end).cast("date")) & (F.weekday(day) < 5))
+
+
+def market_equity(monthly: DataFrame) -> DataFrame:
+    """Monthly stock rows ``(sec, month, price, shares, ret_pct)``: market equity in full, the return as a share, equity a month before."""
+    rows = monthly.withColumns({"me": F.abs("price") * F.col("shares"), "ret": F.col("ret_pct") / 100})
+    return rows.withColumn("me_before", F.lag("me").over(Window.partitionBy("sec").orderBy("month"))).select("sec", "month", "me", "ret", "me_before")
+
+
+def filled(returns: DataFrame) -> DataFrame:
+    """``(sec, mi, ret)`` for every security and month that any security has: gaps take the last value before, else the
+    first one after, else zero."""
+    rows = returns.where("ret is not null").select("sec", "mi", "ret")
+    span = rows.agg(F.min("mi").alias("a"), F.max("mi").alias("b")).first()
+    if span.a is None:
+        return rows
+    months = F.explode(F.sequence(F.lit(span.a), F.lit(span.b)))
+    grid = returns.select("sec").distinct().withColumn("mi", months).join(rows.select("mi").distinct(), "mi", "left_semi")
+    w = Window.partitionBy("sec").orderBy("mi")
+    before = F.last("ret", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("ret", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return grid.join(rows, ["sec", "mi"], "left").select("sec", "mi", F.coalesce(before, after, F.lit(0.0)).alias("ret"))

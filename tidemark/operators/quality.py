@@ -76,3 +76,13 @@ def same_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     only = lambda x, y: ",".join(sorted(set(x.columns) - set(y.columns)))
     n = a.agg(F.count("*").alias("left_rows")).join(b.agg(F.count("*").alias("right_rows")))
     return n.withColumns({"equal": F.col("left_rows") == F.col("right_rows"), "only_left": F.lit(only(a, b)), "only_right": F.lit(only(b, a))})
+
+
+def compare_fields(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str], percent: float = 0.01) -> DataFrame:
+    """Every field of every key that both have: ``(key, field, ours, theirs, status)``, equal within ``percent``."""
+    other = theirs.select(key, *(F.col(c).alias(f"_{c}") for c in fields))
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("ours"), F.col(f"_{c}").cast("double").alias("theirs")) for c in fields)))
+    rows = ours.select(key, *fields).join(other, key).select(key, each)
+    near = F.abs(F.col("ours") - F.col("theirs")) <= percent * F.abs("theirs")
+    status = F.when(F.col("ours").isNull() & F.col("theirs").isNull(), "both_missing").when(F.col("ours").isNull(), "missing").when(F.col("theirs").isNull(), "extra").when(near, "match").otherwise("mismatch")
+    return rows.withColumn("status", status)

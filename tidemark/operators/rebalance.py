@@ -132,3 +132,20 @@ def resolve(tickers: DataFrame, security: DataFrame) -> DataFrame:
     exact = tickers.join(security.select("ticker", "sec"), "ticker", "left")
     loose = security.groupBy(bare(F.col("ticker")).alias("b")).agg(F.min("sec").alias("other"))
     return exact.join(loose, bare(exact["ticker"]) == loose["b"], "left").select("ticker", F.coalesce("sec", "other").alias("sec"))
+
+
+def apply_trades(ledger: DataFrame, orders: DataFrame) -> DataFrame:
+    """The ledger ``(acct, sec, d, seq, side, qty, price)`` with a batch of ``orders(acct, sec, d, kind, quantity, price)``
+    booked behind each account's last entry, sales first."""
+    last = ledger.groupBy("acct").agg(F.max("seq").alias("last"))
+    w = Window.partitionBy("acct").orderBy(F.desc("kind"), "sec")
+    rows = orders.join(last, "acct", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.row_number().over(w))
+    side = F.when(F.col("kind") == "sell", "S").otherwise("B").alias("side")
+    return ledger.unionByName(rows.select("acct", "sec", "d", "seq", side, F.col("quantity").alias("qty"), "price"))
+
+
+def performance_report(tracking: DataFrame, gains: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Tracking error and information ratio of each account with the tax benefit of its realised losses."""
+    rate = F.when(F.col("term") == "long", F.col("long_rate")).otherwise(F.col("short_rate"))
+    taken = gains.where("gain < 0").join(accounts, "acct").groupBy("acct").agg(F.sum(-F.col("gain") * rate).alias("executed_benefit"))
+    return tracking.join(taken, "acct", "left").withColumn("executed_benefit", F.coalesce("executed_benefit", F.lit(0.0)))
