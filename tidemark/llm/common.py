@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.runtime import reachable, settled
+from tidemark.runtime import discard, reachable, settled
 
 #: Rows a Python worker gets at once.  Documents can be long, so the session's default of 10,000 rows is too many.
 BATCH_ROWS = 512
@@ -38,8 +41,16 @@ def held(key, make: Callable):
 
 
 def forget() -> None:
-    """Frees what an earlier stage's tasks have left in this worker process."""
+    """Frees what earlier tasks have left in this worker process, and gives unused memory back to the machine."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Returns freed memory: the allocators would keep it for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -60,7 +71,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lowest, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         after = settled(small.union(lowest).distinct(), "edges")
-        if _signature(after) == _signature(pairs):
+        done = _signature(after) == _signature(pairs)
+        discard(pairs)
+        if done:
             return after.toDF("node", "component").union(after.select("lo", "lo").distinct())
         pairs = after
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held, settled
+from tidemark.llm.common import held, settled, trim
 
 WINDOW = 2048
 END_ID = 1
@@ -84,6 +84,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
                 [pa.array(np.full(len(n), part, np.int32)), pa.array(places), batch.column(0), pa.array(n), pa.array(ids, pa.binary())],
                 ["part", "at", "doc_id", "n_tokens", "ids"],
             )
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return settled(rows.mapInArrow(run, "part int, at long, doc_id long, n_tokens long, ids binary"), "tokens")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, settled
+from tidemark.llm.common import components, discard, forget, settled, trim
 
 SHINGLE = 4
 DISTANCE = 4
@@ -48,9 +48,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id`` and signed 64-bit ``fp`` of every row; a null or blank text has fingerprint zero."""
 
     def run(batches):
+        forget()
         for batch in batches:
             fps = [fingerprint(x, shingle) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
@@ -95,7 +97,9 @@ def groups(prints: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...
     same = Window.partitionBy("bit", "rest")
     index = _variants(classes.select("fp"), segments).withColumn("centre", F.min("fp").over(same))
     stars = index.where((F.col("fp") > F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= distance))
-    first = settled(components(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b"))), "stars")
+    linked = components(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b")))
+    first = settled(linked, "stars")
+    discard(linked)
 
     labelled = classes.join(first, classes["fp"] == first["node"], "left").select("fp", F.coalesce("component", "fp").alias("c"))
     labelled = settled(labelled, "labelled")
@@ -109,6 +113,7 @@ def groups(prints: DataFrame, distance: int = DISTANCE, segments: tuple[int, ...
         & (F.bit_count(x) <= distance) & _first_only(x, F.col("l.bit"), segments),
     ).select(F.col("l.c").alias("a"), F.col("r.c").alias("b"))
     second = components(bridges)
+    discard(index, first)
     full = labelled.join(second, labelled["c"] == second["node"], "left").select("fp", F.coalesce("component", "c").alias("group"))
     full = full.join(classes, "fp")
     least = full.groupBy("group").agg(F.min("least").alias("component_id"))
