@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.runtime import discard, reachable, settled
+from tidemark.runtime import discard, reachable, settled, shared_folder
 
 #: Rows a Python worker gets at once.  Documents can be long, so the session's default of 10,000 rows is too many.
 BATCH_ROWS = 512

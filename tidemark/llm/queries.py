@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, ctw, neighbours, packing, quality, simhash, substring, suffixes, vectors
+from tidemark.llm import bpe, chat, ctw, fim, neighbours, packing, quality, simhash, substring, suffixes, vectors, warc, whiten
 from tidemark.llm.common import session
 
 
@@ -59,11 +59,23 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_packing, op3_embedding_dedup, op4_bpe, op5_chat, op6_language_model, op7_quality, op8_neighbours,
-        op9_suffixes, op10_substring,
+        op9_suffixes, op10_substring, op11_warc, op12_fill_in_middle, op13_whitening,
     )
 }
 
@@ -80,4 +92,24 @@ ORACLE_SQL: dict[str, str] = {
                FROM w LEFT JOIN gone USING (doc_id))
       SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(cut AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
     """,
+    "op11_warc": r"""
+      WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+      f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p),
+      r AS (SELECT *, payload_bytes >= 100 AND coalesce(page_id > least, least IS NOT NULL) AS again FROM f)
+      SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+             CASE WHEN again THEN least END AS refers_to
+      FROM r
+    """,
+    "op12_fill_in_middle": r"""
+      WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS sha FROM documents),
+      u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+                   CAST('0x' || sha[1:8] AS BIGINT) AS h1, CAST('0x' || sha[9:16] AS BIGINT) AS h2, CAST('0x' || sha[17:24] AS BIGINT) AS h3, CAST('0x' || sha[25:32] AS BIGINT) AS h4 FROM d),
+      c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM u),
+      s AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:n], '') AS suf,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+      SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+             sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+             sha256(t) AS restored_sha256
+      FROM s
+    """,
 }
