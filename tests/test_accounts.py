@@ -53,11 +53,3 @@ def test_compliance_rules(spark):
     buys = spark.createDataFrame([(1, "A", day("2023-11-20"))], "acct long, sec string, d date")
     got = {(r.order_id, r.rule) for r in rebalance.compliance(orders, held, buys).collect()}
     assert got == {(2, "oversell"), (3, "oversell"), (2, "duplicate"), (3, "duplicate"), (4, "bad_quantity_or_price")}
-
-
-def test_account_solve_respects_limits(spark):
-    rows = [(1, f"S{i}", 0.25, 0.1 + 0.1 * i, 0.04, 0.0, i == 3) for i in range(4)]
-    problem = spark.createDataFrame(rows, "acct long, sec string, weight double, bench double, variance double, coefficient double, no_buy boolean")
-    got = {r.sec: r.weight for r in rebalance.solve_accounts(problem, most_turnover=0.1).collect()}
-    assert sum(got.values()) == pytest.approx(1) and min(got.values()) >= 0 and got["S3"] <= 0.25 + 1e-9
-    assert sum(abs(w - 0.25) for w in got.values()) / 2 <= 0.1 + 1e-9

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import interior
+
 
 def deciles(scores: DataFrame) -> DataFrame:
     """Adds ``decile`` (1 best) to ``(month, sec, score)``."""
@@ -22,6 +24,13 @@ def legs(scores: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("side", side).where("side is not null").select("month", "sec", "score", "side")
 
 
+def decile_legs(scores: DataFrame, long: tuple = (1, 2), short: tuple = (9, 10), members: DataFrame | None = None) -> DataFrame:
+    """Names of the ``long`` and ``short`` deciles of each month, among ``members(month, sec)`` if given."""
+    rows = deciles(scores.join(members.select("month", "sec").distinct(), ["month", "sec"], "left_semi") if members is not None else scores)
+    side = F.when(F.col("decile").isin(*long), "long").when(F.col("decile").isin(*short), "short")
+    return rows.withColumn("side", side).where("side is not null").select("month", "sec", "score", "side")
+
+
 def histories(chosen: DataFrame, returns: DataFrame, months: int = 36, least: int = 12) -> DataFrame:
     """Returns of the chosen names in the ``months`` months before each date: exploded months and an equi-join."""
     wanted = chosen.withColumn("at", F.explode(F.expr(f"transform(sequence(1, {months}), i -> last_day(add_months(month, -i)))")))
@@ -30,83 +39,74 @@ def histories(chosen: DataFrame, returns: DataFrame, months: int = 36, least: in
     return rows.withColumn("n", n).where(F.col("n") >= least).drop("n")
 
 
-def project(w: np.ndarray, low: np.ndarray, high: np.ndarray, total: float) -> np.ndarray:
-    """Nearest point with bounds and a fixed sum, by bisection on the shift."""
-    a, b = (low - w).min(), (high - w).max()
-    for _ in range(45):
-        mid = (a + b) / 2
-        if np.minimum(np.maximum(w + mid, low), high).sum() < total:
-            a = mid
-        else:
-            b = mid
-    return np.minimum(np.maximum(w + (a + b) / 2, low), high)
+WEIGHTS = "month date, sec long, weight double, residual double"
 
 
-def min_quadratic(q: np.ndarray, c: np.ndarray, low, high, total: float, steps: int = 200) -> np.ndarray:
-    """min w'Qw/2 + c'w with bounds and a fixed sum: accelerated projected gradient."""
-    low, high = np.broadcast_to(low, c.shape).astype(float), np.broadcast_to(high, c.shape).astype(float)
-    if low.sum() > total or high.sum() < total:
-        raise ValueError("bounds leave no solution")
-    size = max(np.linalg.norm(q, 2), 1e-12)
-    w = y = project(np.full(len(c), total / len(c)), low, high, total)
-    t = 1.0
-    for _ in range(steps):
-        z = project(y - (q @ y + c) / size, low, high, total)
-        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y, w, t = z + (t - 1) / s * (z - w), z, s
-    return w
+def covariance(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
+    """Sample covariances over the dates that both names of a pair have (0 where there are fewer than two), made positive
+    semidefinite by dropping negative eigenvalues; names without a return are left out.  It may be singular."""
+    wide = pdf.pivot_table(index="at", columns="sec", values="ret").dropna(axis=1, how="all")
+    q = np.nan_to_num(wide.cov().to_numpy())
+    values, vectors = np.linalg.eigh(q)
+    return list(wide.columns), (vectors * np.maximum(values, 0.0)) @ vectors.T
 
 
-def _cov(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
-    wide = pdf.pivot_table(index="at", columns="sec", values="ret").dropna(axis=0)
-    return list(wide.columns), np.cov(wide.to_numpy(), rowvar=False, ddof=1).reshape(wide.shape[1], -1) if len(wide) > 1 else np.eye(wide.shape[1])
+def _answer(pdf: pd.DataFrame, names: list, problem: interior.Boxed | None) -> pd.DataFrame:
+    """Weights of a solved date; none for a date whose limits leave no solution."""
+    found = interior.solve(problem) if problem is not None else None
+    if found is None or not found.solved:
+        return pd.DataFrame({c: pd.Series([], dtype=kind) for c, kind in (("month", object), ("sec", "int64"), ("weight", float), ("residual", float))})
+    return pd.DataFrame({"month": pdf.month.iloc[0], "sec": names, "weight": np.clip(found.x, problem.low, problem.high), "residual": found.residual})
 
 
-def long_short_weights(history: DataFrame, bound: float = 0.5) -> DataFrame:
-    """Minimum variance with long weights summing to 1 and short ones to -1, one problem a date."""
+def long_short_weights(history: DataFrame, bound: float = 0.02, least_names: int = 20) -> DataFrame:
+    """Minimum variance with long weights that sum to 1 and short ones to -1, each at most ``bound`` in size: one joint
+    problem a date.  Dates with fewer than ``least_names`` names, or whose bounds leave no solution, give no rows."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, q = _cov(pdf)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, q = covariance(pdf)
         side = pdf.drop_duplicates("sec").set_index("sec").side.reindex(names)
-        long, short = (side == "long").to_numpy(), (side == "short").to_numpy()
-        w = np.zeros(len(names))
-        cap_l, cap_s = (max(bound, 1.0 / max(1, m.sum())) for m in (long, short))
-        for _ in range(12):  # the two legs in turn, each given the other
-            if long.any():
-                w[long] = min_quadratic(q[np.ix_(long, long)], q[np.ix_(long, short)] @ w[short], 0, cap_l, 1.0, 30)
-            if short.any():
-                w[short] = min_quadratic(q[np.ix_(short, short)], q[np.ix_(short, long)] @ w[long], -cap_s, 0, -1.0, 30)
-        return pd.DataFrame({"month": pdf.month.iloc[0], "sec": names, "weight": w})
+        long = (side == "long").to_numpy()
+        fits = len(names) >= least_names and min(long.sum(), (~long).sum()) * bound >= 1
+        problem = interior.Boxed(2 * q, np.zeros(len(names)), np.stack([long, ~long]), [1.0, -1.0], np.where(long, 0.0, -bound), np.where(long, bound, 0.0)) if fits else None
+        return _answer(pdf, names, problem)
+
+    return history.groupBy("month").applyInPandas(one, WEIGHTS)
+
 
-    return history.groupBy("month").applyInPandas(solve, "month date, sec long, weight double")
+def tilted_weights(history: DataFrame, risk_aversion: float = 10.0, bound: float = 0.2, asked: int | None = None, share: float = 0.8, least_dates: int = 12) -> DataFrame:
+    """Risk times aversion less score; long names from 0 to ``bound``, short ones from -``bound`` to 0, weights summing to zero.
 
+    A date needs ``least_dates`` dates of history and ``share`` of the names that it ``asked`` for (all it has, if not given).
+    """
 
-def tilted_weights(history: DataFrame, risk_aversion: float = 10.0, bound: float = 0.2) -> DataFrame:
-    """Risk times aversion less score, weights summing to zero."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, q = covariance(pdf)
+        own = pdf.drop_duplicates("sec").set_index("sec").reindex(names)
+        long, fits = (own.side == "long").to_numpy(), pdf["at"].nunique() >= least_dates and len(names) >= share * (asked or len(names))
+        problem = interior.Boxed(2 * risk_aversion * q, -own.score.to_numpy(float), np.ones(len(names)), 0.0, np.where(long, 0.0, -bound), np.where(long, bound, 0.0)) if fits else None
+        return _answer(pdf, names, problem)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, q = _cov(pdf)
-        score = pdf.drop_duplicates("sec").set_index("sec").score.reindex(names).to_numpy()
-        w = min_quadratic(2 * risk_aversion * q, -score, -bound, bound, 0.0)
-        return pd.DataFrame({"month": pdf.month.iloc[0], "sec": names, "weight": w})
+    return history.groupBy("month").applyInPandas(one, WEIGHTS)
 
-    return history.groupBy("month").applyInPandas(solve, "month date, sec long, weight double")
 
+def tracking_weights(history: DataFrame, benchmark: DataFrame, least: float = 0.0, most: float = 1.0, least_dates: int = 12) -> DataFrame:
+    """Fully invested weights from ``least`` to ``most`` that track ``benchmark(at, bench)`` most closely, over the dates that all names have.
 
-def tracking_weights(history: DataFrame, benchmark: DataFrame, least: float = 0.0, most: float = 1.0) -> DataFrame:
-    """Fully invested weights that track ``benchmark(at, bench)`` most closely; at least twelve common dates."""
+    A date with fewer than ``least_dates`` such dates, or whose limits leave no solution, gives no rows.
+    """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="at", columns="sec", values="ret").join(pdf.groupby("at").bench.first()).dropna()
         names = [c for c in wide.columns if c != "bench"]
-        if len(wide) < 12:
-            return pd.DataFrame({"month": [], "sec": [], "weight": []})
+        n = len(names)
         x = wide[names].to_numpy() - wide[["bench"]].to_numpy()
         x = x - x.mean(axis=0)
-        w = min_quadratic(x.T @ x / (len(x) - 1), np.zeros(len(names)), least, max(most, 1 / len(names)), 1.0)
-        return pd.DataFrame({"month": pdf.month.iloc[0], "sec": names, "weight": w})
+        fits = len(wide) >= least_dates and n * least < 1 < n * most
+        problem = interior.Boxed(2 * x.T @ x / (len(x) - 1), np.zeros(n), np.ones(n), 1.0, least, most) if fits else None
+        return _answer(pdf, names, problem)
 
-    return history.join(benchmark, "at").groupBy("month").applyInPandas(solve, "month date, sec long, weight double")
+    return history.join(benchmark, "at").groupBy("month").applyInPandas(one, WEIGHTS)
 
 
 def strategy_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:

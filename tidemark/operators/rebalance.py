@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import union_all
-from tidemark.operators.backtest import min_quadratic
+from tidemark.operators import interior
 
 
 def current_weights(positions: DataFrame, prices: DataFrame) -> DataFrame:
@@ -48,25 +48,78 @@ def weight_distance(weights: DataFrame, target: DataFrame) -> DataFrame:
     return rows.groupBy("acct").agg(F.sqrt(F.sum(d * d)).alias("distance"))
 
 
-def solve_accounts(problem: DataFrame, cost_bp: float = 10.0, risk: float = 1.0, most_turnover: float = 0.5) -> DataFrame:
-    """Target weights by account: diagonal risk around the benchmark, trading cost, tax coefficients and no-buy names.
+#: Most factors of a risk model, whose covariance every task gets.
+MOST_FACTORS = 2000
+SOLVED = "acct long, sec string, weight double, buy double, sell double, turnover double, tracking_error double, status string, residual double"
 
-    ``problem(acct, sec, weight, bench, variance, coefficient, no_buy)``.  Weights are non-negative and sum to one; a name on
-    the no-buy list cannot rise; if turnover would pass the limit, the step towards the optimum is shortened to meet it.
-    """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        w0 = pdf.weight.to_numpy(float)
-        q = np.diag(2 * risk * np.maximum(pdf.variance.to_numpy(float), 1e-8) + cost_bp / 1e4)
-        c = -2 * risk * np.maximum(pdf.variance.to_numpy(float), 1e-8) * pdf.bench.to_numpy(float) - cost_bp / 1e4 * w0 + pdf.coefficient.to_numpy(float) * 1e-3
-        high = np.where(pdf.no_buy.to_numpy(bool), w0, 1.0)
-        w = min_quadratic(q, c, 0.0, high, 1.0) if high.sum() >= 1 else w0
-        turn = np.abs(w - w0).sum() / 2
-        if turn > most_turnover:
-            w = w0 + (w - w0) * most_turnover / turn
-        return pd.DataFrame({"acct": pdf.acct.iloc[0], "sec": pdf.sec, "weight": w})
-
-    return problem.groupBy("acct").applyInPandas(solve, "acct long, sec string, weight double")
+def solve_accounts(
+    problem: DataFrame, exposures: DataFrame, covariance: DataFrame, caps: DataFrame | None = None, cost: float = 0.001, cost_weight: float = 1.0,
+    tax_weight: float = 1.0, penalty_weight: float = 1.0, most_turnover: float = 0.5, most_risk: float | None = None,
+) -> DataFrame:
+    """Target weights of all accounts: least factor and specific risk around the benchmark, with costs, tax and limits.
+
+    ``problem(acct, sec, weight, bench, specific, sector, coefficient, penalty, no_buy[, most_risk])`` has a row for each name
+    of an account; ``exposures(sec, factor, x)`` and ``covariance(fi, fj, cov)`` are the risk model (a name without
+    exposures has none; a pair given once stands for both orders); ``caps(acct, sector, cap)`` limits an account's sectors.
+
+    Minimised is (w - b)'(X F X' + D)(w - b) + cost x (buys + sales) - sales x tax coefficient + sales x penalty, each but the
+    risk with its weight.  w is 0 or more and sums to one; buys and sales together are at most ``most_turnover``; a
+    ``no_buy`` name has no buys; the risk is at most ``most_risk`` squared (a column of that name holds limits of accounts).
+
+    Benchmarks are scaled to sum to one; one without weight is the equal-weighted holdings.  Null numbers are 0, a null
+    sector has no cap, and a specific variance counts as ``interior.LEAST_SPECIFIC`` of the variance at least.  ``residual`` is the largest violation of the optimality conditions; an account whose limits leave
+    no solution keeps its weights, with status ``infeasible``.
+    """
+    pairs = covariance.select("fi", "fj", "cov").limit(MOST_FACTORS**2 + 1).collect()  # a small matrix
+    factors = sorted({r.fi for r in pairs} | {r.fj for r in pairs})
+    if len(factors) > MOST_FACTORS or len(pairs) > MOST_FACTORS**2:
+        raise ValueError(f"a risk model of more than {MOST_FACTORS} factors")
+    place = {f: i for i, f in enumerate(factors)}
+    matrix = np.zeros((len(factors), len(factors)))
+    for r in pairs:
+        matrix[place[r.fi], place[r.fj]] = matrix[place[r.fj], place[r.fi]] = r.cov or 0.0
+    loads = exposures.where("x is not null").groupBy("sec").agg(F.map_from_entries(F.collect_list(F.struct(F.col("factor"), F.col("x").cast("double").alias("x")))).alias("loads"))
+    rows = problem.join(loads, "sec", "left")
+    limit = F.col("most_risk") if "most_risk" in problem.columns else F.lit(most_risk)
+    rows = rows.join(caps.select("acct", "sector", "cap"), ["acct", "sector"], "left") if caps is not None else rows.withColumn("cap", F.lit(None))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    rows = rows.select(
+        "acct", F.col("sec").cast("string"), "sector", *(number(c) for c in ("weight", "bench", "specific", "coefficient", "penalty")),
+        F.coalesce("no_buy", F.lit(False)).alias("no_buy"), F.col("cap").cast("double"), limit.cast("double").alias("most_risk"),
+        F.map_keys("loads").alias("factors"), F.map_values("loads").alias("values"),
+    )
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sec")
+        n = len(pdf)
+        x = np.zeros((n, len(place)))
+        for i, (names, values) in enumerate(zip(pdf.factors, pdf["values"])):
+            for f, v in zip(names if names is not None else (), values if values is not None else ()):
+                if f in place:
+                    x[i, place[f]] = v
+        w0, bench = pdf.weight.to_numpy(float), pdf.bench.to_numpy(float)
+        bench = bench / bench.sum() if bench.sum() > 0 else (w0 > 0) / max(1, (w0 > 0).sum())
+        capped = pdf[pdf.cap.notna()].drop_duplicates("sector").set_index("sector").cap
+        member = (pdf.sector.to_numpy()[:, None] == capped.index.to_numpy()[None, :]).astype(float) if len(capped) else np.zeros((n, 0))
+        worth = tax_weight * pdf.coefficient.to_numpy(float) - penalty_weight * pdf.penalty.to_numpy(float)
+        ball = pdf.most_risk.dropna()
+        p = interior.Account(
+            w0, bench, x, matrix, pdf.specific.to_numpy(float), cost * cost_weight, worth, pdf.no_buy.to_numpy(bool), most_turnover, member, capped.to_numpy(float),
+            float(ball.iloc[0]) ** 2 if len(ball) else None,
+        )
+        found = interior.solve(p)
+        v = np.maximum(found.x, 0) if found.solved else np.zeros_like(found.x)
+        buy, sell = p.trades(v)
+        status = "optimal" if found.solved else "infeasible"
+        return pd.DataFrame({
+            "acct": pdf.acct.to_numpy(), "sec": pdf.sec.to_numpy(), "weight": np.maximum(w0 + buy - sell, 0.0) if found.solved else w0, "buy": buy, "sell": sell,
+            "turnover": buy.sum() + sell.sum(), "tracking_error": np.sqrt(max(p.variance(v), 0.0)), "status": status, "residual": found.residual,
+        })
+
+    # much work for few bytes: as many tasks as the session shuffles to, however small the table
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "acct")
+    return rows.groupBy("acct").applyInPandas(one, SOLVED)
 
 
 def trades(weights: DataFrame, target: DataFrame, prices: DataFrame, totals: DataFrame, least: float = 0.01) -> DataFrame:

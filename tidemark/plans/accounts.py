@@ -262,13 +262,34 @@ def h51_account_tracking_error(t):
     return rebalance.account_tracking_error(_weights(t), r, bench)
 
 
+def _sector_model(t: Tables):
+    """Risk of brands by sector: sector returns as factors, what is left as specific risk; (names, exposures, covariance)."""
+    r = _account_returns(t).where("ret is not null").select("sec", F.substring("sec", 1, 7).alias("sector"), "month", "ret")
+    own = r.withColumn("factor", F.avg("ret").over(Window.partitionBy("sector", "month")))
+    names = own.groupBy("sec", "sector").agg(F.coalesce(F.var_samp(F.col("ret") - F.col("factor")), F.lit(0.01)).alias("specific"))
+    f = r.groupBy("sector", "month").agg(F.avg("ret").alias("x"))
+    pair = f.select("month", F.col("sector").alias("fi"), "x").join(f.select("month", F.col("sector").alias("fj"), F.col("x").alias("y")), "month")
+    return names, names.select("sec", F.col("sector").alias("factor"), F.lit(1.0).alias("x")), pair.groupBy("fi", "fj").agg(F.covar_samp("x", "y").alias("cov"))
+
+
+def _account_problem(t: Tables):
+    """Every account against all holdings together: names that would realise a loss may not be bought back, a sector may hold
+    a half, or .15 less than it does, and the risk may not rise."""
+    names, exposures, covariance = (t.keep(f"sector{i}", lambda x=x: x) for i, x in enumerate(_sector_model(t)))
+    w = t.keep("weights", lambda: _weights(t).select("acct", "sec", "weight", "value"))
+    bench = w.groupBy("sec").agg(F.sum("value").alias("bench"))
+    universe = w.select("acct").distinct().join(F.broadcast(names.join(bench, "sec")))  # brands are few, whatever the data
+    tax = harvest.tax_coefficients(_benefits(t))
+    penalty = _benefits(t).groupBy("acct", "sec").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("gain") > 0, F.col("gain") * F.col("rate"))), F.sum("market_value")), F.lit(0.0)).alias("penalty"))
+    rows = universe.join(w.select("acct", "sec", "weight"), ["acct", "sec"], "left").join(tax, ["acct", "sec"], "left").join(penalty, ["acct", "sec"], "left")
+    rows = rows.withColumn("no_buy", F.coalesce(F.col("coefficient") > 0, F.lit(False)))
+    caps = rows.groupBy("acct", "sector").agg(F.sum("weight").alias("held")).select("acct", "sector", F.greatest(F.lit(0.5), F.coalesce(F.col("held"), F.lit(0.0)) - 0.15).alias("cap"))
+    return rows, exposures, covariance, caps
+
+
 @add()
 def h60_account_solve(t):
-    r = _account_returns(t).where("ret is not null").groupBy("sec").agg(F.coalesce(F.var_samp("ret"), F.lit(0.01)).alias("variance"))
-    rows = _weights(t).join(r, "sec").join(harvest.tax_coefficients(_benefits(t)), ["acct", "sec"], "left")
-    bench = 1.0 / F.count("*").over(Window.partitionBy("acct"))
-    w = F.col("weight") / F.sum("weight").over(Window.partitionBy("acct"))
-    return rebalance.solve_accounts(rows.select("acct", "sec", w.alias("weight"), bench.alias("bench"), "variance", F.coalesce("coefficient", F.lit(0.0)).alias("coefficient"), F.lit(False).alias("no_buy")))
+    return rebalance.solve_accounts(*_account_problem(t), most_risk=0.5)
 
 
 @add()

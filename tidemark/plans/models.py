@@ -506,17 +506,20 @@ def f3_long_short_legs(t):
 
 
 def _history(t: Tables) -> DataFrame:
-    return backtest.histories(backtest.legs(_scores(t), 5), _returns(t))
+    """Of the two best and the two worst deciles."""
+    return t.keep("histories", lambda: backtest.histories(backtest.decile_legs(_scores(t).withColumn("score", F.round("score", 9))), _returns(t)))
 
 
-@add()
+@add("""SELECT month, sec, round(score, 9) AS score, side, last_day(r_month) AS at, ret FROM (SELECT l.*, r.month AS r_month, r.ret, count(*) OVER (PARTITION BY l.month, l.sec) AS n FROM
+  (SELECT sec, month, score, year(month) * 12 + month(month) - 1 AS mi, CASE WHEN decile <= 2 THEN 'long' WHEN decile >= 9 THEN 'short' END AS side FROM (SELECT *, ntile(10) OVER (PARTITION BY month ORDER BY round(score, 9) DESC, sec) AS decile FROM sc)) l
+  JOIN returns r ON r.sec = l.sec AND r.mi BETWEEN l.mi - 36 AND l.mi - 1 WHERE side IS NOT NULL AND ret IS NOT NULL) WHERE n >= 12""", "score ret", _SCORES)
 def h36_backtest_histories(t):
-    return _history(t)
+    return _history(t).select("month", "sec", "score", "side", "at", "ret")
 
 
 @add()
 def h37a_long_short_weights(t):
-    return backtest.long_short_weights(_history(t))
+    return backtest.long_short_weights(_history(t), bound=0.1)
 
 
 @add()
