@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,63 @@ def test_compliance_rules(spark):
     buys = spark.createDataFrame([(1, "A", day("2023-11-20"))], "acct long, sec string, d date")
     got = {(r.order_id, r.rule) for r in rebalance.compliance(orders, held, buys).collect()}
     assert got == {(2, "oversell"), (3, "oversell"), (2, "duplicate"), (3, "duplicate"), (4, "bad_quantity_or_price")}
+
+
+def brute_fifo(rows):
+    """Matches by walking through lots and sales; rows are (d, seq, side, qty)."""
+    lots_left = [[seq, q] for d, seq, side, q in sorted(rows) if side == "B"]
+    out, i = [], 0
+    for _, sale, side, q in sorted(rows):
+        while side == "S" and q > 1e-9 and i < len(lots_left):
+            take = min(q, lots_left[i][1])
+            if take > 1e-9:
+                out.append((lots_left[i][0], sale, round(take, 6)))
+            q, lots_left[i][1] = q - take, lots_left[i][1] - take
+            i += lots_left[i][1] <= 1e-9
+    return sorted(out)
+
+
+@pytest.mark.parametrize("swept", [100_000, 7, 1])
+def test_fifo_equals_a_walk(spark, monkeypatch, swept):
+    """Ties, zero and fractional quantities, more sold than bought, and keys cut into many ranges."""
+    rng = random.Random(swept)
+    monkeypatch.setattr(lots, "SWEPT", swept)
+    rows, want = [], {}
+    for acct in range(12):
+        own = [(day("2024-01-01") + dt.timedelta(rng.randrange(90)), 100 * acct + i, rng.choice("BBS" if acct % 3 else "BSS"), rng.choice((0.0, 1.0, 2.5, 0.25, 40.0))) for i in range(rng.choice((1, 5, 60)))]
+        rows += [(acct, "A", d, seq, side, q, 1.0 + seq % 7) for d, seq, side, q in own]
+        want[acct] = brute_fifo(own)
+    t = spark.createDataFrame(rows, TRADES)
+    got = {}
+    for r in lots.fifo(t).collect():
+        got.setdefault(r.acct, []).append((r.lot, r.sale, round(r.used, 6)))
+    assert {a: sorted(got.get(a, [])) for a in want} == want
+    bought = {r[3]: r[5] for r in rows if r[4] == "B"}
+    left = {lot: q - sum(u for m in want.values() for x, _, u in m if x == lot) for lot, q in bought.items()}
+    assert {r.lot: round(r.remaining, 6) for r in lots.open_lots(t).collect()} == {k: pytest.approx(v) for k, v in left.items() if v > 1e-9}
+
+
+def test_one_key_with_very_many_trades(spark):
+    """A hundred thousand lots and as many sales of one key: their product would be 10^10 rows."""
+    n = 100_000
+    t = spark.range(2 * n).select(F.lit(1).cast("long").alias("acct"), F.lit("A").alias("sec"), F.expr("date_add(date'2000-01-01', cast(id % 5000 as int))").alias("d"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, "B").otherwise("S").alias("side"), F.when(F.col("id") % 2 == 0, 3.0).otherwise(2.0).alias("qty"), F.lit(1.0).alias("price"))
+    got = lots.fifo(t).agg(F.count("*").alias("n"), F.sum("used").alias("used"), F.count_distinct("sale").alias("sales")).first()
+    assert (got.used, got.sales) == (2.0 * n, n) and n <= got.n <= 2 * n
+    near = harvest.wash_sales(t.where("side = 'S'").select("acct", "sec", "d", F.col("seq").alias("lot")), t.where("side = 'B'"))
+    assert near.agg(F.sum("purchases")).first()[0] > 10**6 and near.count() == n
+
+
+def test_days_near_equal_brute_force(spark):
+    rng = random.Random(9)
+    at = lambda: day("2024-01-01") + dt.timedelta(rng.randrange(200))
+    sales = [(rng.randrange(3), rng.choice("AB"), at() if i % 9 else None, i) for i in range(80)]
+    buys = [(rng.randrange(3), rng.choice("ABC"), at() if i % 9 else None, i) for i in range(80)]
+    s = spark.createDataFrame(sales, "acct long, sec string, d date, lot long")
+    b = spark.createDataFrame(buys, "acct long, sec string, d date, seq long")
+    near = lambda x, y: x is not None and y is not None and abs((x - y).days) <= 30
+    for own in (False, True):
+        want = {x: sum(1 for a, sec, e, seq in buys if (a, sec) == (acct, k) and near(d, e) and not (own and seq == x)) for acct, k, d, x in sales}
+        assert {r.lot: r.purchases for r in harvest.wash_sales(s, b, exclude_own_lot=own).collect()} == want
+    got = {(r.acct, r.d): (r.excluded, r.n_excluded) for r in harvest.excluded_securities(s, b).collect()}
+    want = {(a, d): sorted({k for c, k, e, _ in sales if (c, e) == (a, d)} | {k for c, k, e, _ in buys if c == a and near(d, e)}) for a, _, d, _ in sales}
+    assert got == {k: (v, len(v)) for k, v in want.items()}

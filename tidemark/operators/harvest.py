@@ -5,22 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.lots import within_days
+
 
 def wash_sales(sales: DataFrame, buys: DataFrame, days: int = 30, exclude_own_lot: bool = False) -> DataFrame:
-    """``sales(acct, sec, d[, lot])`` with ``wash`` and the number of purchases within ``days`` either way."""
-    b = buys.select("acct", "sec", F.col("d").alias("bd"), F.col("seq").alias("bs"))
-    near = (sales["acct"] == b["acct"]) & (sales["sec"] == b["sec"]) & b["bd"].between(F.date_sub(sales["d"], days), F.date_add(sales["d"], days))
+    """``sales(acct, sec, d[, lot])`` with ``wash`` and the number of purchases within ``days`` either way; ``exclude_own_lot``
+    does not count the purchase of the lot that is sold."""
+    key = ["acct", "sec"]
+    out = within_days(sales, buys, key, days, "purchases")
     if exclude_own_lot:
-        near = near & (b["bs"] != sales["lot"])
-    hits = sales.join(b, near, "left").drop(b["acct"], b["sec"])
-    return hits.groupBy(*sales.columns).agg(F.count("bs").alias("purchases")).withColumn("wash", F.col("purchases") > 0)
+        own = buys.select(*key, F.col("seq").alias("lot"), F.col("d").alias("_bought"))
+        mine = F.coalesce(F.abs(F.datediff("_bought", "d")) <= days, F.lit(False)).cast("long")
+        out = out.join(own, [*key, "lot"], "left").withColumn("purchases", F.col("purchases") - mine).select(out.columns)
+    return out.withColumn("wash", F.col("purchases") > 0)
 
 
 def excluded_securities(sales: DataFrame, buys: DataFrame, days: int = 30) -> DataFrame:
-    """Per sale date and account the securities that may not be bought back: those sold, and those bought near the sale."""
-    near = sales.select("acct", F.col("sec").alias("sold_sec"), "d").join(buys.select("acct", F.col("sec"), F.col("d").alias("bd")), "acct")
-    near = near.where(F.abs(F.datediff("bd", "d")) <= days).select("acct", "d", "sec")
-    return near.unionByName(sales.select("acct", "d", "sec")).distinct().groupBy("acct", "d").agg(F.count("*").alias("n_excluded"), F.min("sec").alias("first_excluded"))
+    """Per account and sale date the securities that may not be bought back, in order: those sold, and those bought near the sale.
+
+    Days are dealt into bins of ``days`` + 1; a sale looks into the three bins that can hold a day near it.
+    """
+    width = days + 1
+    day = lambda c: F.unix_date(c)
+    dates = sales.where("d is not null").select("acct", "d").distinct()
+    dates = dates.withColumn("bin", F.explode(F.sequence(F.floor((day("d") - days) / width), F.floor((day("d") + days) / width))))
+    bought = buys.select("acct", "sec", F.col("d").alias("bd"), F.floor(day("d") / width).alias("bin")).distinct()
+    near = dates.join(bought, ["acct", "bin"]).where(F.abs(F.datediff("bd", "d")) <= days).select("acct", "d", "sec")
+    out = near.unionByName(sales.select("acct", "d", "sec")).groupBy("acct", "d").agg(F.sort_array(F.collect_set("sec")).alias("excluded"))
+    return out.withColumn("n_excluded", F.size("excluded").cast("long"))
 
 
 def tax_benefit(lots: DataFrame, accounts: DataFrame, as_of) -> DataFrame:

@@ -6,38 +6,89 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: About so many trades of one account and security are swept by one task; more are cut into ranges of running quantity.
+SWEPT = 100_000
+#: Quantities up to this are none.
+NOTHING = 1e-9
+
+
+def _running(trades: DataFrame) -> DataFrame:
+    """Trades with ``lo`` and ``hi``, their place in the running quantity of their account, security and side, and ``part``, a range of it.
+
+    Totals of months are summed up first, so that a month of a key is all that one task has to put in order.
+    """
+    key = ["acct", "sec"]
+    rows = trades.withColumn("_month", F.coalesce(F.trunc("d", "month"), F.lit("0001-01-01").cast("date")))
+    months = rows.groupBy(*key, "side", "_month").agg(F.sum("qty").alias("_q"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*key, "side").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    total, whole = F.sum("_q").over(Window.partitionBy(*key, "side")), Window.partitionBy(*key)
+    months = months.select(*key, "side", "_month", F.coalesce(F.sum("_q").over(before), F.lit(0.0)).alias("_before"), total.alias("_total"), F.ceil(F.sum("_n").over(whole) / SWEPT).alias("_parts"))
+    months = months.withColumn("_width", F.greatest(F.max("_total").over(whole), F.lit(NOTHING)) / F.col("_parts")).drop("_total")
+    own = Window.partitionBy(*key, "side", "_month").orderBy("d", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(months, [*key, "side", "_month"]).withColumn("hi", F.col("_before") + F.sum("qty").over(own))
+    part = F.least(F.floor(F.col("hi") / F.col("_width")), F.col("_parts") - 1).cast("int")
+    return rows.withColumns({"lo": F.col("hi") - F.col("qty"), "part": part}).drop("_month", "_before", "_parts", "_width")
+
+
 def fifo(trades: DataFrame, causal: bool = False) -> DataFrame:
-    """First-in-first-out matches ``(acct, sec, lot, sale, used, …)``: buys and sells as intervals of cumulative quantity.
+    """First-in-first-out matches ``(acct, sec, lot, sale, used, …)``: buys and sells as intervals of running quantity.
+
+    The ends of all lots and sales of a key lie on one line; between two neighbouring ends exactly one lot and one sale are
+    used: those that end next.  So there are at most as many matches as trades, found by one sort with the next end of either
+    kind carried back, over ranges of the line that hand on what ends next behind them.
 
     Lots are consumed in order of purchase even if bought after the sale; ``causal`` keeps matches with earlier lots only.
     """
     key = ["acct", "sec"]
-    w = Window.partitionBy(*key, "side").orderBy("d", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("hi", F.sum("qty").over(w)).withColumn("lo", F.col("hi") - F.col("qty"))
-    lots = rows.where("side = 'B'").select(*key, F.col("seq").alias("lot"), F.col("d").alias("bought"), F.col("qty").alias("lot_qty"), F.col("price").alias("cost_price"), F.col("lo").alias("l0"), F.col("hi").alias("l1"))
-    sales = rows.where("side = 'S'").select(*key, F.col("seq").alias("sale"), F.col("d").alias("sold"), F.col("qty").alias("sale_qty"), F.col("price").alias("sale_price"), F.col("lo").alias("s0"), F.col("hi").alias("s1"))
-    used = F.least("l1", "s1") - F.greatest("l0", "s0")
-    hit = lots.join(sales, key).where(F.greatest("l0", "s0") < F.least("l1", "s1")).withColumn("used", used).drop("l0", "l1", "s0", "s1")
+    rows = _running(trades)
+    lot = F.struct("hi", F.col("d").alias("bought"), F.col("seq").alias("lot"), F.col("qty").alias("lot_qty"), F.col("price").alias("cost_price"))
+    sale = F.struct("hi", F.col("d").alias("sold"), F.col("seq").alias("sale"), F.col("qty").alias("sale_qty"), F.col("price").alias("sale_price"))
+    rows = rows.select(*key, "part", "hi", "d", "seq", "side", F.when(F.col("side") == "B", lot).alias("l"), F.when(F.col("side") == "S", sale).alias("s"))
+    parts = rows.groupBy(*key, "part").agg(F.max("hi").alias("_last"), F.min("l").alias("_lot"), F.min("s").alias("_sale"))
+    behind = Window.partitionBy(*key).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *key, "part", F.lag("_last").over(Window.partitionBy(*key).orderBy("part")).alias("_from"),
+        F.last("_lot", True).over(behind).alias("_lot"), F.last("_sale", True).over(behind).alias("_sale"),
+    )
+    back = Window.partitionBy(*key, "part").orderBy(F.desc("hi"), F.desc("d"), F.desc("seq"), F.desc("side"))
+    so_far = back.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(parts, [*key, "part"]).select(
+        *key, F.coalesce(F.last("l", True).over(so_far), "_lot").alias("l"), F.coalesce(F.last("s", True).over(so_far), "_sale").alias("s"),
+        (F.col("hi") - F.coalesce(F.lead("hi").over(back), "_from", F.lit(0.0))).alias("used"),
+    )
+    hit = rows.where((F.col("used") > NOTHING) & F.col("l").isNotNull() & F.col("s").isNotNull())
+    hit = hit.select(*key, *(f"l.{c}" for c in ("lot", "bought", "lot_qty", "cost_price")), *(f"s.{c}" for c in ("sale", "sold", "sale_qty", "sale_price")), "used")
     return hit.where("bought <= sold") if causal else hit
 
 
 def open_lots(trades: DataFrame) -> DataFrame:
     """What is left of each lot; lots that are used up drop out.  Needs no match: a lot is open above the total sold."""
     key = ["acct", "sec"]
-    w = Window.partitionBy(*key).orderBy("d", "seq").rowsBetween(Window.unboundedPreceding, 0)
     sold = trades.where("side = 'S'").groupBy(*key).agg(F.sum("qty").alias("sold"))
-    lots = trades.where("side = 'B'").withColumn("hi", F.sum("qty").over(w)).join(sold, key, "left")
+    lots = _running(trades.where("side = 'B'")).join(sold, key, "left")
     left = F.least(F.col("qty"), F.greatest(F.lit(0.0), F.col("hi") - F.coalesce("sold", F.lit(0.0))))
-    return lots.withColumn("remaining", left).where("remaining > 1e-9").select(*key, F.col("seq").alias("lot"), F.col("d").alias("bought"), "remaining", "price", (F.col("remaining") * F.col("price")).alias("cost"))
+    return lots.withColumn("remaining", left).where(F.col("remaining") > NOTHING).select(*key, F.col("seq").alias("lot"), F.col("d").alias("bought"), "remaining", "price", (F.col("remaining") * F.col("price")).alias("cost"))
+
+
+def within_days(rows: DataFrame, events: DataFrame, key: list[str], days: int, name: str) -> DataFrame:
+    """``rows`` with the number of ``events`` of the same key whose date ``d`` is at most ``days`` from theirs, either way.
+
+    Both sides meet as one row a key and day at most, counts summed over a range of days; no pairs are formed, and a key is never
+    larger than its days.  A row without a date has none near it.
+    """
+    per = events.where("d is not null").groupBy(*key, "d").agg(F.count("*").alias("_n"), F.lit(False).alias("_asked"))
+    asked = rows.where("d is not null").select(*key, "d").distinct().select(*key, "d", F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_asked"))
+    near = Window.partitionBy(*key).orderBy(F.unix_date("d")).rangeBetween(-days, days)
+    counts = per.unionByName(asked).withColumn(name, F.sum("_n").over(near)).where("_asked").select(*key, "d", name)
+    return rows.join(counts, [*key, "d"], "left").select(*rows.columns, F.coalesce(name, F.lit(0)).alias(name))
 
 
 def loss_sale_flags(matches: DataFrame, trades: DataFrame, days: int = 30) -> DataFrame:
     """Lots bought within ``days`` of a sale whose proceeds were below the cost of what it removed."""
     sale = matches.groupBy("acct", "sec", "sale", "sold", "sale_qty", "sale_price").agg(F.sum(F.col("used") * F.col("cost_price")).alias("cost"))
-    loss = sale.where(F.col("sale_qty") * F.col("sale_price") < F.col("cost")).select("acct", "sec", "sold")
-    lots = trades.where("side = 'B'").select("acct", "sec", F.col("seq").alias("lot"), F.col("d").alias("bought"))
-    near = F.abs(F.datediff("bought", "sold")) <= days
-    return lots.join(loss, ["acct", "sec"]).where(near).select("acct", "sec", "lot", "bought").distinct()
+    loss = sale.where(F.col("sale_qty") * F.col("sale_price") < F.col("cost")).select("acct", "sec", F.col("sold").alias("d"))
+    lots = trades.where("side = 'B'").select("acct", "sec", "d", F.col("seq").alias("lot"))
+    return within_days(lots, loss, ["acct", "sec"], days, "n").where("n > 0").select("acct", "sec", "lot", F.col("d").alias("bought")).distinct()
 
 
 def classify(lots: DataFrame, as_of, long_days: int = 365) -> DataFrame:

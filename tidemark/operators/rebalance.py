@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import union_all
 from tidemark.operators import interior
+from tidemark.operators.lots import within_days
 
 
 def current_weights(positions: DataFrame, prices: DataFrame) -> DataFrame:
@@ -136,8 +137,7 @@ def compliance(orders: DataFrame, positions: DataFrame, buys: DataFrame, days: i
     """Broken rules of ``orders(order_id, acct, sec, d, kind, quantity, price)``: rows (order_id, severity, rule)."""
     row = lambda df, severity, rule: df.select("order_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"))
     sells = orders.where("kind = 'sell'")
-    b = buys.select("acct", "sec", F.col("d").alias("bd"))
-    wash = sells.join(b, ["acct", "sec"]).where(F.abs(F.datediff("bd", "d")) <= days).select("order_id").distinct()
+    wash = within_days(sells, buys, ["acct", "sec"], days, "_near").where("_near > 0").select("order_id").distinct()
     total = sells.groupBy("acct", "sec").agg(F.sum("quantity").alias("t"))
     over = sells.join(total, ["acct", "sec"]).join(positions.select("acct", "sec", F.col("quantity").alias("held")), ["acct", "sec"], "left").where(F.col("t") > F.coalesce("held", F.lit(0.0)) + 1e-9)
     n = F.count("*").over(Window.partitionBy("acct", "sec", "d", "kind"))

@@ -92,9 +92,9 @@ def h44_wash_sales(t):
     return harvest.wash_sales(_sales(t), _buys(t))
 
 
-@add("""SELECT acct, d, count(*) AS n_excluded, min(sec) AS first_excluded FROM (SELECT acct, d, sec FROM sl UNION SELECT s.acct, s.d, b.sec FROM sl s JOIN trades b ON s.acct = b.acct AND b.side = 'B' AND abs(b.d - s.d) <= 30) GROUP BY ALL""", "", _WASH)
+@add("""SELECT acct, d, string_agg(sec, ',' ORDER BY sec) AS excluded, count(*) AS n_excluded FROM (SELECT acct, d, sec FROM sl UNION SELECT s.acct, s.d, b.sec FROM sl s JOIN trades b ON s.acct = b.acct AND b.side = 'B' AND abs(b.d - s.d) <= 30) GROUP BY ALL""", "", _WASH)
 def h45_wash_exclusions(t):
-    return harvest.excluded_securities(_sales(t), _buys(t))
+    return harvest.excluded_securities(_sales(t), _buys(t)).withColumn("excluded", F.array_join("excluded", ","))
 
 
 @add("SELECT * FROM ben", "gain benefit market_value rate", _LOTS, places=4)
