@@ -59,6 +59,22 @@ def test_odd_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_shared_ids_are_vectors_of_their_own(spark):
+    rng = random.Random(6)
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [1.0, 0.001], 1), (9, [0.001, 1.0], 1), (1, [1.0, 0.0], 2), (1, [0.0, 1.0], 2), (2, [1.0, 0.001], 2)]
+    rows += [(20 + i // 3, v, 3) for i, v, _ in cloud(rng, 90, 1, 2)]
+    rng.shuffle(rows)
+    numbered = slow([(k, v, lab) for k, (_, v, lab) in enumerate(rows)])
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        root = numbered[k][1]
+        least[root] = min(least.get(root, i), i)
+    want = sorted((i, numbered[k][0], least[numbered[k][1]]) for k, (i, *_) in enumerate(rows))
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], SCHEMA)
+    for options in ({}, {"block_rows": 10, "max_pivots": 3}):
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df, **options).collect()) == want
+
+
 def nearest(rows, asked, k):
     good = lambda v: v is not None and all(c is not None and math.isfinite(c) for c in v) and any(v)
     x = [(i, np.array(v, np.float32).astype(float)) for i, v, _ in rows if good(v)]

@@ -171,11 +171,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     good = rows.where(usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    classes = settled(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("w")), "classes")
-
-    size = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c * c)
-    scale = F.aggregate("v", F.lit(0.0), lambda acc, c: F.greatest(acc, F.abs(c)))  # first by the largest part, lest squares overflow
-    unit = classes.withColumn("v", F.transform("v", lambda c: c / scale)).withColumn("v", F.transform("v", lambda c: c / F.sqrt(size))).withColumn("size", F.size("v"))
+    @F.pandas_udf("array<double>")
+    def normal(v: pd.Series) -> pd.Series:
+        scaled = (x / np.abs(x).max() for x in v)  # first by the largest part, lest squares overflow
+        return pd.Series([x / np.sqrt(x @ x) for x in scaled])
+
+    classes = good.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").cast("double").alias("w"))
+    # Equal vectors are one class with a number of its own, since several classes may share an id.  The table is settled, so
+    # numbers stay, and no filter on lengths is pushed below the norms.
+    classes = settled(classes.withColumns({"id": F.monotonically_increasing_id(), "u": normal("v"), "size": F.size("v")}), "classes")
+    unit = classes.select("id", "label", "size", "w", F.col("u").alias("v"))
     key = ["label", "size"]  # every length has pivots and cells of its own
     counts = unit.groupBy(*key).agg(F.count("*").alias("n"))
     order = Window.partitionBy(*key).orderBy(F.xxhash64("id"), "id")
@@ -220,8 +225,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     found = settled(met.groupBy(*key, "p", "q").applyInPandas(task, "id long, n double, root long"), "links")
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("id").agg(F.sum("n").alias("n"))
-    known = classes.join(totals, "id", "left").join(joined, F.col("id") == F.col("node"), "left")
-    known = known.select(F.col("label").alias("l"), F.col("v").alias("x"), (F.coalesce("n", F.lit(0.0)) + F.col("w") - 1).cast("long").alias("n"), F.coalesce("component", "id").alias("c"))
+    known = classes.join(totals, "id", "left").join(joined, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
+    known = settled(known.select("label", "v", "least", "c", (F.coalesce("n", F.lit(0.0)) + F.col("w") - 1).cast("long").alias("n")), "known")
+    names = known.groupBy("c").agg(F.min("least").alias("name"))
+    known = known.join(names, "c").select(F.col("label").alias("l"), F.col("v").alias("x"), "n", F.col("name").alias("c"))
     ok = usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull()
     linked = rows.where(ok).join(known, (F.col("label") == F.col("l")) & (F.col("v") == F.col("x")))
     out = linked.select(F.col("id").alias("vec_id"), F.col("n").alias("n_links"), F.col("c").alias("component_id"))
