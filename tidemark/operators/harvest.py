@@ -52,25 +52,31 @@ def portfolio_benefit(benefits: DataFrame) -> DataFrame:
     return out.withColumn("effective_rate", F.coalesce(F.try_divide(F.col("short_benefit") + F.col("long_benefit"), F.col("short_loss") + F.col("long_loss")), F.lit(0.0)))
 
 
-def replacements(security: DataFrame, correlation: DataFrame, most: int = 5, least_corr: float = 0.7, least_days: int = 30) -> DataFrame:
-    """Candidates to replace a security: same sector first, then others; correlated enough or of unknown correlation.
+def replacements(security: DataFrame, correlation: DataFrame, most: int = 5, least_corr: float = 0.7, least_days: int = 30, exclude: DataFrame | None = None) -> DataFrame:
+    """Candidates to replace a security: of the same type, same sector first, then others; correlated enough or of unknown correlation.
 
+    ``security(sec, sector, industry[, exchange, type])``; without these columns all have one exchange and type.
     ``correlation(si, sj, corr, n)`` holds each unordered pair at most once; fewer than ``least_days`` common dates, or no
-    row, is unknown.  A null sector or industry is nobody else's.
+    row, is unknown.  ``exclude(sec, candidate)`` are pairs that may not be.  A null sector, industry, exchange or type is
+    nobody else's.  Similarity: .5 for the sector, .3 industry, .1 exchange, .1 type.
     """
+    security = security.withColumns({c: F.lit("") for c in ("exchange", "type") if c not in security.columns})
     both = correlation.where("si <> sj")
     both = both.select("si", "sj", "corr", "n").unionByName(both.select(F.col("sj").alias("si"), F.col("si").alias("sj"), "corr", "n"))
     barred = both.where((F.col("n") >= least_days) & (F.abs("corr") < least_corr)).select(F.col("si").alias("sec"), F.col("sj").alias("candidate"))
-    place = F.row_number().over(Window.orderBy("sec"))  # one narrow row a security
-    b = security.select(F.col("sec").alias("candidate"), F.col("sector").alias("s2"), F.col("industry").alias("i2"), place.alias("place"))
-    a = security.select("sec", F.col("sector").alias("s1"), F.col("industry").alias("i1"), F.count("sector").over(Window.partitionBy("sector")).alias("peers"))
-    same = a.drop("peers").join(b.drop("place"), F.col("s1") == F.col("s2"))
-    # among so many first securities at least ``most`` are neither barred nor of the same sector
+    if exclude is not None:
+        barred = barred.union(exclude.select("sec", "candidate")).distinct()
+    place = F.row_number().over(Window.partitionBy("type").orderBy("sec"))  # one narrow row a security
+    b = security.select(F.col("sec").alias("candidate"), F.col("sector").alias("s2"), F.col("industry").alias("i2"), F.col("exchange").alias("e2"), F.col("type").alias("t2"), place.alias("place"))
+    peers = F.count("sector").over(Window.partitionBy("sector", "type"))
+    a = security.where("type is not null").select("sec", F.col("sector").alias("s1"), F.col("industry").alias("i1"), F.col("exchange").alias("e1"), F.col("type").alias("t1"), peers.alias("peers"))
+    same = a.drop("peers").join(b.drop("place"), (F.col("s1") == F.col("s2")) & (F.col("t1") == F.col("t2")))
+    # among so many first securities of its type at least ``most`` are neither barred nor of the same sector
     reach = a.join(barred.groupBy("sec").agg(F.count("*").alias("b")), "sec", "left").withColumn("place", F.explode(F.sequence(F.lit(1), (most + 1 + F.col("peers") + F.coalesce("b", F.lit(0))).cast("int"))))
-    others = reach.join(b, "place").where(~F.coalesce(F.col("s1") == F.col("s2"), F.lit(False))).select(same.columns)
+    others = reach.join(b, (reach["place"] == b["place"]) & (F.col("t1") == F.col("t2"))).where(~F.coalesce(F.col("s1") == F.col("s2"), F.lit(False))).select(same.columns)
     pairs = same.unionByName(others).where("sec <> candidate").join(barred, ["sec", "candidate"], "left_anti")
     pairs = pairs.withColumns({"alike": F.coalesce(F.col("s1") == F.col("s2"), F.lit(False)), "close": F.coalesce(F.col("i1") == F.col("i2"), F.lit(False))})
-    similar = 0.5 * F.col("alike").cast("double") + 0.3 * F.col("close").cast("double") + 0.2
+    similar = 0.5 * F.col("alike").cast("double") + 0.3 * F.col("close").cast("double") + 0.1 * F.coalesce(F.col("e1") == F.col("e2"), F.lit(False)).cast("double") + 0.1
     order = Window.partitionBy("sec").orderBy(F.desc("alike"), "candidate")
     return pairs.withColumns({"similarity": similar, "rank": F.row_number().over(order)}).where(F.col("rank") <= most).select("sec", "candidate", "rank", "similarity")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import union_all
 from tidemark.operators import interior
-from tidemark.operators.lots import within_days
+from tidemark.operators.lots import select_for_sale, within_days
 
 
 def current_weights(positions: DataFrame, prices: DataFrame) -> DataFrame:
@@ -32,14 +32,17 @@ def account_tracking_error(weights: DataFrame, returns: DataFrame, benchmark: Da
     return out.select("acct", "n", (F.col("s") * F.sqrt(F.lit(float(periods)))).alias("tracking_error"), F.try_divide(F.col("m") * periods, F.col("s") * F.sqrt(F.lit(float(periods)))).alias("information_ratio"))
 
 
-def triggers(tracking: DataFrame, harvest: DataFrame, events: DataFrame, as_of, limit: float = 0.05, days: int = 30) -> DataFrame:
-    """Which accounts to rebalance and why: tracking error, a significant harvest, or time since the last executed event."""
+def triggers(tracking: DataFrame, harvest: DataFrame, events: DataFrame, as_of, limit: float = 0.05, days: int = 30, manual: DataFrame | None = None) -> DataFrame:
+    """Which accounts to rebalance and why: tracking error, a significant harvest, time since the last executed event, or because ``manual(acct)`` asks for it."""
+    asked = manual.select("acct", F.lit(True).alias("asked")).distinct() if manual is not None else None
     last = events.where("status = 'executed'").groupBy("acct").agg(F.max("d").alias("last"))
     rows = tracking.join(harvest.select("acct", "significant"), "acct", "full").join(last, "acct", "left")
     te = F.coalesce(F.col("tracking_error") > limit, F.lit(False))
     tax = F.coalesce(F.col("significant") > 0, F.lit(False))
     old = F.col("last").isNull() | (F.datediff(F.lit(as_of).cast("date"), F.col("last")) >= days)
-    return rows.select("acct", te.alias("by_tracking_error"), tax.alias("by_harvest"), old.alias("by_time"), (te | tax | old).alias("needed"))
+    rows = rows.join(asked, "acct", "full") if asked is not None else rows.withColumn("asked", F.lit(False))
+    hand = F.coalesce("asked", F.lit(False))
+    return rows.select("acct", te.alias("by_tracking_error"), tax.alias("by_harvest"), old.alias("by_time"), hand.alias("by_hand"), (te | tax | old | hand).alias("needed"))
 
 
 def weight_distance(weights: DataFrame, target: DataFrame) -> DataFrame:
@@ -133,8 +136,38 @@ def trades(weights: DataFrame, target: DataFrame, prices: DataFrame, totals: Dat
     return rows.select("acct", "sec", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("kind"), F.abs("delta").alias("quantity"))
 
 
-def compliance(orders: DataFrame, positions: DataFrame, buys: DataFrame, days: int = 30) -> DataFrame:
-    """Broken rules of ``orders(order_id, acct, sec, d, kind, quantity, price)``: rows (order_id, severity, rule)."""
+def trades_by_lot(weights: DataFrame, target: DataFrame, prices: DataFrame, totals: DataFrame, open_lots: DataFrame, opportunities: DataFrame, candidates: DataFrame, least: float = 0.01, top: int = 10) -> DataFrame:
+    """All orders of a rebalancing: ``(acct, order, source, kind, sec, lot, quantity, price, benefit)``.
+
+    ``optimiser``: buys that reach the target, and its sales spread over the open lots, those with an opportunity first, then
+    by purchase.  ``harvest``: of an account's ``top`` opportunities each that is no wash sale and has a replacement sells its
+    whole lot and buys its first candidate for the same money (no purchase where that has no price).  A lot can be sold by
+    both parts: ``compliance`` with ``open_lots`` tells.  ``open_lots(acct, sec, lot, bought, remaining)``,
+    ``opportunities(acct, rank, sec, lot, benefit, wash)``, ``candidates(sec, candidate, rank)``.
+    """
+    wanted = trades(weights, target, prices, totals, least)
+    key = ["acct", "sec", "lot"]
+    chances = opportunities.where(F.col("rank") <= top)
+    marked = open_lots.join(chances.select(*key, F.lit(True).alias("harvest")), key, "left").withColumn("harvest", F.coalesce("harvest", F.lit(False)))
+    none = F.lit(None)
+    buys = wanted.where("kind = 'buy'").select("acct", F.lit("optimiser").alias("source"), "kind", "sec", none.cast("long").alias("lot"), "quantity", none.cast("double").alias("benefit"))
+    sold = select_for_sale(marked, wanted.where("kind = 'sell'").select("acct", "sec", F.col("quantity").alias("qty")))
+    sells = sold.select("acct", F.lit("optimiser").alias("source"), F.lit("sell").alias("kind"), "sec", "lot", F.col("take").alias("quantity"), none.cast("double").alias("benefit"))
+    first = candidates.where("rank = 1").select("sec", F.col("candidate").alias("to"))
+    taken = chances.where("not wash").join(first, "sec").join(open_lots.select(*key, "remaining"), key).join(prices.select("sec", F.col("price").alias("at")), "sec")
+    out = taken.select("acct", F.lit("harvest").alias("source"), F.lit("sell").alias("kind"), "sec", "lot", F.col("remaining").alias("quantity"), "benefit")
+    into = taken.join(prices.select(F.col("sec").alias("to"), F.col("price").alias("new")), "to")
+    into = into.select("acct", F.lit("harvest").alias("source"), F.lit("buy").alias("kind"), F.col("to").alias("sec"), none.cast("long").alias("lot"), (F.col("remaining") * F.col("at") / F.col("new")).alias("quantity"), none.cast("double").alias("benefit"))
+    rows = union_all([buys, sells, out, into]).join(prices.select("sec", "price"), "sec")
+    order = F.row_number().over(Window.partitionBy("acct").orderBy(F.desc("source"), "kind", "sec", "lot", F.round("quantity", 6)))
+    return rows.select("acct", order.alias("order"), "source", "kind", "sec", "lot", "quantity", "price", "benefit")
+
+
+def compliance(orders: DataFrame, positions: DataFrame, buys: DataFrame, days: int = 30, open_lots: DataFrame | None = None) -> DataFrame:
+    """Broken rules of ``orders(order_id, acct, sec, d, kind, quantity, price[, lot])``: rows (order_id, severity, rule).
+
+    With ``open_lots(acct, sec, lot, remaining)``, sales of a lot are also held, all together, against what it has left.
+    """
     row = lambda df, severity, rule: df.select("order_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"))
     sells = orders.where("kind = 'sell'")
     wash = within_days(sells, buys, ["acct", "sec"], days, "_near").where("_near > 0").select("order_id").distinct()
@@ -145,14 +178,33 @@ def compliance(orders: DataFrame, positions: DataFrame, buys: DataFrame, days: i
     bad = orders.where("quantity <= 0 or price <= 0 or quantity is null or price is null")
     net = F.sum(F.when(F.col("kind") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))).over(Window.partitionBy("acct", "sec"))
     flat = orders.withColumn("n", F.count("*").over(Window.partitionBy("acct", "sec"))).withColumn("net", net).where("n > 1 and abs(net) < 0.01")
-    return union_all([row(wash, "error", "wash_sale"), row(over, "error", "oversell"), row(double, "warning", "duplicate"), row(bad, "error", "bad_quantity_or_price"), row(flat, "warning", "no_net_effect")])
+    found = [] if open_lots is None else [row(lot_oversells(orders, open_lots), "error", "oversell_lot")]
+    return union_all(found + [row(wash, "error", "wash_sale"), row(over, "error", "oversell"), row(double, "warning", "duplicate"), row(bad, "error", "bad_quantity_or_price"), row(flat, "warning", "no_net_effect")])
+
 
+def lot_oversells(orders: DataFrame, open_lots: DataFrame) -> DataFrame:
+    """Sales of lots that sell more, all together, than the lot has left (or that are not open at all)."""
+    key = ["acct", "sec", "lot"]
+    sells = orders.where("kind = 'sell' and lot is not null")
+    total = sells.groupBy(*key).agg(F.sum("quantity").alias("_all")).join(open_lots.select(*key, "remaining"), key, "left")
+    return sells.join(total.where(F.col("_all") > F.coalesce("remaining", F.lit(0.0)) + 1e-9).select(*key), key, "left_semi")
 
-def tax_report(gains: DataFrame) -> DataFrame:
-    """Per account and year: gains, losses, net, exact terms, and the 70/30 estimate of long and short."""
+
+def tax_report(gains: DataFrame, washed: DataFrame | None = None) -> DataFrame:
+    """Per account and year: gains, losses, net, exact terms, and the 70/30 estimate of long and short.
+
+    ``washed(acct, sec, sale, wash)`` marks sales whose losses may not be taken: those are left out of the losses, and their
+    sum is ``wash_adjustment``.
+    """
+    if washed is not None:
+        gains = gains.join(washed.select("acct", "sec", "sale", "wash"), ["acct", "sec", "sale"], "left")
+        barred = F.coalesce("wash", F.lit(False)) & (F.col("gain") < 0)
+        gains = gains.withColumns({"adjusted": F.when(barred, -F.col("gain")).otherwise(0.0), "gain": F.when(barred, 0.0).otherwise(F.col("gain"))})
+    else:
+        gains = gains.withColumn("adjusted", F.lit(0.0))
     g = F.col("gain")
     plus, minus = F.sum(F.when(g > 0, g).otherwise(0.0)), F.sum(F.when(g < 0, -g).otherwise(0.0))
-    out = gains.groupBy("acct", F.year("sold").alias("year")).agg(plus.alias("gains"), minus.alias("losses"), F.sum(F.when(F.col("term") == "long", g).otherwise(0.0)).alias("long_net"), F.sum(F.when(F.col("term") == "short", g).otherwise(0.0)).alias("short_net"))
+    out = gains.groupBy("acct", F.year("sold").alias("year")).agg(plus.alias("gains"), minus.alias("losses"), F.sum(F.when(F.col("term") == "long", g).otherwise(0.0)).alias("long_net"), F.sum(F.when(F.col("term") == "short", g).otherwise(0.0)).alias("short_net"), F.sum("adjusted").alias("wash_adjustment"))
     net = F.col("gains") - F.col("losses")
     return out.withColumns({"net": net, "long_estimate": net * 0.7, "short_estimate": net * 0.3})
 

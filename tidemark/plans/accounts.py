@@ -110,22 +110,24 @@ def h47_portfolio_benefit(t):
 
 _CANDIDATES = """
 mr AS (SELECT sec, last_day(d) AS month, avg(price) AS p FROM trades GROUP BY ALL),
-rt AS (SELECT sec, month, p / lag(p) OVER (PARTITION BY sec ORDER BY month) - 1 AS ret FROM mr),
+rt AS (SELECT sec, month, avg(p) OVER (PARTITION BY sec ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS ret FROM mr),
 pc AS (SELECT a.sec AS si, b.sec AS sj, corr(a.ret, b.ret) AS corr, count(*) AS n FROM rt a JOIN rt b ON a.month = b.month AND a.sec <> b.sec WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL),
-br AS (SELECT DISTINCT p_brand AS sec, substr(p_brand, 1, 7) AS sector, p_brand AS industry FROM part),
-rep AS (SELECT sec, candidate, CAST(row_number() OVER (PARTITION BY sec ORDER BY same DESC, candidate) AS INTEGER) AS rank, similarity FROM (SELECT si AS sec, sj AS candidate, x.sector = y.sector AS same,
-        0.5 * (x.sector = y.sector)::INT::DOUBLE + 0.3 * (x.industry = y.industry)::INT::DOUBLE + 0.2 AS similarity
-        FROM pc JOIN br x ON si = x.sec JOIN br y ON sj = y.sec WHERE n < 30 OR abs(corr) >= 0.05) QUALIFY rank <= 5)
+br AS (SELECT p_brand AS sec, substr(p_brand, 1, 7) AS sector, substr(max(p_type), 1, 2) AS industry, CASE WHEN min(p_partkey) % 2 = 0 THEN 'N' ELSE 'A' END AS exchange, CASE WHEN max(p_size) % 7 = 0 THEN 'fund' ELSE 'stock' END AS type FROM part GROUP BY p_brand),
+rep AS (SELECT sec, candidate, CAST(row_number() OVER (PARTITION BY sec ORDER BY same DESC, candidate) AS INTEGER) AS rank, similarity FROM (SELECT x.sec, y.sec AS candidate, x.sector = y.sector AS same,
+        0.5 * (x.sector = y.sector)::INT::DOUBLE + 0.3 * (x.industry = y.industry)::INT::DOUBLE + 0.1 * (x.exchange = y.exchange)::INT::DOUBLE + 0.1 AS similarity
+        FROM br x JOIN br y ON x.sec <> y.sec AND x.type = y.type LEFT JOIN pc ON si = x.sec AND sj = y.sec WHERE n IS NULL OR n < 30 OR abs(corr) >= 0.7) QUALIFY rank <= 5)
 """
 
 
 def _replacements(t: Tables) -> DataFrame:
+    """Of brands, by the correlation of their mean prices of twelve months (monthly price changes of the stand-ins are noise)."""
     monthly = t.trades().groupBy("sec", F.last_day("d").alias("month")).agg(F.avg("price").alias("p"))
-    r = monthly.withColumn("ret", F.col("p") / F.lag("p").over(Window.partitionBy("sec").orderBy("month")) - 1).where("ret is not null")
+    r = monthly.withColumn("ret", F.avg("p").over(Window.partitionBy("sec").orderBy("month").rowsBetween(-11, 0)))
     a, b = r.select("month", F.col("sec").alias("si"), F.col("ret").alias("x")), r.select("month", F.col("sec").alias("sj"), F.col("ret").alias("y"))
     corr = a.join(b, "month").where("si < sj").groupBy("si", "sj").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
-    brands = t.read("part").select(F.col("p_brand").alias("sec"), F.substring("p_brand", 1, 7).alias("sector"), F.col("p_brand").alias("industry")).distinct()
-    return harvest.replacements(brands, corr, least_corr=0.05)
+    kind = F.when(F.max("p_size") % 7 == 0, "fund").otherwise("stock")
+    brands = t.read("part").groupBy(F.col("p_brand").alias("sec")).agg(F.substring(F.max("p_type"), 1, 2).alias("industry"), F.when(F.min("p_partkey") % 2 == 0, "N").otherwise("A").alias("exchange"), kind.alias("type"))
+    return harvest.replacements(brands.withColumn("sector", F.substring("sec", 1, 7)), corr)
 
 
 @add("SELECT * FROM rep", "similarity", _CANDIDATES)
@@ -192,6 +194,38 @@ def h64_trades(t):
     return rebalance.trades(w, _target(t), t.last_prices(), w.groupBy("acct").agg(F.sum("value").alias("total")))
 
 
+_ORDERS = _FOUND.strip().rstrip(",") + "," + _WEIGHTS.strip() + """,
+wn AS (SELECT acct, sec, d FROM (SELECT w.acct, w.sec, t.total * g.weight / w.price - w.quantity AS d FROM wt w JOIN tg g USING (acct, sec) JOIN (SELECT acct, sum(value) AS total FROM wt GROUP BY acct) t USING (acct)) WHERE abs(d) > 0.01),
+lq AS (SELECT o.acct, o.sec, o.lot, remaining, -d AS want, sum(remaining) OVER (PARTITION BY o.acct, o.sec ORDER BY p.lot IS NULL, bought, o.lot) - remaining AS before
+       FROM ol o JOIN wn ON wn.acct = o.acct AND wn.sec = o.sec AND d < 0 LEFT JOIN opp p ON p.acct = o.acct AND p.sec = o.sec AND p.lot = o.lot),
+tk AS (SELECT p.acct, p.sec, p.lot, remaining, benefit, l.price AS price_from, candidate, c.price AS price_to FROM opp p JOIN (SELECT sec, candidate FROM rep WHERE rank = 1) r ON p.sec = r.sec JOIN ol o ON o.acct = p.acct AND o.sec = p.sec AND o.lot = p.lot
+       JOIN last_prices l ON l.sec = p.sec LEFT JOIN last_prices c ON c.sec = candidate WHERE NOT wash),
+ords AS (SELECT 'optimiser' AS source, 'buy' AS kind, acct, sec, NULL::BIGINT AS lot, d AS quantity, NULL::DOUBLE AS benefit FROM wn WHERE d > 0
+  UNION ALL SELECT 'optimiser', 'sell', acct, sec, lot, least(remaining, want - before), NULL FROM lq WHERE want - before > 1e-9
+  UNION ALL SELECT 'harvest', 'sell', acct, sec, lot, remaining, benefit FROM tk
+  UNION ALL SELECT 'harvest', 'buy', acct, candidate, NULL, remaining * price_from / price_to, NULL FROM tk WHERE price_to IS NOT NULL)
+"""
+
+
+def _lot_orders(t: Tables) -> DataFrame:
+    w = t.keep("weights", lambda: _weights(t))
+    total = w.groupBy("acct").agg(F.sum("value").alias("total"))
+    found, held = t.keep("opportunities", lambda: _opportunities(t)), t.keep("open_lots", lambda: lots.open_lots(t.trades()))
+    return rebalance.trades_by_lot(w, _target(t), t.last_prices(), total, held, found, _replacements(t))
+
+
+@add("SELECT acct, source, kind, sec, lot, quantity, price, benefit FROM ords JOIN last_prices USING (sec)", "quantity price benefit", _ORDERS, places=4)
+def h64_trades_by_lot(t):
+    return _lot_orders(t).drop("order")
+
+
+@add("""SELECT o.acct, o.sec, o.lot, o.source, o.quantity FROM ords o JOIN (SELECT acct, sec, lot, sum(quantity) AS q FROM ords WHERE kind = 'sell' GROUP BY ALL) s ON s.acct = o.acct AND s.sec = o.sec AND s.lot = o.lot
+  JOIN ol ON ol.acct = o.acct AND ol.sec = o.sec AND ol.lot = o.lot WHERE o.kind = 'sell' AND q > remaining + 1e-9""", "quantity", _ORDERS, places=4)
+def h67_lots_sold_twice(t):
+    """Lots that the optimiser's sales and a harvest sell more of than there is."""
+    return rebalance.lot_oversells(_lot_orders(t), t.keep("open_lots", lambda: lots.open_lots(t.trades()))).select("acct", "sec", "lot", "source", "quantity")
+
+
 @add("""SELECT acct, sec, lot, bought, lot % 2 = 0 AS harvest, least(remaining, want - before) AS take FROM (SELECT *, coalesce(sum(remaining) OVER (PARTITION BY acct, sec ORDER BY lot % 2, bought, lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(remaining) OVER (PARTITION BY acct, sec) / 2 AS want FROM ol) WHERE want - before > 1e-9""", "take", _LOTS)
 def h65_lot_selection(t):
     open_ = lots.open_lots(t.trades()).withColumn("harvest", F.col("lot") % 2 == 0)
@@ -213,10 +247,13 @@ def h67_compliance(t):
     return rebalance.compliance(_orders(t), lots.positions(before), before.where("side = 'B'"))
 
 
-@add("""SELECT *, gains - losses AS net, (gains - losses) * 0.7 AS long_estimate, (gains - losses) * 0.3 AS short_estimate FROM (SELECT acct, CAST(year(sold) AS INTEGER) AS year, sum(CASE WHEN g > 0 THEN g ELSE 0 END) AS gains, sum(CASE WHEN g < 0 THEN -g ELSE 0 END) AS losses, sum(CASE WHEN long THEN g ELSE 0 END) AS long_net, sum(CASE WHEN long THEN 0 ELSE g END) AS short_net
-  FROM (SELECT acct, sold, used * (sale_price - cost_price) AS g, sold - bought >= 365 AS long FROM m) GROUP BY ALL)""", "gains losses long_net short_net net long_estimate short_estimate", _LOTS, places=3)
+@add("""SELECT *, gains - losses AS net, (gains - losses) * 0.7 AS long_estimate, (gains - losses) * 0.3 AS short_estimate FROM (SELECT acct, CAST(year(sold) AS INTEGER) AS year, sum(CASE WHEN g > 0 THEN g ELSE 0 END) AS gains, sum(CASE WHEN g < 0 AND NOT wash THEN -g ELSE 0 END) AS losses,
+  sum(CASE WHEN long AND (g > 0 OR NOT wash) THEN g ELSE 0 END) AS long_net, sum(CASE WHEN NOT long AND (g > 0 OR NOT wash) THEN g ELSE 0 END) AS short_net, sum(CASE WHEN g < 0 AND wash THEN -g ELSE 0 END) AS wash_adjustment
+  FROM (SELECT m.acct, sold, used * (sale_price - cost_price) AS g, sold - bought >= 365 AS long, w.wash FROM m JOIN wash w ON w.acct = m.acct AND w.sec = m.sec AND w.lot = m.sale) GROUP BY ALL)""",
+     "gains losses long_net short_net wash_adjustment net long_estimate short_estimate", _LOTS.strip() + "," + _WASH, places=3)
 def h69_tax_report(t):
-    return rebalance.tax_report(lots.realised_gains(lots.fifo(t.trades())))
+    washed = harvest.wash_sales(_sales(t), _buys(t)).withColumnRenamed("lot", "sale")
+    return rebalance.tax_report(lots.realised_gains(lots.fifo(t.trades())), washed)
 
 
 @add("SELECT o.acct, o.sec, sum(remaining) AS quantity, sum(remaining * l.price) AS value, sum(remaining * (l.price - o.price)) AS unrealised, count(*) AS lots FROM ol o JOIN last_prices l ON o.sec = l.sec GROUP BY ALL", "quantity value unrealised", _LOTS, places=3)
@@ -273,12 +310,13 @@ def _sector_model(t: Tables):
 
 
 def _account_problem(t: Tables):
-    """Every account against all holdings together: names that would realise a loss may not be bought back, a sector may hold
-    a half, or .15 less than it does, and the risk may not rise."""
+    """Every account against the holdings of its market segment: names that would realise a loss may not be bought back, a
+    sector may hold a half, or .15 less than it does."""
     names, exposures, covariance = (t.keep(f"sector{i}", lambda x=x: x) for i, x in enumerate(_sector_model(t)))
-    w = t.keep("weights", lambda: _weights(t).select("acct", "sec", "weight", "value"))
-    bench = w.groupBy("sec").agg(F.sum("value").alias("bench"))
-    universe = w.select("acct").distinct().join(F.broadcast(names.join(bench, "sec")))  # brands are few, whatever the data
+    segment = t.read("customer").select(F.col("c_custkey").alias("acct"), F.col("c_mktsegment").alias("benchmark"))
+    w = t.keep("segments", lambda: _weights(t).select("acct", "sec", "weight", "value").join(segment, "acct"))
+    bench = w.groupBy("benchmark", "sec").agg(F.sum("value").alias("bench"))
+    universe = w.select("acct", "benchmark").distinct().join(bench, "benchmark").join(names, "sec").drop("benchmark")
     tax = harvest.tax_coefficients(_benefits(t))
     penalty = _benefits(t).groupBy("acct", "sec").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("gain") > 0, F.col("gain") * F.col("rate"))), F.sum("market_value")), F.lit(0.0)).alias("penalty"))
     rows = universe.join(w.select("acct", "sec", "weight"), ["acct", "sec"], "left").join(tax, ["acct", "sec"], "left").join(penalty, ["acct", "sec"], "left")
@@ -292,9 +330,31 @@ def h60_account_solve(t):
     return rebalance.solve_accounts(*_account_problem(t), most_risk=0.5)
 
 
-@add()
-def h62_rebalance_triggers(t):
+_TRACKING = _WEIGHTS.strip() + """,
+mret AS (SELECT sec, last_day(d) AS month, avg(price) AS p FROM trades GROUP BY ALL), mr2 AS (SELECT sec, month, p / lag(p) OVER (PARTITION BY sec ORDER BY month) - 1 AS ret FROM mret),
+te AS (SELECT acct, count(*) AS n, stddev_samp(a) * sqrt(12.0) AS tracking_error, avg(a) * 12 / (stddev_samp(a) * sqrt(12.0)) AS information_ratio FROM (SELECT acct, month, sum(weight * ret) - any_value(bench) AS a FROM wt JOIN mr2 USING (sec) JOIN (SELECT month, avg(ret) AS bench FROM mr2 WHERE ret IS NOT NULL GROUP BY month) USING (month) WHERE ret IS NOT NULL GROUP BY acct, month) GROUP BY acct HAVING count(*) >= 10)
+"""
+
+
+def _tracking(t: Tables) -> DataFrame:
     r = _account_returns(t)
     bench = r.where("ret is not null").groupBy("month").agg(F.avg("ret").alias("bench"))
+    return rebalance.account_tracking_error(_weights(t), r, bench)
+
+
+@add("""SELECT coalesce(x.acct, h.acct) AS acct, coalesce(tracking_error > 1.5, false) AS by_tracking_error, coalesce(significant > 0, false) AS by_harvest, coalesce(DATE '2001-12-31' - last >= 30, true) AS by_time, h.acct IS NOT NULL AS by_hand,
+  coalesce(tracking_error > 1.5, false) OR coalesce(significant > 0, false) OR coalesce(DATE '2001-12-31' - last >= 30, true) OR h.acct IS NOT NULL AS needed
+  FROM (SELECT coalesce(te.acct, s.acct) AS acct, tracking_error, significant FROM te FULL JOIN (SELECT acct, count_if(benefit > 500) AS significant FROM opp GROUP BY acct) s ON te.acct = s.acct) x
+  FULL JOIN (SELECT c_custkey AS acct FROM customer WHERE c_acctbal < 0) h ON h.acct = x.acct
+  LEFT JOIN (SELECT o_custkey AS acct, max(CAST(o_orderdate AS DATE)) AS last FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) e ON e.acct = coalesce(x.acct, h.acct)""", "", _FOUND.strip() + "," + _TRACKING)
+def h62_rebalance_triggers(t):
     events = t.read("orders").select(F.col("o_custkey").alias("acct"), F.col("o_orderdate").cast("date").alias("d"), F.when(F.col("o_orderstatus") == "F", "executed").otherwise("open").alias("status"))
-    return rebalance.triggers(rebalance.account_tracking_error(_weights(t), r, bench), harvest.opportunity_summary(_opportunities(t)), events, AS_OF)
+    manual = t.read("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("acct"))
+    return rebalance.triggers(_tracking(t), harvest.opportunity_summary(_opportunities(t)), events, AS_OF, limit=1.5, manual=manual)
+
+
+@add("""SELECT te.acct, n, tracking_error, information_ratio, coalesce(executed_benefit, 0) AS executed_benefit FROM te LEFT JOIN
+  (SELECT acct, sum(-g * CASE WHEN long THEN long_rate ELSE short_rate END) AS executed_benefit FROM (SELECT acct, used * (sale_price - cost_price) AS g, sold - bought >= 365 AS long FROM m) JOIN accounts USING (acct) WHERE g < 0 GROUP BY acct) b ON b.acct = te.acct""",
+     "tracking_error information_ratio executed_benefit", _LOTS.strip() + "," + _TRACKING, places=3)
+def h68_performance_report(t):
+    return rebalance.performance_report(_tracking(t), lots.realised_gains(lots.fifo(t.trades())), t.accounts())

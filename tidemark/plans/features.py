@@ -177,10 +177,3 @@ def j5_value_by_context(t):
     k = F.col("o_orderkey") % 4
     context = F.when(k == 0, "FY_Qtr").when(k == 1, "D2020").when(k == 2, "cYTD")
     return filings.choose_by_context(t.read("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("tag"), context.alias("context"), F.col("o_totalprice").alias("value")))
-
-
-@add()
-def h68_performance_report(t):
-    r = _account_returns(t)
-    bench = r.where("ret is not null").groupBy("month").agg(F.avg("ret").alias("bench"))
-    return rebalance.performance_report(rebalance.account_tracking_error(_weights(t), r, bench), lots.realised_gains(lots.fifo(t.trades())), t.accounts())
