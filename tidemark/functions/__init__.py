@@ -50,15 +50,6 @@ def band(x: Column, low: Column, high: Column, labels=("Low", "Medium", "High"))
     return F.when(x <= low, labels[0]).when(x <= high, labels[1]).when(x.isNotNull(), labels[2])
 
 
-def winsor_z(df: DataFrame, value: str, by: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``value`` clipped at exact quantiles of its group and standardised with the population deviation (0 where that is 0)."""
-    limits = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    clipped = df.join(limits, by).withColumn(value, F.greatest(F.least(F.col(value), F.col("_q")[1]), F.col("_q")[0])).drop("_q")
-    w = Window.partitionBy(*by)
-    mean, sd = F.avg(value).over(w), F.stddev_pop(value).over(w)
-    return clipped.withColumn("_m", mean).withColumn("_s", sd).withColumn(value, F.when(F.col("_s") > 1e-12, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")
-
-
 def trailing(df_window, months: int):
     """The last ``months`` months of an ordered window over a month index."""
     return df_window.rangeBetween(-(months - 1), 0)

@@ -9,16 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import finite, trailing, union_all, winsor_z
+from tidemark.functions import finite, trailing, union_all
+from tidemark.operators.quantiles import meet, exact_quantiles
+from tidemark.runtime import settled
 
 
 LEVELS = ("sector", "industry", "sub_industry")
 
 
+def winsor_z(df: DataFrame, value: str, by: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """``value`` clipped at exact quantiles of its group and standardised with the population deviation (0 where that is 0)."""
+    limits = exact_quantiles(df, by, value, [low, high]).withColumnRenamed("q", "_q")
+    clipped = df.join(limits, by).withColumn(value, F.greatest(F.least(F.col(value), F.col("_q")[1]), F.col("_q")[0])).drop("_q")
+    w = Window.partitionBy(*by)
+    mean, sd = F.avg(value).over(w), F.stddev_pop(value).over(w)
+    return clipped.withColumn("_m", mean).withColumn("_s", sd).withColumn(value, F.when(F.col("_s") > 1e-12, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")
+
+
+def _finite(raw: DataFrame, name: str) -> DataFrame:
+    return raw.select("sec", "month", F.lit(name).alias("factor"), finite(F.col("x")).alias("exposure")).where("exposure is not null")
+
+
 def standardise(raw: DataFrame, name: str) -> DataFrame:
     """``(sec, month, x)`` to exposures: finite values, clipped and z-scored within the month."""
-    rows = raw.select("sec", "month", finite(F.col("x")).alias("exposure")).where("exposure is not null")
-    return winsor_z(rows, "exposure", ["month"]).select("sec", "month", F.lit(name).alias("factor"), "exposure")
+    return standardised({name: raw})
+
+
+def standardised(raw: dict[str, DataFrame]) -> DataFrame:
+    """The same for several factors at once, settled before their quantiles are taken."""
+    rows = settled(union_all([_finite(df, name) for name, df in raw.items()]), "raw")
+    return winsor_z(rows, "exposure", ["factor", "month"]).select("sec", "month", "factor", "exposure")
 
 
 def size(returns: DataFrame) -> DataFrame:
@@ -141,11 +161,10 @@ def combined(styles: DataFrame, returns: DataFrame, security: DataFrame) -> Data
 def impute(exposures: DataFrame, returns: DataFrame, security: DataFrame) -> DataFrame:
     """Fills every (security, factor) of a month: industry median, else the month's median, else zero; flags what it filled."""
     grid = returns.select("sec", "month").distinct().join(exposures.select("month", "factor").distinct(), "month").join(security.select("sec", "industry"), "sec", "left")
-    full = grid.join(exposures, ["sec", "month", "factor"], "left")
-    by_industry = full.groupBy("month", "factor", "industry").agg(F.median("exposure").alias("mi"))
-    overall = full.groupBy("month", "factor").agg(F.median("exposure").alias("mg"))
-    full = full.join(by_industry, (full["month"] == by_industry["month"]) & (full["factor"] == by_industry["factor"]) & full["industry"].eqNullSafe(by_industry["industry"]), "left").drop(by_industry["month"], by_industry["factor"], by_industry["industry"])
-    full = full.join(overall, ["month", "factor"])
+    full = settled(grid.join(exposures, ["sec", "month", "factor"], "left"), "grid")
+    middle = lambda by, name: exact_quantiles(full, by, "exposure", [0.5]).select(*by, F.col("q")[0].alias(name))
+    full = meet(full, middle(["month", "factor", "industry"], "mi"), ["month", "factor", "industry"], "left")
+    full = full.join(middle(["month", "factor"], "mg"), ["month", "factor"], "left")
     value = F.coalesce("exposure", "mi", "mg", F.lit(0.0))
     flag = F.when(F.col("exposure").isNotNull(), F.lit(None)).when(F.coalesce("mi", F.lit(0.0)) != 0, "imputed=industry").otherwise("imputed=global")
     return full.select("sec", "month", "factor", value.alias("exposure"), flag.alias("flags"))
@@ -174,4 +193,4 @@ def style_exposures(returns: DataFrame, market: DataFrame, panel: DataFrame, fx:
         "book_to_price": book_to_price(panel), "growth": growth(panel), "earnings_variability": earnings_variability(panel),
         "leverage": leverage(panel), "dividend_yield": dividend_yield(panel), "currency_sensitivity": currency_sensitivity(returns, fx),
     }
-    return union_all([standardise(df, name) for name, df in raw.items()])
+    return standardised(raw)

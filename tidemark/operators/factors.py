@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import band
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.runtime import settled
 
 SORTS = {"bm": "HML", "op": "RMW", "inv": "CMA"}
 
@@ -38,9 +40,12 @@ def annual_fundamentals(quarters: DataFrame) -> DataFrame:
 
 def breakpoints(panel: DataFrame, exchange: str, least: int = 10) -> DataFrame:
     """Median size and 30/70 % points of each sort, from one exchange's names only."""
-    names = panel.where(F.col("exchange") == exchange).groupBy("fy", "sec").agg(*(F.min_by(c, "month").alias(c) for c in ("me", *SORTS)))
-    q = lambda c: F.percentile(F.when(F.col(c) > 0, F.col(c)) if c == "bm" else F.col(c), F.array(F.lit(0.3), F.lit(0.7)))
-    out = names.groupBy("fy").agg(F.count("*").alias("n"), F.median("me").alias("size"), *(q(c).alias(c) for c in SORTS))
+    names = settled(panel.where(F.col("exchange") == exchange).groupBy("fy", "sec").agg(*(F.min_by(c, "month").alias(c) for c in ("me", *SORTS))), "names")
+    out = names.groupBy("fy").agg(F.count("*").alias("n"))
+    for c, ps in (("me", [0.5]), *((c, [0.3, 0.7]) for c in SORTS)):
+        own = names.where("bm > 0") if c == "bm" else names
+        out = out.join(exact_quantiles(own, ["fy"], c, ps).withColumnRenamed("q", f"_{c}"), "fy", "left")
+    out = out.select("fy", "n", F.col("_me")[0].alias("size"), *(F.col(f"_{c}").alias(c) for c in SORTS))
     return out.where(F.col("n") >= least).select("fy", "size", *(F.col(c)[i].alias(f"{c}_{p}") for c in SORTS for i, p in ((0, "low"), (1, "high"))))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import union_all, winsor_z
+from tidemark.functions import union_all
 from tidemark.operators import backtest, covariance, exposures, factors, fundamentals, prices, quality, regress, risk
 from tidemark.plans.registry import Registry
 from tidemark.plans.standins import Tables
@@ -43,7 +43,7 @@ def _style(t: Tables) -> DataFrame:
     def make():
         r = _returns(t)
         parts = {"size": exposures.size(r), "momentum": exposures.momentum(r), "book_to_price": exposures.book_to_price(_panel(t))}
-        return union_all([exposures.standardise(x, n) for n, x in parts.items()])
+        return exposures.standardised(parts)
 
     return t.keep("style", make)
 
@@ -147,7 +147,7 @@ def h8_beta(t):
 def e11_winsor_zscore(t):
     r = _returns(t)
     rows = exposures.beta(r, prices.market_returns(r)).withColumnRenamed("x", "exposure").where("exposure is not null")
-    return winsor_z(rows, "exposure", ["month"])
+    return exposures.winsor_z(rows, "exposure", ["month"])
 
 
 @add("""SELECT sec, month, exp(s + l) - 1 AS x FROM (SELECT sec, month, count(*) OVER w AS n, sum(ln(1 + ret)) OVER w AS s, sum(ln(1 + ret)) OVER v AS l FROM returns WHERE ret IS NOT NULL
