@@ -39,15 +39,6 @@ def _panel(t: Tables) -> DataFrame:
     return t.keep("panel", lambda: exposures.as_of(_returns(t), exposures.with_history(t.quarters())))
 
 
-def _style(t: Tables) -> DataFrame:
-    def make():
-        r = _returns(t)
-        parts = {"size": exposures.size(r), "momentum": exposures.momentum(r), "book_to_price": exposures.book_to_price(_panel(t))}
-        return exposures.standardised(parts)
-
-    return t.keep("style", make)
-
-
 def _ten_styles(t: Tables) -> DataFrame:
     r = _returns(t)
     return t.keep("ten_styles", lambda: exposures.style_exposures(r, prices.market_returns(r), _panel(t), _fx(t)))
@@ -213,11 +204,16 @@ def h18_country_exposure(t):
     return exposures.country(_returns(t))
 
 
-_STYLE = _HISTORY.strip() + f""",
+_SLOPE = "(sxy - sx * sy / n) / (syy - sy * sy / n)"
+_SOURCES = {
+    "size": ("ln(cap)", "returns", "cap > 0"), "beta": (_SLOPE, "b", "n >= 36"), "momentum": ("x", "mom", "true"), "earnings_yield": ("income_ttm / cap", "panel", "cap > 0"),
+    "book_to_price": ("ln(book / cap)", "panel", "cap > 0 AND book > 0"), "growth": ("sales_ttm / sales_before - 1", "panel", "sales_before <> 0"), "earnings_variability": ("-income_sd", "panel", "true"),
+    "leverage": ("debt / assets", "panel", "assets > 0"), "dividend_yield": ("dividends / cap", "panel", "cap > 0 AND dividends >= 0"), "currency_sensitivity": (_SLOPE, "f", "n >= 24"),
+}
+_STYLE = _HISTORY.strip() + "," + _BETA.strip() + "," + _FX.strip() + f""",
 mom AS (SELECT sec, month, exp(s + l) - 1 AS x FROM (SELECT sec, month, count(*) OVER w AS n, sum(ln(1 + ret)) OVER w AS s, sum(ln(1 + ret)) OVER v AS l FROM returns WHERE ret IS NOT NULL
   WINDOW w AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 13 PRECEDING AND 2 PRECEDING), v AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)) WHERE n >= 11 AND l IS NOT NULL),
-style AS (SELECT 'size' AS factor, * FROM ({_z("ln(cap)", "returns", "cap > 0")}) UNION ALL SELECT 'momentum', * FROM ({_z("x", "mom")})
-          UNION ALL SELECT 'book_to_price', * FROM ({_z("ln(book / cap)", "panel", "cap > 0 AND book > 0")})),
+style AS ({" UNION ALL ".join(f"SELECT '{name}' AS factor, * FROM ({_z(*source)})" for name, source in _SOURCES.items())}),
 grid AS (SELECT * FROM (SELECT DISTINCT sec, month FROM returns) JOIN (SELECT DISTINCT month, factor FROM style) USING (month) JOIN security USING (sec)),
 g AS (SELECT g.sec, g.month, g.factor, g.industry, s.exposure FROM grid g LEFT JOIN style s ON g.sec = s.sec AND g.month = s.month AND g.factor = s.factor),
 imp AS (SELECT g.sec, g.month, g.factor, coalesce(g.exposure, i.m, o.m, 0) AS exposure,
@@ -228,30 +224,33 @@ imp AS (SELECT g.sec, g.month, g.factor, coalesce(g.exposure, i.m, o.m, 0) AS ex
 
 @add("SELECT sec, month, factor, exposure, flags FROM imp", "exposure", _STYLE)
 def h19_imputation(t):
-    return exposures.impute(_style(t), _returns(t), t.security())
+    return exposures.impute(_ten_styles(t), _returns(t), t.security())
 
 
 @add("SELECT factor, count(*) AS total, count(flags) AS imputed, count(flags) / count(*) AS share, count(flags) / count(*) > 0.3 AS warn FROM imp GROUP BY factor", "share", _STYLE)
 def h21_style_coverage(t):
-    return exposures.coverage(exposures.impute(_style(t), _returns(t), t.security()))
+    return exposures.coverage(exposures.impute(_ten_styles(t), _returns(t), t.security()))
 
 
-@add()
+@add("SELECT sec, month, factor, exposure FROM style", "exposure", _STYLE, places=4)
 def h20_style_exposures(t):
-    """All ten factors, each stated in SQL by its own query (h7 to h16)."""
+    """All ten factors, clipped and standardised by month."""
     return _ten_styles(t)
 
 
-@add("""SELECT factor, count(*) AS n FROM (SELECT sec, month, 'sector:' || sector AS factor FROM returns JOIN security USING (sec) UNION ALL SELECT sec, month, 'industry:' || industry FROM returns JOIN security USING (sec)
-  UNION ALL SELECT sec, month, 'sub_industry:' || sub_industry FROM returns JOIN security USING (sec) UNION ALL SELECT sec, month, 'country:US' FROM returns
-  UNION ALL SELECT sec, month, unnest(['size', 'beta', 'momentum', 'earnings_yield', 'book_to_price', 'growth', 'earnings_variability', 'leverage', 'dividend_yield', 'currency_sensitivity']) FROM returns WHERE false) GROUP BY factor""")
+_MODEL = _STYLE.strip() + """,
+mdl AS (SELECT sec, month, factor, exposure FROM imp UNION ALL SELECT sec, month, 'sector:' || sector, 1.0::DOUBLE FROM returns JOIN security USING (sec) UNION ALL SELECT sec, month, 'industry:' || industry, 1.0::DOUBLE FROM returns JOIN security USING (sec)
+  UNION ALL SELECT sec, month, 'sub_industry:' || sub_industry, 1.0::DOUBLE FROM returns JOIN security USING (sec) UNION ALL SELECT sec, month, 'country:US', 1.0::DOUBLE FROM returns)
+"""
+
+
+@add("SELECT sec, month, factor, exposure FROM mdl", "exposure", _MODEL, places=4)
 def h57_combined_labels(t):
-    """Rows of every industry and country factor of the combined exposures."""
-    styles = [r.factor for r in _ten_styles(t).select("factor").distinct().collect()]
-    return _model(t).where(~F.col("factor").isin(styles)).groupBy("factor").agg(F.count("*").alias("n"))
+    """Every exposure of the combined model: imputed styles, industries of three levels, country."""
+    return _model(t).select("sec", "month", "factor", "exposure")
 
 
-@add()
+@add("SELECT sec, month, sum(w * x) AS x FROM (" + " UNION ALL ".join(f"SELECT sec, month, {w}::DOUBLE AS w, exp(sum(ln(1 + ret)) OVER q) - 1 AS x, count(*) OVER q AS n, {max(1, m - 1)} AS least FROM returns WHERE ret IS NOT NULL WINDOW q AS (PARTITION BY sec ORDER BY mi RANGE BETWEEN {m} PRECEDING AND 1 PRECEDING)" for m, w in ((1, .05), (3, .15), (6, .3), (12, .5))) + ") WHERE n >= least GROUP BY ALL HAVING count(*) = 4", "x")
 def k1_blended_momentum(t):
     return exposures.blended_momentum(_returns(t))
 
@@ -261,13 +260,13 @@ def k1_blended_momentum(t):
   JOIN (SELECT s.month, s.factor, regr_slope(s.exposure, b.exposure) AS k, regr_intercept(s.exposure, b.exposure) AS i FROM style s JOIN style b ON s.sec = b.sec AND s.month = b.month AND b.factor = 'size' AND s.factor <> 'size' GROUP BY ALL) f
   ON s.month = f.month AND s.factor = f.factor) WINDOW p AS (PARTITION BY month, factor)""", "exposure", _STYLE, places=4)
 def k3_orthogonalised(t):
-    return exposures.orthogonalise(_style(t))
+    return exposures.orthogonalise(_ten_styles(t))
 
 
 @add("""SELECT month, a.factor AS fi, b.factor AS fj, sum(w.w * a.exposure * b.exposure) AS value FROM style a JOIN style b USING (sec, month) JOIN
   (SELECT sec, month, cap / sum(cap) OVER (PARTITION BY month) AS w FROM returns WHERE ret IS NOT NULL AND cap > 0) w USING (sec, month) WHERE a.factor <= b.factor AND a.exposure <> 0 AND b.exposure <> 0 GROUP BY ALL""", "value", _STYLE)
 def c15_gram_matrix(t):
-    return regress.gram(_style(t), regress.with_weights(_returns(t))).where("fj is not null").select("month", "fi", "fj", "value")
+    return regress.gram(_ten_styles(t), regress.with_weights(_returns(t))).where("fj is not null").select("month", "fi", "fj", "value")
 
 
 @add()
@@ -347,12 +346,12 @@ x AS (SELECT month, factor, sum(weight * exposure) AS x FROM top JOIN style USIN
 
 @add("SELECT month, factor, x FROM x", "x", _PORTFOLIO)
 def h26_portfolio_exposure(t):
-    return risk.factor_exposure(risk.cap_weights(_returns(t), 100), _style(t))
+    return risk.factor_exposure(risk.cap_weights(_returns(t), 100), _ten_styles(t))
 
 
 @add("SELECT month, factor, x, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY month ORDER BY abs(x) DESC, factor) AS INTEGER) AS rank FROM x) WHERE rank <= 2", "x", _PORTFOLIO)
 def h29_top_exposures(t):
-    return risk.top_exposures(risk.cap_weights(_returns(t), 100), _style(t), 2)
+    return risk.top_exposures(risk.cap_weights(_returns(t), 100), _ten_styles(t), 2)
 
 
 def _model_covariance(t: Tables) -> DataFrame:
@@ -474,7 +473,7 @@ def h33_factor_ols(t):
          rank() OVER (PARTITION BY month, factor ORDER BY ret) + (count(*) OVER (PARTITION BY month, factor, ret) - 1) / 2.0 AS rr
   FROM style JOIN (SELECT sec, last_day(month - INTERVAL 1 MONTH) AS month, ret FROM returns WHERE ret IS NOT NULL) USING (sec, month)) GROUP BY month, factor""", "ic", _STYLE, places=4)
 def k5_information_coefficient(t):
-    return regress.information_coefficient(_style(t), _returns(t))
+    return regress.information_coefficient(_ten_styles(t), _returns(t))
 
 
 @add("SELECT sec, fy, fq, sales AS quarter, CASE WHEN count(*) OVER w = 4 THEN sum(sales) OVER w END AS ttm FROM quarters WINDOW w AS (PARTITION BY sec ORDER BY fy, fq ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)", "quarter ttm", places=2)
