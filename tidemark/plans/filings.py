@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import sources
 from tidemark.functions import fiscal_quarter, fiscal_year, number_from_text
 from tidemark.operators import filings, fundamentals, items, prices, quality
 from tidemark.plans.registry import Registry
+from tidemark.plans.standins import Tables
+from tidemark.runtime import shared_folder
 
 registry = Registry()
 add = registry.add
@@ -223,19 +228,82 @@ def q10_top_summary(t):
     return rows.orderBy(F.desc("n"), "key").limit(100)
 
 
-@add("SELECT ltrim(CAST(o_custkey AS VARCHAR), '0') AS cik, 'Customer ' || o_custkey AS company, CASE WHEN o_orderkey % 2 = 0 THEN '10-Q' ELSE '10-K' END AS form, CAST(o_orderdate AS DATE) AS filed, 'filings/data/' || o_orderkey || '.txt' AS path, '' AS accession FROM orders WHERE o_orderkey % 2 = 0")
-def a4_index_lines(t):
+_INDEX = """
+ix AS (SELECT ltrim(CAST(o_custkey AS VARCHAR), '0') AS cik, CAST(o_custkey AS VARCHAR) AS k, 'Customer ' || o_custkey AS company, CASE WHEN o_orderkey % 2 = 0 THEN '10-Q' ELSE '10-K' END AS form, CAST(o_orderdate AS DATE) AS filed,
+       lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || strftime(CAST(o_orderdate AS DATE), '%y') || '-' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS accession FROM orders)
+"""
+
+
+def _index_lines(t: Tables) -> DataFrame:
+    """Lines of an index file: three kinds of heading, two forms of date."""
     d = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     form = F.when(F.col("o_orderkey") % 2 == 0, "10-Q").otherwise("10-K")
-    lines = t.read("orders").select(F.concat_ws("|", F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.concat(F.lit("Customer "), "o_custkey"), form, d, F.concat(F.lit("filings/data/"), "o_orderkey", F.lit(".txt"))).alias("value"))
-    return sources.index_lines(lines, ["10-Q"])
+    number = F.concat_ws("-", F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.date_format("o_orderdate", "yy"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))
+    rows = t.read("orders").select(F.concat_ws("|", F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.concat(F.lit("Customer "), "o_custkey"), form, d, F.concat(F.lit("data/"), "o_custkey", F.lit("/"), number, F.lit(".txt"))).alias("value"))
+    heads = t.spark.createDataFrame([("Master Index",), ("CIK|Company Name|Form Type|Date Filed|Filename",), ("-" * 40,)], "value string")
+    return heads.union(rows)
+
+
+@add("SELECT cik, company, form, filed, 'data/' || k || '/' || accession || '.txt' AS path, accession FROM ix WHERE form = '10-Q'", "", _INDEX)
+def a4_index_lines(t):
+    return sources.index_lines(_index_lines(t), ["10-Q"])
+
+
+@add("""SELECT cik, company, form, filed, 'data/' || k || '/' || accession || '.txt' AS path, accession, 'filings/' || year(filed) || '/Q' || quarter(filed) || '/' || cik || '/' || form || '_' || accession || '.txt' AS local
+  FROM ix WHERE filed BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND cik IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING')""", "", _INDEX)
+def a17_filing_manifest(t):
+    targets = t.read("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("cik"))
+    return sources.manifest(sources.index_lines(_index_lines(t), None, "1996-01-01", "1997-12-31"), targets, "filings")
 
 
-@add("SELECT month, f1, CASE WHEN month(month) = 3 THEN NULL ELSE f2 END AS f2 FROM (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, round(avg(o_totalprice) / 1e5, 4) / 100 AS f1, round(max(o_totalprice) / 1e5, 4) / 100 AS f2 FROM orders GROUP BY ALL)", "f1 f2")
+@add("""SELECT file, month, f1, CASE WHEN month(month) = 3 THEN NULL ELSE f2 END AS f2 FROM (SELECT o_orderpriority AS file, last_day(CAST(o_orderdate AS DATE)) AS month, round(avg(o_totalprice) / 1e5, 4) / 100 AS f1, round(max(o_totalprice) / 1e5, 4) / 100 AS f2 FROM orders GROUP BY ALL)""", "f1 f2")
 def a5_factor_section(t):
-    m = t.read("orders").groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.round(F.avg("o_totalprice") / 1e5, 4).alias("a"), F.round(F.max("o_totalprice") / 1e5, 4).alias("b"))
-    lines = m.select(F.concat_ws(",", F.date_format("m", "yyyyMM"), F.col("a").cast("string"), F.when(F.month("m") == 3, "-99.99").otherwise(F.col("b").cast("string"))).alias("value"))
-    return sources.factor_section(lines, ["f1", "f2"])
+    """Files with a heading, the monthly rows, annual rows and another section of monthly rows, of which only the first is wanted."""
+    m = t.read("orders").groupBy(F.col("o_orderpriority").alias("file"), F.date_trunc("month", "o_orderdate").alias("m")).agg(F.round(F.avg("o_totalprice") / 1e5, 4).alias("a"), F.round(F.max("o_totalprice") / 1e5, 4).alias("b"))
+    line = F.concat_ws(", ", F.date_format("m", "yyyyMM"), F.col("a").cast("string"), F.when(F.month("m") == 3, "-99.99").otherwise(F.col("b").cast("string")))
+    body = F.array_join(F.sort_array(F.collect_list(line)), "\n")
+    text = F.concat(F.lit("Made of orders\n\n,f1,f2\n"), body, F.lit("\n\nAnnual\n,f1,f2\n1996, 1.0, 2.0\n\nEqual weighted\n,f1,f2\n"), body)
+    return sources.factor_section(m.groupBy("file").agg(text.alias("value")), ["f1", "f2"])
+
+
+def _folder(t: Tables, name: str) -> str:
+    return f"{shared_folder(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@add("SELECT CAST(c_custkey AS VARCHAR) AS key, upper(c_name) AS ticker FROM customer")
+def a3_mapping_csv(t):
+    """Written with headings of another spelling, and read back."""
+    path = _folder(t, "mapping")
+    t.read("customer").select(F.col("c_custkey").alias("gkey"), F.col("c_name").alias("Symbol"), "c_acctbal").write.option("header", True).csv(path)
+    return sources.mapping_csv(t.spark, path)
+
+
+@add("SELECT sec, month, CASE WHEN year(month) = 1997 THEN price * 2 ELSE price END AS price FROM monthly", "price")
+def a8_rewritten_dates(t):
+    """A panel by month whose months of 1997 are written again, with other prices; all others stay."""
+    path, rows = _folder(t, "panel"), prices.monthly_prices(t.daily()).select("sec", "month", "price")
+    sources.write_dates(rows, path)
+    sources.write_dates(rows.where("year(month) = 1997").withColumn("price", F.col("price") * 2), path)
+    return t.spark.read.parquet(path).select("sec", "month", "price")
+
+
+@add("SELECT sec, price FROM monthly WHERE month = (SELECT max(month) FROM monthly WHERE month < (SELECT max(month) FROM monthly))", "price")
+def a10_latest_release(t):
+    """Two releases, the earlier one twice, and a later one that broke off before its manifest: the latest whole one is read."""
+    root = _folder(t, "release")
+    rows = t.keep("monthly", lambda: prices.monthly_prices(t.daily()).select("sec", "month", "price"))
+    earlier, before, last = sorted(r.month for r in rows.select("month").distinct().orderBy(F.desc("month")).limit(3).collect())
+    for month in (earlier, before, before):
+        own = rows.where(F.col("month") == F.lit(month))
+        sources.release(t.spark, {"prices": own.select("sec", "price"), "market": own.agg(F.avg("price").alias("mean"))}, root, str(month))
+    sources.export(rows.where(F.col("month") == F.lit(last)), f"{root}/{last}", "prices", ("parquet",))
+    return sources.read_release(t.spark, root, "prices")
+
+
+@add("SELECT CAST(year(q) AS INTEGER) AS year, CAST(quarter(q) AS INTEGER) AS quarter FROM (SELECT CAST(unnest(generate_series(date_trunc('quarter', min(d)), max(d), INTERVAL 3 MONTH)) AS DATE) AS q FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders))")
+def a19_quarters(t):
+    first, last = t.read("orders").select(F.min(F.col("o_orderdate").cast("date")), F.max(F.col("o_orderdate").cast("date"))).first()
+    return sources.quarters_between(t.spark, str(first), str(last))
 
 
 @add("SELECT max(month) AS month FROM (SELECT month FROM monthly INTERSECT SELECT last_day(CAST(o_orderdate AS DATE)) FROM orders)")

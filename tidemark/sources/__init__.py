@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import parse_date
+from tidemark.functions import parse_date, union_all
 
 
 def as_of(spark: SparkSession, path: str, date, column: str = "month") -> DataFrame:
@@ -20,6 +20,35 @@ def write_dates(df: DataFrame, path: str, column: str = "month") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
+def append_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Appends the rows of one batch; a batch that is written again takes the place of what it wrote before."""
+    write_dates(df.withColumn("batch", F.lit(batch)), path, "batch")
+
+
+def write_table(df: DataFrame, path: str, mode: str = "replace") -> None:
+    """``replace`` a table, or ``append`` to it (a run that may repeat itself uses ``append_batch``)."""
+    df.write.mode({"replace": "overwrite", "append": "append"}[mode]).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def table_info(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """``(table, present, rows, place, column, type)``: a row for each column of each Parquet table, one for a table that is not there."""
+    parts = []
+    for name, path in paths.items():
+        if not exists(spark, path):
+            parts.append(spark.range(1).select(F.lit(name).alias("table"), F.lit(False).alias("present"), F.lit(0).cast("long").alias("rows"), *(F.lit(None).cast(k).alias(c) for c, k in (("place", "int"), ("column", "string"), ("type", "string")))))
+            continue
+        df = spark.read.parquet(path)
+        fields = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(k).alias("type")) for c, k in df.dtypes))
+        rows = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), F.lit(True).alias("present"), "rows", F.posexplode(fields))
+        parts.append(rows.select("table", "present", "rows", F.col("pos").alias("place"), "col.column", "col.type"))
+    return union_all(parts)
+
+
 def mapping_csv(spark: SparkSession, path: str) -> DataFrame:
     """``(key, ticker)`` from a CSV file whose header may name the columns GVKEY or GKEY, TICKER or SYMBOL."""
     df = spark.read.csv(path, header=True)
@@ -39,18 +68,37 @@ def index_lines(lines: DataFrame, forms: list[str] | None = None, start=None, en
     return rows.withColumn("accession", F.regexp_extract("path", r"(\d{10}-\d{2}-\d{6})", 1))
 
 
-def factor_section(lines: DataFrame, names: list[str]) -> DataFrame:
-    """Monthly rows of a sectioned CSV given as ``lines(value)``: YYYYMM and numbers; -99.99 and -999 are missing; percent."""
+#: Codes of a missing number in the sectioned files.
+MISSING = (-99.99, -999.0)
+
+
+def factor_section(texts: DataFrame, names: list[str]) -> DataFrame:
+    """The monthly section of sectioned CSV files ``texts(file, value)``, each a whole text: (file, month, *names).
+
+    The section begins with the first line of YYYYMM and numbers and ends before the next line that is none, so annual rows
+    and later sections stay out.  Percent become fractions; ``MISSING`` codes and what is no number are null.
+    """
+    rows = texts.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
+    rows = rows.withColumn("monthly", F.col("value").rlike(r"^\s*\d{6}\s*,"))
+    own = Window.partitionBy("file")
+    rows = rows.withColumn("first", F.min(F.when(F.col("monthly"), F.col("at"))).over(own))
+    rows = rows.withColumn("end", F.min(F.when(~F.col("monthly") & (F.col("at") > F.col("first")), F.col("at"))).over(own))
+    rows = rows.where(F.col("monthly") & (F.col("end").isNull() | (F.col("at") < F.col("end"))))
     p = F.split("value", ",")
-    rows = lines.where(F.col("value").rlike(r"^\s*\d{6}\s*,"))
-    x = lambda i: F.trim(p[i]).try_cast("double")
-    value = lambda i: F.when(~x(i).isin(-99.99, -999.0), x(i) / 100)
-    return rows.select(F.last_day(F.to_date(F.trim(p[0]), "yyyyMM")).alias("month"), *(value(i + 1).alias(n) for i, n in enumerate(names)))
+    x = lambda i: F.trim(F.get(p, F.lit(i))).try_cast("double")
+    value = lambda i: F.when(~x(i).isin(*MISSING), x(i) / 100)
+    return rows.select("file", F.last_day(F.to_date(F.trim(p[0]), "yyyyMM")).alias("month"), *(value(i + 1).alias(n) for i, n in enumerate(names)))
+
+
+def factor_files(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """``factor_section`` of every file of a folder."""
+    rows = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    return factor_section(rows, names)
 
 
 def filings(spark: SparkSession, folder: str) -> DataFrame:
     """``(id, form, content)`` of files named FORM_accession.txt anywhere below a folder."""
-    rows = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(folder)
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return rows.select(F.regexp_extract(name, r"_(.+)\.txt$", 1).alias("id"), F.regexp_extract(name, r"^([^_]+)_", 1).alias("form"), F.col("value").alias("content"))
 
@@ -81,23 +129,45 @@ def latest_release(*tables: DataFrame, column: str = "month") -> DataFrame:
 
 def table_summary(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and columns of each table."""
-    from tidemark.functions import union_all
-
     return union_all([df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows", F.lit(len(df.columns)).alias("columns")) for n, df in tables.items()])
 
 
 def export(df: DataFrame, folder: str, name: str, formats=("csv", "parquet")) -> None:
+    """Writes a table as CSV with a header, JSON lines or Parquet."""
     for f in formats:
         writer = df.write.mode("overwrite")
         writer.option("header", True).csv(f"{folder}/{name}.csv") if f == "csv" else writer.format(f).save(f"{folder}/{name}.{f}")
 
 
-def release(spark: SparkSession, tables: dict[str, DataFrame], root: str, date: str) -> None:
-    """Tables of one date in a dated folder with a manifest; the newest folder is the current release."""
+def release(spark: SparkSession, tables: dict[str, DataFrame], root: str, date: str, formats=("csv",)) -> None:
+    """Writes the tables of one date and, last of all, their manifest.
+
+    Each table is worked out once, into Parquet, and copied from there into the other formats.  A run that breaks off leaves no
+    manifest, so the release before it stays the latest; a run that is repeated takes the place of its date.
+    """
+    found = []
     for name, df in tables.items():
-        export(df, f"{root}/{date}", name)
-    counts = {name: df.count() for name, df in tables.items()}
-    spark.createDataFrame([(date, json.dumps(counts))], "date string, rows string").write.mode("overwrite").json(f"{root}/{date}/manifest")
+        export(df, f"{root}/{date}", name, ("parquet",))
+        kept = spark.read.parquet(f"{root}/{date}/{name}.parquet")
+        export(kept, f"{root}/{date}", name, formats)
+        found.append((date, name, kept.count(), json.dumps(kept.dtypes)))
+    manifest = spark.createDataFrame(found, "date string, table string, rows long, columns string").coalesce(1)
+    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").json(f"{root}/manifest")
+
+
+def manifests(spark: SparkSession, root: str) -> DataFrame:
+    """``(date, table, rows, columns)`` of every whole release."""
+    return spark.read.schema("table string, rows long, columns string, date string").json(f"{root}/manifest")
+
+
+def read_release(spark: SparkSession, root: str, table: str, date: str | None = None) -> DataFrame:
+    """A table of the latest whole release, or of that of one date, as the manifest has it."""
+    known = manifests(spark, root).where(F.col("table") == table)
+    known = known.where(F.col("date") == date) if date else known
+    latest = known.agg(F.max("date")).first()[0]
+    if latest is None:
+        raise ValueError(f"no release of {table}" + (f" for {date}" if date else ""))
+    return spark.read.parquet(f"{root}/{latest}/{table}.parquet")
 
 
 def universe(prices: DataFrame, column: str, forced: list[str]) -> DataFrame:
