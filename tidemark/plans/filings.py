@@ -105,12 +105,40 @@ def j10_tag_mapping(t):
     return items.map_tags(t.facts().withColumnRenamed("item", "tag"), _mapping(t)).select("company", "fy", "fq", "item", "value")
 
 
-@add()
+@add("""SELECT tag, coalesce(item, kw) AS item, CASE WHEN item IS NOT NULL THEN 'similar' ELSE 'keywords' END AS how FROM (SELECT tg.tag, kw, (SELECT arg_min(m.item, (m.n, m.item)) FROM mp m WHERE (contains(tg.a, m.b) OR contains(m.b, tg.a))
+    AND len(list_intersect(list_distinct(string_split(tg.a, '')), list_distinct(string_split(m.b, '')))) / len(list_distinct(list_concat(string_split(tg.a, ''), string_split(m.b, '')))) > 0.7) AS item FROM tg) WHERE coalesce(item, kw) IS NOT NULL""", "", """
+nm AS (SELECT DISTINCT p_name || CASE p_size % 3 WHEN 0 THEN ' Operating Expense' WHEN 1 THEN ' Total' ELSE 'Dividend-Paid' END AS tag FROM part UNION SELECT substr(p_type, 1, 3) FROM part UNION SELECT upper(p_brand) || ':' || p_type FROM part UNION SELECT '--' FROM part),
+tg AS (SELECT tag, a, CASE WHEN contains(a, 'operating') AND contains(a, 'expense') THEN 'xopr' WHEN contains(a, 'dividend') AND contains(a, 'paid') THEN 'dvp' END AS kw FROM (SELECT tag, regexp_replace(lower(regexp_replace(tag, '^[^:]*:', '')), '[^a-z0-9]', '', 'g') AS a FROM nm) WHERE a <> ''),
+mp AS (SELECT regexp_replace(lower(tag), '[^a-z0-9]', '', 'g') AS b, item, n FROM (SELECT p_type AS tag, arg_min(p_brand, p_partkey) AS item, min(p_partkey) AS n FROM part GROUP BY p_type UNION ALL SELECT p_name, arg_min(p_brand, p_partkey), 1000000 + min(p_partkey) FROM part GROUP BY p_name))
+""")
 def j11_fuzzy_tags(t):
-    """Distinct part types against brand-like dictionary entries made from the part names."""
+    """Tags made of part names, types and brands against a dictionary of types and names."""
     p = t.read("part")
-    mapping = p.select(F.col("p_type").alias("tag"), F.col("p_brand").alias("item"), F.col("p_partkey").cast("int").alias("n")).groupBy("tag").agg(F.min_by("item", "n").alias("item"), F.min("n").alias("n"))
-    return items.fuzzy(p.select(F.concat("p_type", F.lit("Total")).alias("tag")).distinct(), mapping)
+    end = F.when(F.col("p_size") % 3 == 0, " Operating Expense").when(F.col("p_size") % 3 == 1, " Total").otherwise("Dividend-Paid")
+    tags = p.select(F.concat("p_name", end).alias("tag")).union(p.select(F.substring("p_type", 1, 3))).union(p.select(F.concat(F.upper("p_brand"), F.lit(":"), "p_type"))).union(p.select(F.lit("--"))).distinct()
+    entries = lambda c, more: p.groupBy(F.col(c).alias("tag")).agg(F.min_by("p_brand", "p_partkey").alias("item"), (F.min("p_partkey") + more).alias("n"))
+    return items.fuzzy(tags, entries("p_type", 0).union(entries("p_name", 1_000_000)))
+
+
+#: Items of a company and quarter with gaps: each is there in some of the quarters only.
+_GAPPED = {
+    "sale": "sales", "revt": "CASE WHEN fq = 2 THEN sales * 1.1 END", "cogs": "CASE WHEN fq <> 4 THEN sales * 0.6 END", "dp": "CASE WHEN fq <> 3 THEN dividends END", "oiadp": "CASE WHEN fq < 3 THEN income END", "sellmkt": "CASE WHEN fq = 1 THEN debt END",
+    "genadm": "CASE WHEN fq < 3 THEN debt * 2 END", "xrd": "CASE WHEN fq = 2 THEN debt * 3 END", "xsga": "CASE WHEN fq = 4 THEN debt END", "act": "assets", "lct": "CASE WHEN fq <> 1 THEN debt END", "dlc": "debt", "dltt": "CASE WHEN fq > 1 THEN book * 0.1 END",
+    "ceq": "CASE WHEN fq <> 2 THEN book END", "at": "CASE WHEN fq <> 3 THEN assets END", "lt": "CASE WHEN fq = 3 THEN debt END", "cshpr": "1000.0 * (fq - 1)", "ni": "income", "ib": "CASE WHEN fq = 4 THEN income * 2 END", "cash": "CASE WHEN fq <> 4 THEN dividends END",
+    "sti": "CASE WHEN fq = 2 THEN debt END", "che": "CASE WHEN fq > 2 THEN debt END", "lo": "CASE WHEN fq = 1 THEN debt END", "epspi": "income / 1000",
+}
+
+
+@add("""SELECT sec, fy, fq, coalesce(oiadp + dp, sale - cogs - xs) AS oibdp, coalesce(revt - cogs, sale - cogs) AS gp, act - lct AS wcap, coalesce(ceq + dltt, a2 - lct + dltt) AS icapt, dlc + dltt AS dcom, a2 AS total_assets, coalesce(lt, ta - ceq) AS lt, CASE WHEN cshpr > 0 THEN sale / cshpr END AS spi,
+  CASE WHEN cshpr > 0 THEN oiadp / cshpr END AS opeps, CASE WHEN cshpr > 0 THEN oiadp / cshpr END * 4 AS oeps12, xs AS xsga, CASE WHEN coalesce(xs, xrd) IS NOT NULL THEN coalesce(xs, 0) + coalesce(xrd, 0) END AS xoptdp, coalesce(ib, ni) * 4 AS ibadj12, ceq AS teq, greatest(che, CASE WHEN coalesce(cash, 0) > 0 OR coalesce(sti, 0) > 0 THEN coalesce(cash, 0) + coalesce(sti, 0) END) AS che,
+  lo * 0.5 AS xacc, dp * 0.8 AS drc, epspi * 4 AS epsf12, cshpr * 4 AS csh12, cogs - coalesce(dp, 0) AS net_cost FROM (SELECT *, coalesce(xsga, CASE WHEN coalesce(sellmkt, genadm, xrd) IS NOT NULL THEN coalesce(sellmkt, 0) + coalesce(genadm, 0) + coalesce(xrd, 0) END) AS xs, coalesce(ta, lt + ceq) AS a2 FROM gp0)""",
+     "oibdp gp wcap icapt dcom total_assets lt spi opeps oeps12 xsga xoptdp ibadj12 teq che xacc drc epsf12 csh12 net_cost", "gp0 AS (SELECT sec, fy, fq, " + ", ".join(f"{x} AS {'ta' if c == 'at' else c}" for c, x in _GAPPED.items()) + " FROM quarters)", places=3)
+def j13_rule_graph(t):
+    """One result of every family of rules, over quarters with gaps."""
+    wide = t.quarters().select("sec", "fy", "fq", *(F.expr(x).cast("double").alias(c) for c, x in _GAPPED.items()))
+    net = items.cost_less_depreciation(wide).select("sec", "fy", "fq", F.col("cogs").alias("net_cost"))
+    wanted = "oibdp gp wcap icapt dcom at lt spi opeps oeps12 xsga xoptdp ibadj12 teq che xacc drc epsf12 csh12".split()
+    return items.derive(wide).select("sec", "fy", "fq", *wanted).withColumnRenamed("at", "total_assets").join(net, ["sec", "fy", "fq"])
 
 
 @add("SELECT * FROM wd", "sale cogs xsga act lct", _WIDE, places=2)
@@ -120,7 +148,7 @@ def d11_wide_items(t):
 
 @add("SELECT company, fy, fq, sale, cogs, xsga, act, lct, sale - cogs - xsga AS oibdp, sale - cogs AS gp, act - lct AS wcap FROM wd", "sale cogs xsga act lct oibdp gp wcap", _WIDE, places=2)
 def j13_derived_items(t):
-    return items.derive(_wide(t))
+    return items.derive(_wide(t)).select("company", "fy", "fq", "sale", "cogs", "xsga", "act", "lct", "oibdp", "gp", "wcap")
 
 
 @add("SELECT company, fy, fq, CASE WHEN act + coalesce(lct, 0) > 1.1 * act THEN act + coalesce(lct, 0) ELSE act END AS dltt_with_leases, CASE WHEN sale + coalesce(cogs, 0) > 1.1 * sale THEN sale + coalesce(cogs, 0) ELSE sale END AS dlc_with_leases FROM wd", "dltt_with_leases dlc_with_leases", _WIDE, places=2)
