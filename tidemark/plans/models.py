@@ -444,28 +444,48 @@ def h30_breakpoints(t):
     return factors.breakpoints(_formation(t), "N", 4)
 
 
-@add("""SELECT month, sort, size_group, band, sum(ret * me) / sum(me) AS ret FROM (
+_CELLS = _PANEL.strip() + """,
+cl AS (SELECT month, sort, size_group, band, sum(ret * me) / sum(me) AS ret FROM (
   SELECT month, ret, me, CASE WHEN me <= size THEN 'S' WHEN me IS NOT NULL THEN 'B' END AS size_group, unnest(['bm', 'op', 'inv']) AS sort,
     unnest([CASE WHEN bm <= bm_low THEN 'L' WHEN bm <= bm_high THEN 'M' WHEN bm IS NOT NULL THEN 'H' END, CASE WHEN op <= op_low THEN 'L' WHEN op <= op_high THEN 'M' WHEN op IS NOT NULL THEN 'H' END,
-            CASE WHEN inv <= inv_low THEN 'L' WHEN inv <= inv_high THEN 'M' WHEN inv IS NOT NULL THEN 'H' END]) AS band FROM fp JOIN bp USING (fy)) WHERE band IS NOT NULL AND size_group IS NOT NULL AND ret IS NOT NULL GROUP BY ALL""", "ret", _PANEL)
+            CASE WHEN inv <= inv_low THEN 'L' WHEN inv <= inv_high THEN 'M' WHEN inv IS NOT NULL THEN 'H' END]) AS band FROM fp JOIN bp USING (fy)) WHERE band IS NOT NULL AND size_group IS NOT NULL AND ret IS NOT NULL GROUP BY ALL)
+"""
+
+
+@add("SELECT * FROM cl", "ret", _CELLS)
 def h31_cell_returns(t):
     p = _formation(t)
     return factors.cell_returns(factors.assign(p, factors.breakpoints(p, "N", 4)))
 
 
-@add()
+def _cell(sort: str, group: str, band: str) -> str:
+    return f"max(CASE WHEN sort = '{sort}' AND size_group = '{group}' AND band = '{band}' THEN ret END)"
+
+
+def _high_less_low(sort: str) -> str:
+    return f"({_cell(sort, 'S', 'H')} + {_cell(sort, 'B', 'H')}) / 2 - ({_cell(sort, 'S', 'L')} + {_cell(sort, 'B', 'L')}) / 2"
+
+
+def _small_less_big(sort: str) -> str:
+    return "(" + " + ".join(f"{_cell(sort, 'S', b)} - {_cell(sort, 'B', b)}" for b in "LMH") + ") / 3"
+
+
+@add(f"SELECT month, ({' + '.join(_small_less_big(c) for c in ('bm', 'op', 'inv'))}) / 3 AS SMB, {_high_less_low('bm')} AS HML, {_high_less_low('op')} AS RMW, -({_high_less_low('inv')}) AS CMA FROM cl GROUP BY month", "SMB HML RMW CMA", _CELLS)
 def h31_factor_returns(t):
     p = _formation(t)
     return factors.factor_returns(factors.cell_returns(factors.assign(p, factors.breakpoints(p, "N", 4))))
 
 
-def _market_factors(t: Tables) -> DataFrame:
-    return _plain_factors(t).groupBy("month").pivot("factor", ["1-URGENT", "2-HIGH"]).agg(F.first("factor_return")).toDF("month", "f1", "f2")
-
-
 @add()
 def h33_factor_ols(t):
-    return regress.factor_ols(_returns(t), _market_factors(t), ["f1", "f2"])
+    """Excess returns on the five factors built here; orders stand in for the riskless rate."""
+    p = _formation(t)
+    five = factors.factor_returns(factors.cell_returns(factors.assign(p, factors.breakpoints(p, "N", 4))))
+    free = t.read("orders").groupBy(F.last_day(F.col("o_orderdate").cast("date")).alias("month")).agg((F.avg("o_totalprice") / 1e8).alias("free"))
+    series = five.join(prices.market_returns(_returns(t)).select("month", "market_return"), "month").join(free, "month")
+    series = t.keep("five", lambda: series.withColumn("MKT", F.col("market_return") - F.col("free")).drop("market_return"))
+    excess = _returns(t).join(series.select("month", "free"), "month").select("sec", "month", (F.col("ret") - F.col("free")).alias("ret"))
+    return regress.factor_ols(excess, series.drop("free"), ["MKT", "SMB", "HML", "RMW", "CMA"])
 
 
 @add("""SELECT month, factor, corr(re, rr) AS ic, count(*) AS n FROM (
@@ -542,3 +562,70 @@ def q1_model_checks(t):
     """Checks of the model itself: its imputed styles, industries, residuals and covariance."""
     r = _returns(t)
     return quality.model_checks(exposures.impute(_ten_styles(t), r, t.security()), exposures.industry(r, t.security()), _residuals(t), _model_covariance(t))
+
+
+_SECTORS = """
+fs AS (SELECT month, sector AS factor, avg(ret) AS factor_return FROM returns JOIN security USING (sec) WHERE ret IS NOT NULL GROUP BY ALL),
+fr AS (SELECT * FROM fs WHERE month IN (SELECT month FROM fs GROUP BY month HAVING count(*) = (SELECT count(DISTINCT factor) FROM fs))),
+cov AS (SELECT month, fi, fj, cov FROM (SELECT t.month, a.factor AS fi, b.factor AS fj, covar_samp(a.factor_return, b.factor_return) AS cov, count(*) AS n FROM (SELECT DISTINCT month FROM fr) t
+  JOIN fr a ON a.month <= t.month AND a.month > last_day(t.month - INTERVAL 60 MONTH) JOIN fr b ON a.month = b.month GROUP BY ALL) WHERE n >= 2),
+ex AS (SELECT sec, month, sector AS factor, 1.0::DOUBLE AS exposure FROM returns JOIN security USING (sec)),
+sp AS (SELECT r.sec, r.month, (ret - factor_return) * (ret - factor_return) AS specific_var FROM returns r JOIN security s USING (sec) JOIN fs ON fs.month = r.month AND fs.factor = s.sector WHERE ret IS NOT NULL),
+hw AS (SELECT month, sec, cap / sum(cap) OVER (PARTITION BY month) AS weight FROM (SELECT month, sec, cap, row_number() OVER (PARTITION BY month ORDER BY cap DESC, sec) AS n FROM returns WHERE cap > 0) WHERE n <= 100),
+px AS (SELECT month, factor, sum(weight * exposure) AS x FROM hw JOIN ex USING (sec, month) GROUP BY ALL),
+pt AS (SELECT a.month, a.factor AS item, a.x AS exposure, a.x * coalesce(sum(c.cov * b.x), 0) AS variance FROM px a LEFT JOIN cov c ON c.month = a.month AND c.fi = a.factor LEFT JOIN px b ON b.month = a.month AND b.factor = c.fj GROUP BY a.month, a.factor, a.x
+       UNION ALL SELECT month, 'specific', NULL, sum(weight * weight * specific_var) FROM hw JOIN sp USING (sec, month) GROUP BY month),
+su AS (SELECT * FROM pt UNION ALL SELECT month, 'total', NULL, sum(variance) FROM pt GROUP BY month)
+"""
+
+
+def _sector_risk(t: Tables):
+    """A risk model that SQL can state as well: sectors as factors, what their mean return leaves as specific risk."""
+    r = _returns(t).join(t.security().select("sec", "sector"), "sec")
+    series = t.keep("sector_series", lambda: r.where("ret is not null").groupBy("month", F.col("sector").alias("factor")).agg(F.avg("ret").alias("factor_return")))
+    own = r.where("ret is not null").join(series.withColumnRenamed("factor", "sector"), ["month", "sector"])
+    rest = F.col("ret") - F.col("factor_return")
+    exposures_ = r.select("sec", "month", F.col("sector").alias("factor"), F.lit(1.0).alias("exposure"))
+    return exposures_, t.keep("sector_covariance", lambda: covariance.factor_covariance(series)), own.select("sec", "month", (rest * rest).alias("specific_var"))
+
+
+@add("SELECT month, item, exposure, variance FROM su", "exposure variance", _SECTORS)
+def h26_sector_risk_summary(t):
+    return risk.summary(risk.cap_weights(_returns(t), 100), *_sector_risk(t))
+
+
+@add("""SELECT month, specific_variance, total_variance, total_variance - coalesce(specific_variance, 0) AS factor_variance, sqrt(greatest(total_variance, 0)) AS monthly_vol, sqrt(greatest(total_variance, 0)) * sqrt(12) AS annual_vol
+  FROM (SELECT month, sum(CASE WHEN item = 'specific' THEN variance END) AS specific_variance, sum(CASE WHEN item = 'total' THEN variance END) AS total_variance FROM su GROUP BY month)""", "specific_variance total_variance factor_variance monthly_vol annual_vol", _SECTORS)
+def h27_sector_model_risk(t):
+    return risk.model_risk(risk.summary(risk.cap_weights(_returns(t), 100), *_sector_risk(t)))
+
+
+@add("SELECT month, sec, factor, coalesce(e.exposure, 0) AS exposure, coalesce(specific_var, 0.1) AS specific_var FROM hw JOIN (SELECT DISTINCT month, factor FROM ex) USING (month) LEFT JOIN ex e USING (month, sec, factor) LEFT JOIN sp USING (month, sec)", "exposure specific_var", _SECTORS)
+def h53_sector_risk_components(t):
+    x, _, specific = _sector_risk(t)
+    return risk.risk_components(risk.cap_weights(_returns(t), 100).select("month", "sec"), x, specific)
+
+
+@add("""SELECT a.month, a.sec AS si, b.sec AS sj, c.cov + CASE WHEN a.sec = b.sec THEN coalesce(specific_var, 0) ELSE 0 END AS cov FROM hx a JOIN hx b ON a.month = b.month JOIN cov c ON c.month = a.month AND c.fi = a.factor AND c.fj = b.factor
+  LEFT JOIN sp ON sp.sec = a.sec AND sp.month = a.month AND a.sec = b.sec""", "cov", _SECTORS.strip() + ", hx AS (SELECT ex.* FROM ex JOIN hw USING (sec, month))")
+def h54_sector_asset_covariance(t):
+    """Of each month's hundred largest."""
+    x, cov, specific = _sector_risk(t)
+    held = risk.cap_weights(_returns(t), 100).select("month", "sec")
+    return covariance.asset_covariance(x.join(held, ["month", "sec"], "left_semi"), cov, specific)
+
+
+@add("SELECT sec, month, CASE WHEN year(month) = 1997 THEN specific_var / 2 ELSE specific_var END AS specific_var FROM sp WHERE year(month) <> 1997 OR sec % 2 = 0", "specific_var", _SECTORS)
+def h58_chosen_specific(t):
+    """Months of 1997 have smoothed values, for some names only; all other months have raw ones."""
+    raw = _sector_risk(t)[2]
+    smoothed = raw.where("year(month) = 1997 and sec % 2 = 0").withColumn("specific_var", F.col("specific_var") / 2)
+    return covariance.choose_specific(raw, smoothed)
+
+
+@add("""SELECT month, sqrt(greatest(sum(c.cov * a.x * b.x), 0)) AS tracking_error FROM ax a JOIN cov c ON c.month = a.month AND c.fi = a.factor JOIN ax b ON b.month = a.month AND b.factor = c.fj GROUP BY a.month""".replace("SELECT month,", "SELECT a.month,"), "tracking_error",
+     _SECTORS.strip() + """, mw AS (SELECT month, sec, cap / sum(cap) OVER (PARTITION BY month) AS weight FROM returns WHERE cap > 0),
+  ax AS (SELECT month, factor, sum(w * exposure) AS x FROM (SELECT month, sec, weight AS w FROM hw UNION ALL SELECT month, sec, -weight FROM mw) JOIN ex USING (sec, month) GROUP BY ALL)""")
+def h59_sector_tracking_error(t):
+    x, cov, _ = _sector_risk(t)
+    return risk.ex_ante_tracking_error(risk.cap_weights(_returns(t), 100), risk.cap_weights(_returns(t)), x, cov)
