@@ -14,7 +14,8 @@ CHOSEN = [
     "e1_month_end_last", "e5_monthly_returns", "d2_market_returns", "h8_beta", "e11_winsor_zscore", "h9_momentum", "h10_earnings_yield", "h19_imputation", "c15_gram_matrix", "h25_factor_covariance",
     "h31_cell_returns", "h39_fifo_matches", "h44_wash_sales", "h46_tax_benefit", "h64_trades", "h67_compliance", "j2_period_contexts", "j3_inline_facts", "j16_quarter_from_ytd", "q4_item_accuracy", "a5_factor_section",
     "h1_annual_features", "h35_listing_returns", "h55_historical_covariance", "k2_multi_horizon_growth", "h5_book_equity", "h66_applied_trades", "q3_company_fields", "j15_breakouts", "j5_value_by_context",
-    "h49_harvest_opportunities", "k6_return_attribution", "d14_pairwise_covariance",
+    "h49_harvest_opportunities", "k6_return_attribution", "d14_pairwise_covariance", "h20_style_exposures", "h45_wash_exclusions", "h64_trades_by_lot", "h69_tax_report",
+    "a10_latest_release", "a8_rewritten_dates", "j11_fuzzy_tags", "j13_rule_graph", "h26_sector_risk_summary", "h54_sector_asset_covariance",
 ]
 
 

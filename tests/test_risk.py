@@ -1,10 +1,11 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, covariance, exposures, regress, risk
+from tidemark.operators import covariance, exposures, interior, regress, risk
 
 D = dt.date(2024, 9, 30)
 
@@ -51,7 +52,7 @@ def test_quadratic_solver_meets_its_conditions():
     for n in (2, 5, 20):
         a = rng.normal(size=(n, n))
         q, c = a @ a.T + 0.1 * np.eye(n), rng.normal(size=n)
-        w = backtest.min_quadratic(q, c, 0.0, 0.8, 1.0, 3000)
+        w = interior.solve(interior.Boxed(q, c, np.ones(n), 1.0, 0.0, 0.8)).x
         assert w.sum() == pytest.approx(1) and (w >= -1e-9).all() and (w <= 0.8 + 1e-9).all()
         g = q @ w + c
         inside = (w > 1e-5) & (w < 0.8 - 1e-5)
@@ -59,8 +60,7 @@ def test_quadratic_solver_meets_its_conditions():
             level = g[inside].mean()
             assert np.abs(g[inside] - level).max() < 1e-3
             assert (g[w <= 1e-5] >= level - 1e-3).all() and (g[w >= 0.8 - 1e-5] <= level + 1e-3).all()
-    with pytest.raises(ValueError):
-        backtest.min_quadratic(np.eye(2), np.zeros(2), 0.0, 0.3, 1.0)
+    assert not interior.solve(interior.Boxed(np.eye(2), np.zeros(2), np.ones(2), 1.0, 0.0, 0.3)).solved  # bounds leave no solution
 
 
 def test_imputation_levels(spark):
@@ -76,3 +76,24 @@ def test_scale_repair(spark):
     got = {(r.fi, r.fj): r["cov"] for r in covariance.scale_repair(cov).collect()}
     s = (0.5 / 4) ** 0.5
     assert got == pytest.approx({("a", "a"): 0.5, ("a", "b"): 0.2 * s, ("b", "a"): 0.2 * s, ("b", "b"): 0.5})
+
+
+def test_smoothed_risk_by_hand_and_from_any_month(spark):
+    """Sixty months with gaps: the recurrence month by month, and the same when it goes on from the state of some month."""
+    rng = random.Random(2)
+    months = [dt.date(2000 + i // 12, i % 12 + 1, 28) for i in range(60)]
+    rows = [(s, m, rng.random()) for s in range(9) for m in months if rng.random() < 0.8]
+    security = spark.createDataFrame([(s, "xyz"[s % 3] if s else None) for s in range(9)], "sec long, industry string")
+    want, prior = {}, {}
+    for m in months:
+        smooth = {s: v if s not in prior else 0.94 * prior[s] + 0.06 * v for s, d, v in rows if d == m}
+        for s, v in smooth.items():
+            peers = [w for t, w in smooth.items() if t % 3 == s % 3 and (t == 0) == (s == 0)]
+            want[s, m] = prior[s] = 0.9 * v + 0.1 * float(np.median(peers))
+    df = spark.createDataFrame(rows, "sec long, month date, specific_var double")
+    got = regress.smoothed_risk(df, security)
+    assert {(r.sec, r.month): r.specific_var for r in got.collect()} == pytest.approx(want)
+    cut = months[23]
+    state = got.where(F.col("month") <= cut).groupBy("sec").agg(F.max_by("specific_var", "month").alias("specific_var"))
+    later = regress.smoothed_risk(df.where(df.month > cut), security, prior=state)
+    assert {(r.sec, r.month): r.specific_var for r in later.collect()} == pytest.approx({k: v for k, v in want.items() if k[1] > cut})

@@ -79,26 +79,31 @@ def r_squared(residual: DataFrame, returns: DataFrame) -> DataFrame:
     return rows.groupBy("month").agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum("specific_var"), F.var_pop("ret") * F.count("*"))).alias("r2"))
 
 
-def smoothed_risk(specific: DataFrame, security: DataFrame, decay: float = 0.94, shrink: float = 0.1) -> DataFrame:
+def smoothed_risk(specific: DataFrame, security: DataFrame, decay: float = 0.94, shrink: float = 0.1, prior: DataFrame | None = None) -> DataFrame:
     """Specific variance smoothed over months and shrunk to the industry median.
 
     The prior of a month is the *shrunk* value of the one before, and the shrinkage needs every security of the month, so
-    the months of an industry are folded in order; an industry is a group of securities x months.
+    the months of an industry are folded in order; an industry is a group of securities x months.  ``prior(sec, specific_var)``
+    is what earlier months have left, so a run can go on from any month.  Securities without an industry are one.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        prior: dict[int, float] = {}
-        out = []
-        for month, part in pdf.sort_values(["month", "sec"]).groupby("month"):
+        before = pdf[pdf.month.isna()]
+        held = dict(zip(before.sec, before.specific_var))
+        out = [pd.DataFrame({"sec": np.zeros(0, np.int64), "month": np.zeros(0, object), "specific_var": np.zeros(0)})]
+        for month, part in pdf[pdf.month.notna()].sort_values(["month", "sec"]).groupby("month"):
             raw = part.specific_var.to_numpy()
-            before = np.array([prior.get(s, np.nan) for s in part.sec])
-            smooth = np.where(np.isnan(before), raw, decay * before + (1 - decay) * raw)
+            old = np.array([held.get(s, np.nan) for s in part.sec])
+            smooth = np.where(np.isnan(old), raw, decay * old + (1 - decay) * raw)
             value = (1 - shrink) * smooth + shrink * np.median(smooth)
-            prior.update(zip(part.sec, value))
+            held.update(zip(part.sec, value))
             out.append(pd.DataFrame({"sec": part.sec, "month": month, "specific_var": value}))
-        return pd.concat(out)
+        return pd.concat(out[1:] or out)
 
-    rows = specific.join(security.select("sec", "industry"), "sec")
+    rows = specific.select("sec", "month", "specific_var")
+    if prior is not None:
+        rows = rows.unionByName(prior.select("sec", F.lit(None).cast("date").alias("month"), "specific_var"))
+    rows = rows.join(security.select("sec", "industry"), "sec")
     return rows.select("sec", "month", "industry", "specific_var").groupBy("industry").applyInPandas(fold, "sec long, month date, specific_var double")
 
 
