@@ -31,6 +31,13 @@ def parse_date(text: Column, *patterns: str) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)).cast("date") for p in patterns))
 
 
+def date_before(text: Column, filed: Column, pattern: str = "MMMM d") -> Column:
+    """The last day on or before ``filed`` that a text without a year, such as ``September 30``, can mean (29 February: in a leap year)."""
+    year = F.year(filed)
+    day = lambda back: F.try_to_timestamp(F.concat_ws(" ", text, (year - back).cast("string")), F.lit(f"{pattern} yyyy")).cast("date")
+    return F.coalesce(*(F.when(day(k) <= filed, day(k)) for k in range(9)))  # leap years are eight years apart at most
+
+
 def formation_year(d: Column) -> Column:
     return F.year(F.add_months(d, -6))
 

@@ -33,11 +33,13 @@ def model_checks(imputed: DataFrame, one_hot: DataFrame, specific: DataFrame, co
 
 
 def accuracy(ours: DataFrame, reference: DataFrame, keys: list[str], percent: float = 0.01, absolute: float = 0.01) -> DataFrame:
-    """Per item: matches within a tolerance (absolute below 1, a share above), mismatches and the largest difference."""
+    """Per item, and over all (item ``ALL``): matches within a tolerance (absolute below 1, a share above) and the largest difference."""
     both = ours.select(*keys, F.col("value").alias("a")).join(reference.select(*keys, F.col("value").alias("b")), keys)
     d = F.abs(F.col("a") - F.col("b"))
     ok = F.when(F.abs("b") < 1, d <= absolute).otherwise(d <= percent * F.abs("b"))
-    return both.groupBy("item").agg(F.count("*").alias("n"), F.count_if(ok).alias("matches"), F.max(d).alias("largest"), (F.count_if(ok) / F.count("*")).alias("accuracy"))
+    both = both.withColumns({"d": d, "ok": ok})
+    out = both.rollup("item").agg(F.grouping("item").alias("all"), F.count("*").alias("n"), F.count_if("ok").alias("matches"), F.max("d").alias("largest"), (F.count_if("ok") / F.count("*")).alias("accuracy"))
+    return out.withColumn("item", F.when(F.col("all") == 1, "ALL").otherwise(F.col("item"))).drop("all").where("n > 0")
 
 
 def discrepancies(ours: DataFrame, reference: DataFrame, keys: list[str], least: float = 1.0, top: int = 20) -> DataFrame:
@@ -62,20 +64,36 @@ def population(df: DataFrame) -> DataFrame:
     return row.unpivot(["_n"], names, "column", "filled").select("column", "filled", (F.col("filled") / F.col("_n")).alias("share"))
 
 
-def table_coverage(keys: DataFrame, tables: dict[str, DataFrame], key: str) -> DataFrame:
-    """Whether each table has rows for each key: ``(key, table, rows, state)``."""
-    parts = []
+def type_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(column, left_type, right_type)`` of columns whose types differ or that only one table has."""
+    left, right = dict(a.dtypes), dict(b.dtypes)
+    rows = [(c, left.get(c), right.get(c)) for c in sorted({*left, *right}) if left.get(c) != right.get(c)]
+    return a.sparkSession.createDataFrame(rows, "column string, left_type string, right_type string")
+
+
+def table_coverage(keys: DataFrame, tables: dict[str, DataFrame | None], key: str) -> DataFrame:
+    """Whether each table has rows for each key: ``(key, table, rows, state)``; a table given as None is ``missing``."""
+    parts, asked = [], keys.select(key).distinct()
     for name, df in tables.items():
-        n = df.groupBy(key).agg(F.count("*").alias("rows"))
-        parts.append(keys.select(key).distinct().join(n, key, "left").select(key, F.lit(name).alias("table"), F.coalesce("rows", F.lit(0)).alias("rows")))
-    return union_all(parts).withColumn("state", F.when(F.col("rows") == 0, "empty").otherwise("populated"))
+        if df is None:
+            parts.append(asked.select(key, F.lit(name).alias("table"), F.lit(0).cast("long").alias("rows"), F.lit("missing").alias("state")))
+            continue
+        n = asked.join(df.groupBy(key).agg(F.count("*").alias("rows")), key, "left")
+        state = F.when(F.col("rows").isNull(), "empty").otherwise("populated")
+        parts.append(n.select(key, F.lit(name).alias("table"), F.coalesce("rows", F.lit(0)).alias("rows"), state.alias("state")))
+    return union_all(parts)
 
 
 def same_tables(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Row counts of two stores and columns that only one has."""
+    """Row counts of two stores, columns that only one has, and common columns whose numbers of nulls differ."""
     only = lambda x, y: ",".join(sorted(set(x.columns) - set(y.columns)))
-    n = a.agg(F.count("*").alias("left_rows")).join(b.agg(F.count("*").alias("right_rows")))
-    return n.withColumns({"equal": F.col("left_rows") == F.col("right_rows"), "only_left": F.lit(only(a, b)), "only_right": F.lit(only(b, a))})
+    common = sorted(set(a.columns) & set(b.columns))
+    one = lambda df, side: df.agg(F.count("*").alias("n"), F.array(*(F.count_if(F.col(c).isNull()) for c in common)).cast("array<long>").alias("nulls")).withColumn("side", F.lit(side))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    n = one(a, "left").unionByName(one(b, "right")).agg(of("left", "n").alias("left_rows"), of("right", "n").alias("right_rows"), of("left", "nulls").alias("_l"), of("right", "nulls").alias("_r"))
+    differ = F.concat_ws(",", *(F.when(F.col("_l")[i] != F.col("_r")[i], c) for i, c in enumerate(common)))
+    n = n.withColumns({"equal": F.col("left_rows") == F.col("right_rows"), "only_left": F.lit(only(a, b)), "only_right": F.lit(only(b, a)), "other_nulls": differ})
+    return n.drop("_l", "_r")
 
 
 def compare_fields(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str], percent: float = 0.01) -> DataFrame:

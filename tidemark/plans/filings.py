@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import sources
-from tidemark.functions import fiscal_quarter, fiscal_year, number_from_text
+from tidemark.functions import date_before, fiscal_quarter, fiscal_year, number_from_text
 from tidemark.operators import filings, fundamentals, items, prices, quality
 from tidemark.plans.registry import Registry
 from tidemark.plans.standins import Tables
@@ -44,9 +44,23 @@ def j7_page_structure(t):
     return filings.links(t.filings())
 
 
-@add()
+@add("""SELECT o_orderkey AS id, CAST(n AS INTEGER) AS "row", CASE n WHEN 1 THEN 'Total revenue' WHEN 2 THEN 'Net loss' ELSE 'Shares' END AS label, CASE n WHEN 1 THEN round(o_totalprice, 2) WHEN 2 THEN -(o_orderkey % 1000 + 0.5) END AS value FROM orders, (SELECT unnest([1, 2, 3]) AS n) WHERE n < 3 OR o_orderkey % 2 = 0""", "value", places=4)
 def j7_table_values(t):
-    return filings.tables(t.filings())
+    """A table of each order: heading cells alone, a number behind marks and blanks, a loss in brackets, a row of dashes or of one cell."""
+    o = t.read("orders")
+    text = F.concat(
+        F.lit("<html><TABLE><tr class='h'><th>(in dollars)</th></tr>\n<tr><td><b>Total&nbsp;</b> revenue</td><td> $ </td><td align=right>"), F.format_number("o_totalprice", 2), F.lit("</td><td>9</td></tr><TR><td>Net loss</td><td>("),
+        F.format_number(F.pmod("o_orderkey", F.lit(1000)) + F.lit(0.5), 1), F.lit(")</td></TR><tr><td>Shares</td>"), F.when(F.col("o_orderkey") % 2 == 0, "<td>-</td>").otherwise(""), F.lit("</tr></TABLE>"),
+    )
+    return filings.tables(o.select(F.col("o_orderkey").alias("id"), text.alias("content")))
+
+
+@add("SELECT o_orderkey, filed, d FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 300 AS INTEGER) AS filed FROM orders)")
+def g9_inferred_year(t):
+    """Days without a year, by the date of the filing."""
+    d = F.col("o_orderdate").cast("date")
+    rows = t.read("orders").select("o_orderkey", F.date_format(d, "MMMM d").alias("text"), F.date_add(d, F.pmod("o_orderkey", F.lit(300)).cast("int")).alias("filed"))
+    return rows.select("o_orderkey", "filed", date_before(F.col("text"), F.col("filed")).alias("d"))
 
 
 def _order_filings(t):
@@ -214,7 +228,7 @@ def _other(t):
     return t.facts().select(*KEYS, F.when(F.col("company") % 7 == 0, F.col("value") * 1.05).otherwise(F.col("value")).alias("value"))
 
 
-@add("SELECT item, count(*) AS n, count_if(ok) AS matches, max(d) AS largest, count_if(ok) / count(*) AS accuracy FROM (SELECT item, abs(f.value - o.value) AS d, CASE WHEN abs(o.value) < 1 THEN abs(f.value - o.value) <= 0.01 ELSE abs(f.value - o.value) <= 0.01 * abs(o.value) END AS ok FROM facts f JOIN other o USING (company, fy, fq, item)) GROUP BY item", "largest accuracy", _OTHER, places=3)
+@add("SELECT CASE WHEN grouping(item) = 1 THEN 'ALL' ELSE item END AS item, count(*) AS n, count_if(ok) AS matches, max(d) AS largest, count_if(ok) / count(*) AS accuracy FROM (SELECT item, abs(f.value - o.value) AS d, CASE WHEN abs(o.value) < 1 THEN abs(f.value - o.value) <= 0.01 ELSE abs(f.value - o.value) <= 0.01 * abs(o.value) END AS ok FROM facts f JOIN other o USING (company, fy, fq, item)) GROUP BY ROLLUP (item)", "largest accuracy", _OTHER, places=3)
 def q4_item_accuracy(t):
     return quality.accuracy(t.facts(), _other(t), KEYS)
 
@@ -232,15 +246,16 @@ def q7_column_population(t):
     return quality.population(t.read("orders").select("o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("status")))
 
 
-@add("SELECT c_custkey AS company, 'orders' AS \"table\", count(o_orderkey) AS rows, CASE WHEN count(o_orderkey) = 0 THEN 'empty' ELSE 'populated' END AS state FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@add("""SELECT c_custkey AS company, 'orders' AS "table", count(o_orderkey) AS rows, CASE WHEN count(o_orderkey) = 0 THEN 'empty' ELSE 'populated' END AS state FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey
+  UNION ALL SELECT c_custkey, 'notes', 0, 'missing' FROM customer""")
 def q8_table_coverage(t):
-    return quality.table_coverage(t.read("customer").select(F.col("c_custkey").alias("company")), {"orders": t.read("orders").withColumnRenamed("o_custkey", "company")}, "company")
+    return quality.table_coverage(t.read("customer").select(F.col("c_custkey").alias("company")), {"orders": t.read("orders").withColumnRenamed("o_custkey", "company"), "notes": None}, "company")
 
 
-@add("SELECT (SELECT count(*) FROM orders) AS left_rows, (SELECT count(*) FROM lineitem) AS right_rows, (SELECT count(*) FROM orders) = (SELECT count(*) FROM lineitem) AS equal, 'o_extra' AS only_left, '' AS only_right")
+@add("SELECT (SELECT count(*) FROM orders) AS left_rows, (SELECT count(*) FROM lineitem) AS right_rows, (SELECT count(*) FROM orders) = (SELECT count(*) FROM lineitem) AS equal, 'o_extra' AS only_left, '' AS only_right, 'flag' AS other_nulls")
 def q9_same_tables(t):
-    o = t.read("orders").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("o_extra"))
-    return quality.same_tables(o, t.read("lineitem").select(F.col("l_orderkey").alias("k")))
+    o = t.read("orders").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("o_extra"), F.col("o_orderstatus").alias("flag"))
+    return quality.same_tables(o, t.read("lineitem").select(F.col("l_orderkey").alias("k"), F.nullif("l_returnflag", F.lit("N")).alias("flag")))
 
 
 @add("SELECT company, fy, fq, item, left_value, right_value FROM (SELECT company, fy, fq, unnest(['sale', 'cogs']) AS item, unnest([sale, cogs]) AS left_value, unnest([CASE WHEN company % 5 = 0 THEN sale + 1 ELSE sale END, CASE WHEN company % 11 = 0 THEN NULL ELSE cogs END]) AS right_value FROM wd) WHERE abs(left_value - right_value) > 0.1 OR (left_value IS NULL) <> (right_value IS NULL)", "left_value right_value", _WIDE, places=2)
