@@ -28,6 +28,13 @@ def test_odd_texts(spark):
     assert bpe.digest(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts of some hundred thousand characters, of many words, of one word, and of white space only."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    check(spark, [(1, " ".join(word(rng.randint(1, 12)) for _ in range(60_000))), (2, word(60_000)), (3, " \n" * 50_000), (4, "é🙂" * 20_000)])
+
+
 def test_random_letters():
     from tokenizers import Tokenizer
 

@@ -37,3 +37,9 @@ def test_odd_turns(spark):
         inner = e.text[len(chat.START_MARK) :]
         assert inner.count(chat.END_MARK) == len(chat.parse(e.text)) and chat.START_MARK not in inner
     assert chat.format_examples(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_turns_and_empty_tables(spark):
+    long = "</s>[INST] \\ line\n" * 20_000
+    check(spark, [(1, i, ("user", "assistant")[i % 2], long + str(i)) for i in range(4)] + [(2, 0, "assistant", long)])
+    assert chat.digest(chat.format_examples(spark.createDataFrame([], SCHEMA))).count() == 0

@@ -38,6 +38,14 @@ def test_odd_rows(spark):
     assert suffixes.digest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Passages shared between texts of several hundred thousand bytes, and one that fills a text of its own."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+    shared = text(70_000)
+    check(spark, [(1, text(200_000) + shared + text(100_000)), (2, shared[:60_000] + text(90_000)), (3, text(10) + shared[100:]), (4, "z" * 100_000), (5, "z" * 60_000 + shared[:49])], bucket_bytes=150_000)
+
+
 def test_merge_orders_and_measures():
     rng = random.Random(1)
     for k in (1, 2, 3, 7):

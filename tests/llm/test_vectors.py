@@ -149,3 +149,11 @@ def test_search_among_vectors_of_mixed_length(spark):
     for size in {len(v) for _, v, _ in rows}:
         want |= nearest([r for r in rows if len(r[1]) == size], asked, 10)
     assert got == {k: v[0] for k, v in want.items()}
+
+
+def test_search_with_shared_ids(spark):
+    """Candidate rows that share an id each take a rank; query rows that share one are asked together, neither finds the other."""
+    rows = [(20, [1.0, 0.0], 0), (3, [0.9, 0.0], 0), (3, [0.8, 0.0], 0), (7, [0.1, 0.1], 0)]
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], SCHEMA)
+    got = [(r["rank"], r.vec_id) for r in neighbours.search(df, df.where("vec_id = 20"), 5, factor=1.0).orderBy("rank").collect()]
+    assert got == [(1, 3), (2, 3), (3, 7)]
