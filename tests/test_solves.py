@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -163,3 +164,42 @@ def test_portfolios_equal_enumeration(spark):
     w = np.array([w[s] for s in x.columns])
     assert w @ q @ w == pytest.approx(enumerated(2 * q, np.zeros(6), np.ones((1, 6)), np.ones(1), np.full(6, 0.05), np.full(6, 0.5)), abs=1e-9)
     assert w.sum() == pytest.approx(1) and w.min() >= 0.05 - 1e-9 and w.max() <= 0.5 + 1e-9
+
+
+def test_factored_covariance_equals_the_whole_matrix(spark):
+    """Gaps in the returns; the matrix of pairs is repaired, and no array of names x names is made in a solve."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    gaps = {(int(s), int(i)) for s, i in zip(rng.integers(0, 60, 40), rng.integers(0, 24, 40))}
+    df, rows = history(spark, 3, 60, 24, gaps)
+    pdf = pd.DataFrame(rows, columns=["month", "sec", "score", "side", "at", "ret"])
+    names, q = backtest.covariance(pdf)
+    raw = np.nan_to_num(pdf.pivot_table(index="at", columns="sec", values="ret").cov().to_numpy())
+    values, vectors = np.linalg.eigh(raw)
+    want = (vectors * np.maximum(values, 0)) @ vectors.T
+    assert names == list(range(60)) and np.allclose(q, want, atol=1e-12)
+    long = np.array([s < 30 for s in names])
+    a, low, high = np.stack([long, ~long]), np.where(long, 0, -0.1), np.where(long, 0.1, 0)
+    whole = interior.solve(interior.Boxed(2 * want, np.zeros(60), a, [1.0, -1.0], low, high))
+    got = {r.sec: r for r in backtest.long_short_weights(df, bound=0.1).collect()}
+    w = np.array([got[s].weight for s in names])
+    assert whole.solved and max(r.residual for r in got.values()) < 1e-8 and w @ want @ w == pytest.approx(whole.x @ want @ whole.x, abs=1e-9)
+
+
+def test_portfolios_of_many_names(spark):
+    """Six thousand names a date in some seconds: a matrix of all pairs would have 36 million entries, and each step would invert it."""
+    names, dates = 6000, 36
+    ids = spark.range(names).withColumnRenamed("id", "sec")
+    rows = ids.selectExpr("date'2010-01-31' month", "sec", "(sec % 997) / 997d - 0.5 score", "if(sec % 2 = 0, 'long', 'short') side", f"explode(sequence(1, {dates})) i")
+    rows = rows.where("(sec * 31 + i * 17) % 911 > 0").selectExpr("month", "sec", "score", "side", "last_day(add_months(month, -i)) at", "(hash(sec, i) % 1000) / 20000d + (hash(i) % 1000) / 30000d ret")
+    began = time.process_time()
+    found = backtest.long_short_weights(rows, bound=0.1).unionByName(backtest.tilted_weights(rows)).collect()
+    assert len(found) == 2 * names and max(r.residual for r in found) < 1e-6 and time.process_time() - began < 60
+    import resource
+
+    problem = backtest._panel(backtest._rows(rows).toPandas())
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    parts, root = backtest.covariance_parts(problem)
+    assert sum(base.size for _, base in parts) <= names * dates and root.shape[0] < 2200
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000

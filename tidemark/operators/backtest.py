@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,21 +44,81 @@ def histories(chosen: DataFrame, returns: DataFrame, months: int = 36, least: in
 WEIGHTS = "month date, sec long, weight double, residual double"
 
 
-def covariance(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
+class Panel(NamedTuple):
+    """One date's names (sorted), their side and score, and their returns: names x dates, with what is there."""
+
+    names: np.ndarray
+    long: np.ndarray
+    score: np.ndarray
+    dates: np.ndarray
+    values: np.ndarray
+    there: np.ndarray
+
+
+def _rows(history: DataFrame, *more: str) -> DataFrame:
+    """A row a name with its dates (days since 1970) and returns as arrays: a date's panel takes 16 bytes a return."""
+    at = F.sort_array(F.collect_list(F.struct(F.unix_date("at").alias("at"), F.col("ret").cast("double").alias("ret"), *more)))
+    own = F.min(F.struct("side", F.col("score").cast("double").alias("score")))
+    rows = history.where("ret is not null").groupBy("month", "sec").agg(at.alias("x"), own.alias("own"))
+    return rows.select("month", "sec", "own.side", "own.score", "x.at", "x.ret", *(f"x.{c}" for c in more))
+
+
+def _panel(pdf: pd.DataFrame) -> Panel:
+    pdf = pdf.sort_values("sec")
+    at, ret = np.concatenate(pdf["at"].to_list()), np.concatenate(pdf.ret.to_list())
+    dates, column = np.unique(at, return_inverse=True)
+    row = np.repeat(np.arange(len(pdf)), pdf["at"].map(len))
+    n, values = np.zeros((len(pdf), len(dates))), np.zeros((len(pdf), len(dates)))
+    np.add.at(n, (row, column), 1.0)
+    np.add.at(values, (row, column), ret)
+    return Panel(pdf.sec.to_numpy(), (pdf.side == "long").to_numpy(), pdf.score.to_numpy(float), dates, values / np.maximum(n, 1.0), n > 0)
+
+
+def covariance_parts(panel: Panel) -> tuple[list, np.ndarray]:
     """Sample covariances over the dates that both names of a pair have (0 where there are fewer than two), made positive
-    semidefinite by dropping negative eigenvalues; names without a return are left out.  It may be singular."""
-    wide = pdf.pivot_table(index="at", columns="sec", values="ret").dropna(axis=1, how="all")
-    q = np.nan_to_num(wide.cov().to_numpy())
-    values, vectors = np.linalg.eigh(q)
-    return list(wide.columns), (vectors * np.maximum(values, 0.0)) @ vectors.T
+    semidefinite by dropping negative eigenvalues, as ``parts`` and ``root`` of ``interior.Factored``.
+
+    Names with the same dates share a block.  Their returns are an orthonormal base times a few rows; the covariance is that of
+    those rows, of which there are at most as many as dates for each set of dates, and it has the same eigenvalues.
+    """
+    held, kind = np.unique(panel.there, axis=0, return_inverse=True)
+    mean = panel.values.sum(1) / np.maximum(panel.there.sum(1), 1)
+    centred = np.where(panel.there, panel.values - mean[:, None], 0.0)
+    order = np.argsort(kind.ravel(), kind="stable")
+    parts, short, of = [], [], []
+    for k, rows in enumerate(np.split(order, np.cumsum(np.bincount(kind.ravel(), minlength=len(held)))[:-1])):
+        base, rest = np.linalg.qr(centred[rows])
+        parts.append((rows, base))
+        short.append(rest)
+        of += [k] * len(rest)
+    short, of, held = np.vstack(short), np.array(of), held.astype(float)
+    n = (held @ held.T)[np.ix_(of, of)]
+    across = (short @ held.T)[:, of]
+    q = np.where(n >= 2, (short @ short.T - across * across.T / np.maximum(n, 1)) / np.maximum(n - 1, 1), 0.0)
+    values, vectors = np.linalg.eigh((q + q.T) / 2)
+    real = values > 1e-15 * max(values.max(initial=0.0), 0.0)
+    return parts, vectors[:, real] * np.sqrt(values[real])
 
 
-def _answer(pdf: pd.DataFrame, names: list, problem: interior.Boxed | None) -> pd.DataFrame:
+def covariance(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
+    """Names and the whole matrix of ``covariance_parts`` for rows ``(sec, at, ret)``; names without a return are left out."""
+    rows = pdf.dropna(subset="ret").assign(at=lambda x: pd.to_datetime(x["at"]).astype("int64"))
+    rows = rows.groupby("sec").agg({"at": list, "ret": list}).reset_index().assign(side="", score=0.0)
+    panel = _panel(rows)
+    parts, root = covariance_parts(panel)
+    ends = np.cumsum([base.shape[1] for _, base in parts])[:-1]
+    load = np.zeros((len(panel.names), root.shape[1]))
+    for (at, base), part in zip(parts, np.split(root, ends)):
+        load[at] = base @ part
+    return panel.names.tolist(), load @ load.T
+
+
+def _answer(month, names: np.ndarray, problem: interior.Boxed | None) -> pd.DataFrame:
     """Weights of a solved date; none for a date whose limits leave no solution."""
     found = interior.solve(problem) if problem is not None else None
     if found is None or not found.solved:
         return pd.DataFrame({c: pd.Series([], dtype=kind) for c, kind in (("month", object), ("sec", "int64"), ("weight", float), ("residual", float))})
-    return pd.DataFrame({"month": pdf.month.iloc[0], "sec": names, "weight": np.clip(found.x, problem.low, problem.high), "residual": found.residual})
+    return pd.DataFrame({"month": month, "sec": names, "weight": np.clip(found.x, problem.low, problem.high), "residual": found.residual})
 
 
 def long_short_weights(history: DataFrame, bound: float = 0.02, least_names: int = 20) -> DataFrame:
@@ -64,14 +126,14 @@ def long_short_weights(history: DataFrame, bound: float = 0.02, least_names: int
     problem a date.  Dates with fewer than ``least_names`` names, or whose bounds leave no solution, give no rows."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, q = covariance(pdf)
-        side = pdf.drop_duplicates("sec").set_index("sec").side.reindex(names)
-        long = (side == "long").to_numpy()
-        fits = len(names) >= least_names and min(long.sum(), (~long).sum()) * bound >= 1
-        problem = interior.Boxed(2 * q, np.zeros(len(names)), np.stack([long, ~long]), [1.0, -1.0], np.where(long, 0.0, -bound), np.where(long, bound, 0.0)) if fits else None
-        return _answer(pdf, names, problem)
+        p = _panel(pdf)
+        problem, n = None, len(p.names)
+        if n >= least_names and min(p.long.sum(), (~p.long).sum()) * bound >= 1:
+            parts, root = covariance_parts(p)
+            problem = interior.Factored(parts, np.sqrt(2) * root, np.zeros(n), np.stack([p.long, ~p.long]), [1.0, -1.0], np.where(p.long, 0.0, -bound), np.where(p.long, bound, 0.0))
+        return _answer(pdf.month.iloc[0], p.names, problem)
 
-    return history.groupBy("month").applyInPandas(one, WEIGHTS)
+    return _rows(history).groupBy("month").applyInPandas(one, WEIGHTS)
 
 
 def tilted_weights(history: DataFrame, risk_aversion: float = 10.0, bound: float = 0.2, asked: int | None = None, share: float = 0.8, least_dates: int = 12) -> DataFrame:
@@ -81,13 +143,14 @@ def tilted_weights(history: DataFrame, risk_aversion: float = 10.0, bound: float
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, q = covariance(pdf)
-        own = pdf.drop_duplicates("sec").set_index("sec").reindex(names)
-        long, fits = (own.side == "long").to_numpy(), pdf["at"].nunique() >= least_dates and len(names) >= share * (asked or len(names))
-        problem = interior.Boxed(2 * risk_aversion * q, -own.score.to_numpy(float), np.ones(len(names)), 0.0, np.where(long, 0.0, -bound), np.where(long, bound, 0.0)) if fits else None
-        return _answer(pdf, names, problem)
+        p = _panel(pdf)
+        problem, n = None, len(p.names)
+        if len(p.dates) >= least_dates and n >= share * (asked or n):
+            parts, root = covariance_parts(p)
+            problem = interior.Factored(parts, np.sqrt(2 * risk_aversion) * root, -p.score, np.ones(n), 0.0, np.where(p.long, 0.0, -bound), np.where(p.long, bound, 0.0))
+        return _answer(pdf.month.iloc[0], p.names, problem)
 
-    return history.groupBy("month").applyInPandas(one, WEIGHTS)
+    return _rows(history).groupBy("month").applyInPandas(one, WEIGHTS)
 
 
 def tracking_weights(history: DataFrame, benchmark: DataFrame, least: float = 0.0, most: float = 1.0, least_dates: int = 12) -> DataFrame:
@@ -97,16 +160,19 @@ def tracking_weights(history: DataFrame, benchmark: DataFrame, least: float = 0.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="at", columns="sec", values="ret").join(pdf.groupby("at").bench.first()).dropna()
-        names = [c for c in wide.columns if c != "bench"]
-        n = len(names)
-        x = wide[names].to_numpy() - wide[["bench"]].to_numpy()
-        x = x - x.mean(axis=0)
-        fits = len(wide) >= least_dates and n * least < 1 < n * most
-        problem = interior.Boxed(2 * x.T @ x / (len(x) - 1), np.zeros(n), np.ones(n), 1.0, least, most) if fits else None
-        return _answer(pdf, names, problem)
-
-    return history.join(benchmark, "at").groupBy("month").applyInPandas(one, WEIGHTS)
+        p = _panel(pdf)
+        problem, n = None, len(p.names)
+        common = p.there.all(axis=0)
+        if common.sum() >= least_dates and n * least < 1 < n * most:
+            bench = dict(zip(np.concatenate(pdf["at"].to_list()), np.concatenate(pdf.bench.to_list())))
+            x = p.values[:, common] - np.array([bench[d] for d in p.dates[common]])
+            x = x - x.mean(axis=1)[:, None]
+            base, rest = np.linalg.qr(x)
+            problem = interior.Factored([(np.arange(n), base)], rest * np.sqrt(2 / (x.shape[1] - 1)), np.zeros(n), np.ones(n), 1.0, least, most)
+        return _answer(pdf.month.iloc[0], p.names, problem)
+
+    rows = history.join(benchmark.where("bench is not null").select("at", F.col("bench").cast("double").alias("bench")), "at")
+    return _rows(rows, "bench").groupBy("month").applyInPandas(one, WEIGHTS)
 
 
 def strategy_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:

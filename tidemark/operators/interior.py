@@ -122,6 +122,56 @@ class Boxed:
         return newton, lambda v: h @ v
 
 
+class Factored(Boxed):
+    """The same with Q = B C C' B', which is never formed: ``parts`` are pairs (rows of B, their block of its columns), one
+    after the other, and nothing else of B; a step costs names x columns of a block^2 and columns x rank^2."""
+
+    def __init__(self, parts, root, c, a, b, low, high):
+        ends = np.cumsum([block.shape[1] for _, block in parts])[:-1] if parts else []
+        self.parts = [(rows, block, part) for (rows, block), part in zip(parts, np.split(root, ends))]
+        variance = max((np.square(block @ part).sum(1).max(initial=0.0) for _, block, part in self.parts), default=0.0)
+        super().__init__(np.full((1, 1), variance), c, a, b, low, high)
+        unit = self.q[0, 0] / variance if variance > 0 else 0.0
+        self.root = root * np.sqrt(unit)
+        self.parts = [(rows, block, part * np.sqrt(unit)) for rows, block, part in self.parts]
+
+    def _in(self, x):
+        """C'B' times a vector (or a matrix)."""
+        out = np.zeros((self.root.shape[1], *x.shape[1:]))
+        for rows, block, part in self.parts:
+            out += part.T @ (block.T @ x[rows])
+        return out
+
+    def _out(self, u):
+        out = np.zeros((len(self.c), *u.shape[1:]))
+        for rows, block, part in self.parts:
+            out[rows] = block @ (part @ u)
+        return out
+
+    def slope(self, x):
+        return self._out(self._in(x)) + self.c
+
+    def newton(self, x, z, phi):
+        n = len(self.c)
+        d = phi[:n] + phi[n:]
+        middle = np.vstack([(block.T @ (block / d[rows, None])) @ part for rows, block, part in self.parts]) if self.parts else self.root
+        small = np.linalg.inv(np.eye(self.root.shape[1]) + self.root.T @ middle)
+
+        def inverse(r):
+            part = (r.T / d).T
+            return part - (self._out(small @ self._in(part)).T / d).T
+
+        cross = inverse(self.a.T)
+        equal = np.linalg.pinv(self.a @ cross)
+
+        def newton(r, gap):
+            part = inverse(r)
+            dy = equal @ (self.a @ part - gap)
+            return part - cross @ dy, dy
+
+        return newton, lambda v: d * v + self._out(self._in(v))
+
+
 class Account:
     """One account's trades: purchases b (only of names that may be bought) and sales s, with weights w = w0 + b - s.
 
