@@ -203,3 +203,30 @@ def test_portfolios_of_many_names(spark):
     parts, root = backtest.covariance_parts(problem)
     assert sum(base.size for _, base in parts) <= names * dates and root.shape[0] < 2200
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+@pytest.mark.parametrize("tight", [(), ("turnover",), ("caps",), ("ball",), ("turnover", "caps", "ball")])
+def test_accounts_together_equal_accounts_alone(tight):
+    """Of different sizes in one array, and in less time than one by one."""
+    rng = np.random.default_rng(len(tight))
+    cases = [account(rng, int(n), 4, tight) for n in rng.integers(4, 30, 60)]
+    f = np.eye(4)
+    m, n = len(cases), max(p.n for p, *_ in cases)
+    pad = lambda rows, *more: np.stack([np.concatenate([r, np.zeros((n - len(r), *more))]) for r in rows])
+    ps = [interior.Account(p.w0, p.bench, p.load, f, p.d, cost, worth, ~p.can_buy, p.turnover, p.sectors, p.caps, p.ball) for p, _, worth, cost in cases]
+    began = time.perf_counter()
+    alone = [interior.solve(p) for p in ps]
+    middle = time.perf_counter()
+    real = np.arange(n) < np.array([p.n for p in ps])[:, None]
+    ball = np.array([np.nan if p.ball is None else p.ball for p in ps])
+    worth, cost = pad([c[2] for c in cases]), cases[0][3]
+    many = interior.Accounts(
+        pad([p.w0 for p in ps]), pad([p.bench for p in ps]), pad([p.load for p, *_ in cases], 4), f, pad([c[0].d for c in cases]), cost, worth, pad([~p.can_buy for p in ps]).astype(bool),
+        np.array([p.turnover for p in ps]), pad([p.sectors for p in ps], 3), np.stack([p.caps for p in ps]), ball, real,
+    )
+    found, residual = interior.solve_accounts(many)
+    assert time.perf_counter() - middle < 0.7 * (middle - began)
+    buy, sell = many.trades(found)
+    for i, (p, a) in enumerate(zip(ps, alone)):
+        b, s = p.trades(a.x)
+        assert residual[i] < 1e-6 and a.solved and np.abs(buy[i, : p.n] - sell[i, : p.n] - b + s).max() < 1e-3 and not buy[i, p.n :].any()

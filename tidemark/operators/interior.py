@@ -298,3 +298,198 @@ class Account:
             return own + low @ (rank * (low.T @ v))
 
         return newton, times
+
+
+class Accounts:
+    """Many of ``Account`` at once, as arrays with the accounts in front: names are padded to the longest account, and what is no
+    unknown or no limit of an account (``real`` is False, a NaN cap or ball) is masked.  ``solve_accounts`` makes the same steps."""
+
+    FIELDS = "w0 bench load d can_buy can_sell real worth sectors caps ball turnover c unit var lim b".split()
+
+    def __init__(self, w0, bench, x, f, d, cost, worth, no_buy, turnover, sectors, caps, ball, real):
+        m, n = w0.shape
+        root = np.linalg.cholesky(f + 1e-15 * max(np.trace(f), 1e-300) * np.eye(len(f))) if len(f) else np.zeros((0, 0))
+        self.w0, self.bench, self.real, self.load = w0, bench, real, x @ root if len(f) else np.zeros((m, n, 0))
+        total = np.where(real, np.square(self.load).sum(2) + np.maximum(d, 0.0), 0.0)
+        mean = total.sum(1) / np.maximum(real.sum(1), 1)
+        self.d = np.where(real, np.maximum(d, LEAST_SPECIFIC * np.maximum(total, mean[:, None])), 1.0)
+        self.can_buy, self.can_sell = real & ~no_buy, real & (w0 > 0)
+        risk = 2 * np.where(real, np.square(self.load).sum(2) + self.d, 0.0).max(1)
+        self.unit = 1.0 / np.maximum(np.maximum(risk, np.abs(worth).max(1, initial=0.0)), max(cost, 1e-300))
+        self.worth, self.var = worth, np.concatenate([self.can_buy, self.can_sell], 1)
+        self.c = self.unit[:, None] * np.where(self.var, np.concatenate([np.full((m, n), cost), cost - worth], 1), 0.0)
+        self.b = 1.0 - w0.sum(1)
+        self.turnover, self.ball = np.broadcast_to(np.asarray(turnover, float), m), ball
+        capped = ~np.isnan(caps)
+        self.sectors, self.caps = np.where(capped[:, None, :], sectors, 0.0), np.where(capped, caps, 1.0)
+        self.lim = np.concatenate([self.var, self.can_sell, np.ones((m, 1), bool), capped, ~np.isnan(ball)[:, None]], 1)
+        self.ball = np.where(np.isnan(ball), 1.0, ball)
+
+    def take(self, at):
+        out = object.__new__(Accounts)
+        for name in self.FIELDS:
+            setattr(out, name, getattr(self, name)[at])
+        return out
+
+    def trades(self, v):
+        n = self.w0.shape[1]
+        return v[:, :n], v[:, n:]
+
+    def net(self, v):
+        buy, sell = self.trades(v)
+        return buy - sell
+
+    def back(self, g):
+        return np.where(self.var, np.concatenate([g, -g], 1), 0.0)
+
+    def pull(self, active):
+        return (self.load @ (self.load.transpose(0, 2, 1) @ active[:, :, None]))[:, :, 0] + self.d * active
+
+    def active(self, v):
+        return self.w0 + self.net(v) - self.bench
+
+    def variance(self, v):
+        active = self.active(v)
+        return (active * self.pull(active)).sum(1)
+
+    def start(self):
+        return np.where(self.var, 0.1 / self.real.sum(1)[:, None], 0.0)
+
+    def slope(self, v):
+        return self.unit[:, None] * 2 * self.back(self.pull(self.active(v))) + self.c
+
+    def ball_of(self, v):
+        active = self.active(v)
+        pull = self.pull(active)
+        there = self.lim[:, -1]
+        return (active * pull).sum(1) / self.ball - 1.0, np.where(there[:, None], 2 * self.back(pull) / self.ball[:, None], 0.0)
+
+    def _limits(self, v, net, turn, sector, ball):
+        out = np.concatenate([-v, -net, turn[:, None], sector, ball[:, None]], 1)
+        return np.where(self.lim, out, 0.0)
+
+    def limits(self, v):
+        w = self.w0 + self.net(v)
+        return self._limits(v, w, v.sum(1) - self.turnover, self._in_sectors(w) - self.caps, self.ball_of(v)[0])
+
+    def _in_sectors(self, w):
+        return (self.sectors.transpose(0, 2, 1) @ w[:, :, None])[:, :, 0]
+
+    def parts(self, z):
+        n, k = self.w0.shape[1], self.caps.shape[1]
+        return np.split(z, [n, 2 * n, 3 * n, 3 * n + 1, 3 * n + 1 + k], axis=1)
+
+    def prepared(self, v, z, phi):
+        """Functions for one step from v: limits' slopes both ways, Newton's equations, and the Hessian times a vector."""
+        m, n = self.w0.shape
+        ball_slope = self.ball_of(v)[1]
+        zb, zs, zw, turn, sector, ball = self.parts(phi)
+        more = 2 * self.unit + 2 * z[:, -1] / self.ball
+        q = more[:, None] * self.d + zw
+        both, only_b, only_s = self.can_buy & self.can_sell, self.can_buy & ~self.can_sell, self.can_sell & ~self.can_buy
+        det = np.where(both, zb * (zs + q) + zs * q, 1.0)
+        bb = np.where(both, (zs + q) / det, np.where(only_b, 1 / (zb + q), 0.0))
+        bs = np.where(both, q / det, 0.0)
+        ss = np.where(both, (zb + q) / det, np.where(only_s, 1 / (zs + q), 0.0))
+        net = np.concatenate([self.load, self.sectors], 2)
+        low = np.concatenate([np.concatenate([net, -net], 1), np.ones((m, 2 * n, 1)), ball_slope[:, :, None]], 2) * self.var[:, :, None]
+        rank = np.concatenate([np.repeat(more[:, None], self.load.shape[2], 1), sector, turn, ball], 1)
+        diagonal = np.where(rank > 0, 1 / np.where(rank > 0, rank, 1.0), 1.0)
+        low = low * (rank > 0)[:, None, :]
+        a = np.concatenate([np.ones((m, n)), -np.ones((m, n))], 1) * self.var
+
+        def blocks(r):
+            buy, sell = r[:, :n], r[:, n:]
+            up = (lambda k: k) if r.ndim == 2 else (lambda k: k[:, :, None])
+            out = np.concatenate([up(bb) * buy + up(bs) * sell, up(bs) * buy + up(ss) * sell], 1)
+            return out * up(self.var)
+
+        side = np.concatenate([a[:, :, None], low], 2)
+        turned = side.transpose(0, 2, 1)
+        solved = blocks(side)
+        small = turned @ solved
+        at = np.arange(small.shape[1])
+        small[:, at[1:], at[1:]] += diagonal
+        scale = 1 / np.sqrt(np.maximum(small[:, at, at], 1e-300))
+        both_scales = scale[:, :, None] * scale[:, None, :]
+        small = np.linalg.inv(small * both_scales) * both_scales
+
+        def newton(r, gap):
+            part = blocks(r)
+            right = (turned @ part[:, :, None])[:, :, 0]
+            right[:, 0] -= gap
+            found = small @ right[:, :, None]
+            return part - (solved @ found)[:, :, 0], found[:, 0, 0]
+
+        def times(u):
+            moved = self.net(u)
+            return self.back(q * moved) + np.concatenate([zb, zs], 1) * u + (low @ (rank[:, :, None] * (low.transpose(0, 2, 1) @ u[:, :, None])))[:, :, 0]
+
+        def limits_times(u):
+            moved = self.net(u)
+            return self._limits(u, moved, u.sum(1), self._in_sectors(moved), (ball_slope * u).sum(1))
+
+        return a, newton, times, limits_times
+
+    def limits_t(self, v, z):
+        zb, zs, zw, turn, sector, ball = self.parts(z)
+        out = self.back((self.sectors @ sector[:, :, None])[:, :, 0] - zw) - np.concatenate([zb, zs], 1) + turn + ball * self.ball_of(v)[1]
+        return np.where(self.var, out, 0.0)
+
+
+def solve_accounts(p: Accounts, tolerance: float = TOLERANCE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Trades and residual of every account, as ``solve`` finds them; those that are done leave the arrays."""
+    with np.errstate(all="ignore"):
+        return _solve_accounts(p, tolerance, steps)
+
+
+def _solve_accounts(p, tolerance, steps):
+    total = len(p.w0)
+    best, least = p.start(), np.full(total, np.inf)
+    ids, x, y = np.arange(total), p.start(), np.zeros(total)
+    s, z = np.where(p.lim, np.maximum(-p.limits(x), 0.1), 1.0), np.where(p.lim, 1.0, 0.0)
+    room = lambda v, dv: np.minimum(1.0, np.where(p.lim & (dv < 0), v / -dv, 1.0).min(axis=1))
+    for _ in range(steps):
+        n_lim = p.lim.sum(1)
+        a = np.concatenate([p.can_buy, -1.0 * p.can_sell], 1)
+        slope = p.slope(x) + a * y[:, None] + p.limits_t(x, z)
+        equal, limit = (a * x).sum(1) - p.b, p.limits(x)
+        most = [np.abs(slope).max(1), np.abs(equal), np.maximum(limit.max(1), 0.0), np.abs(np.where(p.lim, np.minimum(z, 1.0) * np.minimum(-limit, 1.0), 0.0)).max(1), (s * z).max(1)]
+        residual = np.max(most, axis=0)
+        better = residual < least[ids]
+        best[ids[better]], least[ids[better]] = x[better], residual[better]
+        go = np.isfinite(residual) & ~(residual < tolerance)
+        if not go.any():
+            break
+        if not go.all():
+            p, ids, x, y, s, z, slope, equal, limit, n_lim = p.take(go), ids[go], x[go], y[go], s[go], z[go], slope[go], equal[go], limit[go], n_lim[go]
+        slack, phi = np.where(p.lim, limit + s, 0.0), np.where(p.lim, z / s, 0.0)
+        try:
+            a, newton, times, limits_times = p.prepared(x, z, phi)
+        except np.linalg.LinAlgError:
+            if len(ids) == 1:
+                break
+            for half in np.array_split(np.arange(len(ids)), 2):  # only an account whose own equations are singular stops
+                part, worth = _solve_accounts(p.take(half), tolerance, steps)
+                good = worth < least[ids[half]]
+                best[ids[half][good]], least[ids[half][good]] = part[good], worth[good]
+            break
+
+        def step(target):
+            right = -slope - p.limits_t(x, phi * slack - target / s)
+            dx, dy = np.zeros_like(x), np.zeros_like(y)
+            for _ in range(3):
+                more, change = newton(right - times(dx) - a * dy[:, None], -equal - (a * dx).sum(1))
+                dx, dy = dx + more, dy + change
+            moved = limits_times(dx)
+            return dx, dy, np.where(p.lim, -slack - moved, 0.0), np.where(p.lim, phi * (slack + moved) - target / s, 0.0)
+
+        gap = (s * z).sum(1) / n_lim
+        dx, dy, ds, dz = step(s * z)
+        ahead = ((s + room(s, ds)[:, None] * ds) * (z + room(z, dz)[:, None] * dz) * p.lim).sum(1) / n_lim
+        centre = (ahead / gap) ** 3 * gap
+        dx, dy, ds, dz = step(np.where(p.lim, s * z + ds * dz - centre[:, None], 0.0))
+        along = (0.995 * np.minimum(room(s, ds), room(z, dz)))[:, None]
+        x, y = x + along * dx, y + along[:, 0] * dy
+        s, z = np.where(p.lim, np.maximum(s + along * ds, 1e-30), 1.0), np.where(p.lim, np.maximum(z + along * dz, 1e-30), 0.0)
+    return best, least
