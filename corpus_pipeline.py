@@ -29,6 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays.
 
+    Candidates are what the SimHash index groups, and what MinHash bands find beyond its 4 bits; both are verified.
+
     Repeated rows, null ids and ties: as in ``similar.one_per_group``.  Texts without words are one group.
     """
     session(spark)

@@ -82,3 +82,21 @@ def test_odd_rows_in_every_stage(spark):
             assert {r.doc_id for r in got} == {None, 1, 2, 3, 4, 5} and max(r.sequence_id for r in got) > 100
         else:
             assert {(r.doc_id, r.text) for r in got} >= {(1, None), (2, "")}
+
+
+def test_simhash_index_gives_candidates(spark, monkeypatch):
+    """The stage asks the SimHash index; near copies that its 4 bits reach are found by it, those it groups wrongly do not link."""
+    words = [f"w{i * 7919 % 10007}" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "other"]), 3: " ".join(f"v{i}" for i in range(300)), 4: " ".join(words)}
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    asked = []
+    plain = similar.simhash_candidates
+
+    def seen(classes):
+        out = plain(classes)
+        asked.append(out.collect())
+        return out
+
+    monkeypatch.setattr(similar, "simhash_candidates", seen)
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, FOLDER).collect()) == sorted(set(slow_groups(texts).values())) == [1, 3]
+    assert [len(x) for x in asked] == [1]

@@ -1,8 +1,10 @@
 """One row per near-duplicate group, by the similarity of word shingles.
 
-Documents link if the Jaccard similarity of their sets of five-word shingles is at least 0.8.  MinHash signatures of 20
-bands of 5 rows give the candidates (a pair at exactly 0.8 shares a band with probability 0.9996, nearer pairs more surely);
-every candidate is verified on the shingles themselves.
+Documents link if the Jaccard similarity of their sets of five-word shingles is at least 0.8.  The SimHash index
+(``simhash.groups``, fingerprints at 4 or fewer differing bits) gives the first candidates: each of a component's sets with
+its smallest.  Pairs near 0.8 differ in more bits than that, so MinHash signatures of 20 bands of 5 rows give the rest (a
+pair at exactly 0.8 shares a band with probability 0.9996, nearer pairs more surely); every candidate is verified on the
+shingles themselves, whichever index met it.
 
 Equal sets collapse first; each band's members are then verified against its smallest member only.  What is left are links
 between different components of one band, and those are not looked for in pairs either (``_bridges``).  Components that
@@ -26,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.common import components, discard, forget, settled, trim
 from tidemark.llm.rolling import Prefix, _mix
 
@@ -60,19 +63,21 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """``row, id, node, n, bands`` of ``rows(row, id, text)``; ``node`` is a 64-bit hash of the set of shingles."""
+    """``row, id, node, n, bands, fp`` of ``rows(row, id, text)``; ``node`` is a 64-bit hash of the set of shingles, ``fp`` the SimHash of the text."""
 
     def run(batches):
         forget()
         for batch in batches:
-            sets = [shingles(x) for x in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            sets = [shingles(x) for x in texts]
+            fps = np.array([simhash.fingerprint(x, SHINGLE) for x in texts], np.uint64).view(np.int64)
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             bands = [band_keys(x).view(np.int64) for x in sets]
-            columns = [batch.column(0), batch.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "node", "n", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "node", "n", "bands", "fp"])
         trim()
 
-    return rows.mapInArrow(run, "row string, id long, node long, n long, bands array<long>")
+    return rows.mapInArrow(run, "row string, id long, node long, n long, bands array<long>, fp long")
 
 
 def _sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -156,6 +161,18 @@ def _bridges(members: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def _near(x, y):
+    return F.least(x, y) >= SIMILARITY * F.greatest(x, y) - 1e-9
+
+
+def simhash_candidates(classes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``classes(node, n, fp)``: each node with the smallest of its SimHash component, where their sizes allow the similarity."""
+    found = settled(simhash.groups(classes.select(F.col("node").alias("doc_id"), "fp")), "fingerprint_groups")
+    rows = classes.select("node", "n", "fp").join(found, "fp").where(F.col("node") != F.col("component_id"))
+    rows = rows.join(classes.select(F.col("node").alias("component_id"), F.col("n").alias("m")), "component_id")
+    return rows.where(_near(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+
+
 def groups(rows: DataFrame) -> DataFrame:
     """``group, least`` for every group of ``rows(row, id, text)``; ``least`` has the ``row`` that stands for the group.
 
@@ -164,14 +181,15 @@ def groups(rows: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
     signed = settled(_signed(rows), "signed")
-    classes = settled(signed.groupBy("node").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = settled(signed.groupBy("node").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "classes")
     discard(signed)
+    met = settled(simhash_candidates(classes), "met")
 
     index = classes.select("node", "n", F.explode("bands").alias("band"))
-    near = lambda x, y: F.least(x, y) >= SIMILARITY * F.greatest(x, y) - 1e-9
     same = Window.partitionBy("band")
-    stars = index.withColumn("c", F.min(F.struct("node", "n")).over(same)).where((F.col("node") != F.col("c.node")) & near(F.col("n"), F.col("c.n")))
-    stars = settled(stars.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct(), "pairs")
+    stars = index.withColumn("c", F.min(F.struct("node", "n")).over(same)).where((F.col("node") != F.col("c.node")) & _near(F.col("n"), F.col("c.n")))
+    stars = settled(stars.select(F.col("node").alias("a"), F.col("c.node").alias("b")).union(met).distinct(), "pairs")
+    discard(met)
     sets = _sets(stars.select(F.col("a").alias("node")).union(stars.select("b")), classes, rows)
     pairs, stars = stars, _verified(stars, sets)
     discard(pairs, sets)
