@@ -97,3 +97,28 @@ def test_smoothed_risk_by_hand_and_from_any_month(spark):
     state = got.where(F.col("month") <= cut).groupBy("sec").agg(F.max_by("specific_var", "month").alias("specific_var"))
     later = regress.smoothed_risk(df.where(df.month > cut), security, prior=state)
     assert {(r.sec, r.month): r.specific_var for r in later.collect()} == pytest.approx({k: v for k, v in want.items() if k[1] > cut})
+
+
+def test_gram_is_summed_in_tasks_without_pairs(spark):
+    """Equal to numpy, with overlaps that cancel, factors of some rows only, and no join of a security's factors with themselves."""
+    rng = np.random.default_rng(2)
+    months, factors = [dt.date(2000, 1, 31), dt.date(2000, 2, 29)], ["b", "a", "c", "d"]
+    x = {(s, m, f): float(v) for s in range(30) for m in months for f, v in zip(factors, rng.standard_normal(4)) if (s + len(f)) % 3 or f < "c"}
+    x |= {(s, m, "e"): 1.0 for s in (0, 1) for m in months} | {(s, m, "g"): v for s, v in ((0, 1.0), (1, -1.0)) for m in months}
+    w = {(s, m): (0.5, 0.0 if s == 3 else float(rng.standard_normal())) for s in range(30) for m in months}
+    exposures = spark.createDataFrame([(*k, v) for k, v in x.items()], "sec long, month date, factor string, exposure double")
+    weighted = spark.createDataFrame([(*k, *v) for k, v in w.items()], "sec long, month date, w double, ret double")
+    df = regress.gram(exposures, weighted)
+    got = {(r.month, r.fi, r.fj): r.value for r in df.collect()}
+    want = {}
+    for m in months:
+        for s in range(30):
+            own = {f: v for (a, b, f), v in x.items() if (a, b) == (s, m)}
+            for fi, v in own.items():
+                for fj, u in own.items():
+                    if fi <= fj:
+                        want[m, fi, fj] = want.get((m, fi, fj), 0.0) + 0.5 * v * u
+                want[m, fi, None] = want.get((m, fi, None), 0.0) + 0.5 * v * w[s, m][1]
+    assert got.keys() == want.keys() and want[months[0], "e", "g"] == 0
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
