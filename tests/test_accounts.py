@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.operators import harvest, lots, rebalance
+from tidemark.plans import standins
 
 TRADES = "acct long, sec string, d date, seq long, side string, qty double, price double"
 
@@ -114,3 +116,42 @@ def test_days_near_equal_brute_force(spark):
     got = {(r.acct, r.d): (r.excluded, r.n_excluded) for r in harvest.excluded_securities(s, b).collect()}
     want = {(a, d): sorted({k for c, k, e, _ in sales if (c, e) == (a, d)} | {k for c, k, e, _ in buys if c == a and near(d, e)}) for a, _, d, _ in sales}
     assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("swept", [100_000, 3])
+def test_purchases_near_come_with_lots_and_matches(spark, monkeypatch, swept):
+    """What is counted beside the running quantities equals the counts of ``within_days``, also for accounts with many trades."""
+    rng = random.Random(swept)
+    monkeypatch.setattr(lots, "SWEPT", swept)
+    rows = []
+    for acct in range(8):
+        for i in range(rng.choice((1, 4, 40))):
+            at = day("2024-01-01") + dt.timedelta(rng.randrange(200)) if rng.random() > 0.1 else None
+            rows.append((acct, rng.choice("AB"), at, 100 * acct + i, rng.choice("BBS"), float(rng.choice((1, 2, 5))), 10.0))
+    t = spark.createDataFrame(rows, TRADES)
+    near = lambda x, y: x is not None and y is not None and abs((x - y).days) <= 30
+    count = {r[3]: sum(near(r[2], b[2]) for b in rows if b[4] == "B" and b[:2] == r[:2] and b[3] != r[3]) for r in rows}
+    found = lots.open_lots(t, near=30).collect()
+    assert found and {r.lot: r.purchases for r in found} == {r.lot: count[r.lot] for r in found}
+    matches = lots.fifo(t, near=30).collect()
+    assert matches and all(r.purchases == count[r.sale] for r in matches)
+    assert sorted((r.lot, r.sale, r.used) for r in matches) == sorted((r.lot, r.sale, r.used) for r in lots.fifo(t).collect())
+
+
+@pytest.mark.parametrize("query", ["h64_trades_by_lot", "h67_lots_sold_twice", "h49_harvest_opportunities", "h62_rebalance_triggers"])
+def test_trades_are_worked_out_once(spark, monkeypatch, query):
+    made, whole = [], standins.Tables.trades
+    monkeypatch.setattr(standins.Tables, "trades", lambda self: made.append(1) or whole(self))
+    plans.QUERIES[query](spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1
+
+
+def test_tracking_error_has_tasks_for_its_products(spark, monkeypatch):
+    monkeypatch.setattr(rebalance, "PRODUCTS", 50)
+    w = spark.range(40).select(F.col("id").alias("acct"), F.lit("A").alias("sec"), F.lit(1.0).alias("weight"))
+    r = spark.range(1, 13).select(F.lit("A").alias("sec"), F.expr("last_day(make_date(2024, cast(id as int), 1))").alias("month"), (F.col("id") / 100 * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("ret"))
+    sizes = []
+    whole = type(w).repartition
+    monkeypatch.setattr(type(w), "repartition", lambda self, n, *by: sizes.append(n) or whole(self, n, *by))
+    got = rebalance.account_tracking_error(w, r, r.select("month", F.lit(0.0).alias("bench"))).collect()
+    assert sizes == [10] and len(got) == 40 and {x.n for x in got} == {12}

@@ -36,12 +36,12 @@ def excluded_securities(sales: DataFrame, buys: DataFrame, days: int = 30) -> Da
 
 
 def tax_benefit(lots: DataFrame, accounts: DataFrame, as_of) -> DataFrame:
-    """``lots(acct, sec, lot, bought, remaining, price, last)``: loss, rate by holding period and benefit (0 for gains)."""
+    """``lots(acct, sec, lot, bought, remaining, price, last)``: loss, rate by holding period and benefit (0 for gains); a column ``wash`` is kept."""
     rows = lots.join(accounts, "acct")
     held = F.datediff(F.lit(as_of).cast("date"), F.col("bought"))
     rate = F.when(held >= 365, F.col("long_rate")).otherwise(F.col("short_rate"))
     gain = F.col("remaining") * (F.col("last") - F.col("price"))
-    return rows.select("acct", "sec", "lot", "bought", held.alias("held_days"), gain.alias("gain"), rate.alias("rate"), F.when(gain < 0, -gain * rate).otherwise(0.0).alias("benefit"), (F.col("remaining") * F.col("last")).alias("market_value"))
+    return rows.select("acct", "sec", "lot", "bought", held.alias("held_days"), gain.alias("gain"), rate.alias("rate"), F.when(gain < 0, -gain * rate).otherwise(0.0).alias("benefit"), (F.col("remaining") * F.col("last")).alias("market_value"), *(c for c in ["wash"] if c in lots.columns))
 
 
 def portfolio_benefit(benefits: DataFrame) -> DataFrame:
@@ -81,15 +81,18 @@ def replacements(security: DataFrame, correlation: DataFrame, most: int = 5, lea
     return pairs.withColumns({"similarity": similar, "rank": F.row_number().over(order)}).where(F.col("rank") <= most).select("sec", "candidate", "rank", "similarity")
 
 
-def opportunities(benefits: DataFrame, wash: DataFrame, candidates: DataFrame, least_loss: float = 100.0, top: int = 10) -> DataFrame:
+def opportunities(benefits: DataFrame, wash: DataFrame | None, candidates: DataFrame, least_loss: float = 100.0, top: int = 10) -> DataFrame:
     """Open lots with a loss worth taking, scored, the best ``top`` of each account.
 
     Score: 1000 x (benefit, halved if a wash sale, plus 0.2 x benefit x mean similarity of the three best candidates, or
     times 0.7 without candidates) over the loss; scores equal to six places tie, and go by security and lot.
-    ``wash(acct, sec, lot, wash)``.
+    ``wash(acct, sec, lot, wash)``, or None if ``benefits`` has a column of that name.
     """
     best = candidates.where("rank <= 3").groupBy("sec").agg(F.avg("similarity").alias("similarity"))
-    rows = benefits.where(F.col("gain") <= -least_loss).join(wash.select("acct", "sec", "lot", "wash"), ["acct", "sec", "lot"], "left").join(best, "sec", "left")
+    rows = benefits.where(F.col("gain") <= -least_loss)
+    if wash is not None:
+        rows = rows.join(wash.select("acct", "sec", "lot", "wash"), ["acct", "sec", "lot"], "left")
+    rows = rows.join(best, "sec", "left")
     worth = F.col("benefit") * F.when(F.coalesce("wash", F.lit(False)), 0.5).otherwise(1.0)
     worth = F.when(F.col("similarity").isNull(), worth * 0.7).otherwise(worth + F.col("benefit") * 0.2 * F.col("similarity"))
     rows = rows.withColumn("score", worth / -F.col("gain") * 1000)

@@ -8,10 +8,34 @@ from pyspark.sql import functions as F
 
 #: About so many trades of one account and security are swept by one task; more are cut into ranges of running quantity.
 SWEPT = 100_000
+#: Accounts are dealt into so many buckets to tell those with many trades from the rest.
+BUCKETS = 1 << 16
 #: Quantities up to this are none.
 NOTHING = 1e-9
 
 
+def _dealt(trades: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``trades`` of ordinary accounts, an account in one partition, and those of buckets of accounts with more than ``SWEPT`` (none: None).
+
+    All windows and joins of an account follow on the one exchange of the first part.
+    """
+    trades = trades.where("acct is not null and sec is not null")
+    bucket = F.pmod(F.xxhash64("acct"), F.lit(BUCKETS))
+    many = [r.b for r in trades.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).where(F.col("n") > SWEPT).collect()]
+    plain = trades.where(~bucket.isin(many)) if many else trades
+    return plain.repartition("acct"), trades.where(bucket.isin(many)) if many else None
+
+
+def _plain_running(trades: DataFrame, near: int | None) -> DataFrame:
+    """Trades with ``hi``, the running quantity of their account, security and side, and ``purchases`` within ``near`` days either way."""
+    own = Window.partitionBy("acct", "sec", "side").orderBy("d", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = trades.withColumn("hi", F.sum("qty").over(own))
+    if near is not None:
+        days = Window.partitionBy("acct", "sec").orderBy(F.unix_date("d")).rangeBetween(-near, near)
+        rows = rows.withColumn("purchases", F.when(F.col("d").isNull(), 0).otherwise(F.count_if((F.col("side") == "B") & F.col("d").isNotNull()).over(days)))
+    return rows
+
+
 def _running(trades: DataFrame) -> DataFrame:
     """Trades with ``lo`` and ``hi``, their place in the running quantity of their account, security and side, and ``part``, a range of it.
 
@@ -30,44 +54,79 @@ def _running(trades: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": F.col("hi") - F.col("qty"), "part": part}).drop("_month", "_before", "_parts", "_width")
 
 
-def fifo(trades: DataFrame, causal: bool = False) -> DataFrame:
+def _ends(rows: DataFrame, *more: str) -> DataFrame:
+    """The ends of lots ``l`` and sales ``s`` on the line of running quantities."""
+    near = ["purchases"] if "purchases" in rows.columns else []
+    lot = F.struct("hi", F.col("d").alias("bought"), F.col("seq").alias("lot"), F.col("qty").alias("lot_qty"), F.col("price").alias("cost_price"))
+    sale = F.struct("hi", F.col("d").alias("sold"), F.col("seq").alias("sale"), F.col("qty").alias("sale_qty"), F.col("price").alias("sale_price"), *near)
+    return rows.select("acct", "sec", *more, "hi", "d", "seq", "side", F.when(F.col("side") == "B", lot).alias("l"), F.when(F.col("side") == "S", sale).alias("s"))
+
+
+def fifo(trades: DataFrame, causal: bool = False, near: int | None = None) -> DataFrame:
     """First-in-first-out matches ``(acct, sec, lot, sale, used, …)``: buys and sells as intervals of running quantity.
 
     The ends of all lots and sales of a key lie on one line; between two neighbouring ends exactly one lot and one sale are
     used: those that end next.  So there are at most as many matches as trades, found by one sort with the next end of either
-    kind carried back, over ranges of the line that hand on what ends next behind them.
+    kind carried back.  An account with very many trades is cut into ranges of the line that hand on what ends next behind them.
 
     Lots are consumed in order of purchase even if bought after the sale; ``causal`` keeps matches with earlier lots only.
+    ``near`` adds ``purchases``, those of the same key within so many days of the sale.
     """
     key = ["acct", "sec"]
+    plain, many = _dealt(trades)
+    down = [F.desc("hi"), F.desc("d"), F.desc("seq"), F.desc("side")]
+    back = Window.partitionBy(*key).orderBy(*down)
+    so_far = back.rowsBetween(Window.unboundedPreceding, 0)
+    used = F.col("hi") - F.coalesce(F.lead("hi").over(back), F.lit(0.0))
+    rows = _ends(_plain_running(plain, near)).select(*key, F.last("l", True).over(so_far).alias("l"), F.last("s", True).over(so_far).alias("s"), used.alias("used"))
+    if many is not None:
+        rows = rows.unionByName(_fifo_of_many(many, near, down))
+    hit = rows.where((F.col("used") > NOTHING) & F.col("l").isNotNull() & F.col("s").isNotNull())
+    sale = ("sale", "sold", "sale_qty", "sale_price", *(["purchases"] if near is not None else []))
+    hit = hit.select(*key, *(f"l.{c}" for c in ("lot", "bought", "lot_qty", "cost_price")), *(f"s.{c}" for c in sale), "used")
+    return hit.where("bought <= sold") if causal else hit
+
+
+def _fifo_of_many(trades: DataFrame, near: int | None, down: list) -> DataFrame:
+    """``acct, sec, l, s, used`` as in ``fifo``, range by range."""
+    key = ["acct", "sec"]
     rows = _running(trades)
-    lot = F.struct("hi", F.col("d").alias("bought"), F.col("seq").alias("lot"), F.col("qty").alias("lot_qty"), F.col("price").alias("cost_price"))
-    sale = F.struct("hi", F.col("d").alias("sold"), F.col("seq").alias("sale"), F.col("qty").alias("sale_qty"), F.col("price").alias("sale_price"))
-    rows = rows.select(*key, "part", "hi", "d", "seq", "side", F.when(F.col("side") == "B", lot).alias("l"), F.when(F.col("side") == "S", sale).alias("s"))
+    if near is not None:
+        rows = within_days(rows, trades.where("side = 'B'"), key, near, "purchases")
+    rows = _ends(rows, "part")
     parts = rows.groupBy(*key, "part").agg(F.max("hi").alias("_last"), F.min("l").alias("_lot"), F.min("s").alias("_sale"))
     behind = Window.partitionBy(*key).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(
         *key, "part", F.lag("_last").over(Window.partitionBy(*key).orderBy("part")).alias("_from"),
         F.last("_lot", True).over(behind).alias("_lot"), F.last("_sale", True).over(behind).alias("_sale"),
     )
-    back = Window.partitionBy(*key, "part").orderBy(F.desc("hi"), F.desc("d"), F.desc("seq"), F.desc("side"))
+    back = Window.partitionBy(*key, "part").orderBy(*down)
     so_far = back.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(parts, [*key, "part"]).select(
+    return rows.join(parts, [*key, "part"]).select(
         *key, F.coalesce(F.last("l", True).over(so_far), "_lot").alias("l"), F.coalesce(F.last("s", True).over(so_far), "_sale").alias("s"),
         (F.col("hi") - F.coalesce(F.lead("hi").over(back), "_from", F.lit(0.0))).alias("used"),
     )
-    hit = rows.where((F.col("used") > NOTHING) & F.col("l").isNotNull() & F.col("s").isNotNull())
-    hit = hit.select(*key, *(f"l.{c}" for c in ("lot", "bought", "lot_qty", "cost_price")), *(f"s.{c}" for c in ("sale", "sold", "sale_qty", "sale_price")), "used")
-    return hit.where("bought <= sold") if causal else hit
 
 
-def open_lots(trades: DataFrame) -> DataFrame:
-    """What is left of each lot; lots that are used up drop out.  Needs no match: a lot is open above the total sold."""
+def open_lots(trades: DataFrame, near: int | None = None) -> DataFrame:
+    """What is left of each lot; lots that are used up drop out.  Needs no match: a lot is open above the total sold.
+
+    ``near`` adds ``purchases``, the other ones of the same key within so many days of the lot's.
+    """
     key = ["acct", "sec"]
-    sold = trades.where("side = 'S'").groupBy(*key).agg(F.sum("qty").alias("sold"))
-    lots = _running(trades.where("side = 'B'")).join(sold, key, "left")
+    plain, many = _dealt(trades)
+    sold = F.sum(F.when(F.col("side") == "S", F.col("qty"))).over(Window.partitionBy(*key))
+    lots = _plain_running(plain, near).withColumn("sold", sold).where("side = 'B'")
+    if many is not None:
+        of_many = many.where("side = 'S'").groupBy(*key).agg(F.sum("qty").alias("sold"))
+        more = _running(many.where("side = 'B'")).join(of_many, key, "left")
+        if near is not None:
+            more = within_days(more, many.where("side = 'B'"), key, near, "purchases")
+        lots = lots.unionByName(more.select(lots.columns))
     left = F.least(F.col("qty"), F.greatest(F.lit(0.0), F.col("hi") - F.coalesce("sold", F.lit(0.0))))
-    return lots.withColumn("remaining", left).where(F.col("remaining") > NOTHING).select(*key, F.col("seq").alias("lot"), F.col("d").alias("bought"), "remaining", "price", (F.col("remaining") * F.col("price")).alias("cost"))
+    other = [(F.col("purchases") - F.col("d").isNotNull().cast("long")).alias("purchases")] if near is not None else []
+    lots = lots.withColumn("remaining", left).where(F.col("remaining") > NOTHING)
+    return lots.select(*key, F.col("seq").alias("lot"), F.col("d").alias("bought"), "remaining", "price", (F.col("remaining") * F.col("price")).alias("cost"), *other)
 
 
 def within_days(rows: DataFrame, events: DataFrame, key: list[str], days: int, name: str) -> DataFrame:
@@ -103,9 +162,10 @@ def positions(trades: DataFrame) -> DataFrame:
 
 
 def realised_gains(matches: DataFrame) -> DataFrame:
-    """Proceeds less pro-rata cost of every match, with its holding term."""
+    """Proceeds less pro-rata cost of every match, with its holding term; ``wash`` where the matches count ``purchases`` near the sale."""
     gain = F.col("used") * (F.col("sale_price") - F.col("cost_price"))
-    return matches.select("acct", "sec", "lot", "sale", "sold", "used", gain.alias("gain"), F.when(F.datediff("sold", "bought") < 365, "short").otherwise("long").alias("term"))
+    wash = [(F.col("purchases") > 0).alias("wash")] if "purchases" in matches.columns else []
+    return matches.select("acct", "sec", "lot", "sale", "sold", "used", gain.alias("gain"), F.when(F.datediff("sold", "bought") < 365, "short").otherwise("long").alias("term"), *wash)
 
 
 def select_for_sale(lots: DataFrame, wanted: DataFrame) -> DataFrame:

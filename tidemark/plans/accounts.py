@@ -28,42 +28,45 @@ ben AS (SELECT o.acct, o.sec, lot, bought, CAST(DATE '2001-12-31' - bought AS IN
 
 
 def _buys(t: Tables) -> DataFrame:
-    return t.trades().where("side = 'B'")
+    return t.ledger().where("side = 'B'")
 
 
 def _sales(t: Tables) -> DataFrame:
-    return t.trades().where("side = 'S'").select("acct", "sec", "d", F.col("seq").alias("lot"))
+    return t.ledger().where("side = 'S'").select("acct", "sec", "d", F.col("seq").alias("lot"))
 
 
-def _benefits(t: Tables) -> DataFrame:
-    open_ = lots.open_lots(t.trades()).join(t.last_prices().withColumnRenamed("price", "last"), "sec")
+def _benefits(t: Tables, near: int | None = None) -> DataFrame:
+    """Of the open lots; with ``near``, ``wash`` tells whether another purchase is within so many days of the lot's."""
+    open_ = lots.open_lots(t.ledger(), near=near).join(t.last_prices().withColumnRenamed("price", "last"), "sec")
+    if near is not None:
+        open_ = open_.withColumn("wash", F.col("purchases") > 0)
     return harvest.tax_benefit(open_, t.accounts(), AS_OF)
 
 
 @add("SELECT acct, sec, lot, sale, used FROM m", "used", _LOTS)
 def h39_fifo_matches(t):
-    return lots.fifo(t.trades()).select("acct", "sec", "lot", "sale", "used")
+    return lots.fifo(t.ledger()).select("acct", "sec", "lot", "sale", "used")
 
 
 @add("SELECT acct, sec, lot, sale, used FROM m WHERE bought <= sold", "used", _LOTS)
 def h39_fifo_causal(t):
-    return lots.fifo(t.trades(), causal=True).select("acct", "sec", "lot", "sale", "used")
+    return lots.fifo(t.ledger(), causal=True).select("acct", "sec", "lot", "sale", "used")
 
 
 @add("SELECT acct, sec, lot, bought, remaining, price, cost FROM ol", "remaining price cost", _LOTS, places=4)
 def h39_open_lots(t):
-    return lots.open_lots(t.trades())
+    return lots.open_lots(t.ledger())
 
 
 @add("""SELECT DISTINCT b.acct, b.sec, b.lot, b.bought FROM b JOIN (SELECT acct, sec, sale, sold FROM m GROUP BY acct, sec, sale, sold, sale_qty, sale_price HAVING sale_qty * sale_price < sum(used * cost_price)) l
   ON b.acct = l.acct AND b.sec = l.sec AND abs(b.bought - l.sold) <= 30""", "", _LOTS)
 def h40_loss_sale_flags(t):
-    return lots.loss_sale_flags(lots.fifo(t.trades()), t.trades())
+    return lots.loss_sale_flags(lots.fifo(t.ledger()), t.ledger())
 
 
 @add("SELECT acct, sec, lot, CAST(DATE '2001-12-31' - bought AS INTEGER) AS held_days, CASE WHEN DATE '2001-12-31' - bought < 365 THEN 'short' ELSE 'long' END AS term, cost FROM ol", "cost", _LOTS, places=4)
 def h41_term_classification(t):
-    return lots.classify(lots.open_lots(t.trades()), AS_OF).select("acct", "sec", "lot", "held_days", "term", "cost")
+    return lots.classify(lots.open_lots(t.ledger()), AS_OF).select("acct", "sec", "lot", "held_days", "term", "cost")
 
 
 @add("SELECT acct, sec, sum(CASE WHEN side = 'B' THEN qty ELSE -qty END) AS quantity, count(*) AS trades FROM trades GROUP BY ALL HAVING abs(sum(CASE WHEN side = 'B' THEN qty ELSE -qty END)) > 1e-9", "quantity")
@@ -73,7 +76,7 @@ def h42_positions(t):
 
 @add("SELECT acct, sec, lot, sale, sold, used, used * (sale_price - cost_price) AS gain, CASE WHEN sold - bought < 365 THEN 'short' ELSE 'long' END AS term FROM m", "used gain", _LOTS, places=4)
 def h42_realised_gains(t):
-    return lots.realised_gains(lots.fifo(t.trades()))
+    return lots.realised_gains(lots.fifo(t.ledger()))
 
 
 @add("SELECT acct, sec, d, seq, side, qty, price FROM trades WHERE d BETWEEN DATE '1997-01-01' AND DATE '1997-06-30' AND side = 'S'", "qty price")
@@ -121,7 +124,7 @@ rep AS (SELECT sec, candidate, CAST(row_number() OVER (PARTITION BY sec ORDER BY
 
 def _replacements(t: Tables) -> DataFrame:
     """Of brands, by the correlation of their mean prices of twelve months (monthly price changes of the stand-ins are noise)."""
-    monthly = t.trades().groupBy("sec", F.last_day("d").alias("month")).agg(F.avg("price").alias("p"))
+    monthly = t.ledger().groupBy("sec", F.last_day("d").alias("month")).agg(F.avg("price").alias("p"))
     r = monthly.withColumn("ret", F.avg("p").over(Window.partitionBy("sec").orderBy("month").rowsBetween(-11, 0)))
     a, b = r.select("month", F.col("sec").alias("si"), F.col("ret").alias("x")), r.select("month", F.col("sec").alias("sj"), F.col("ret").alias("y"))
     corr = a.join(b, "month").where("si < sj").groupBy("si", "sj").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
@@ -144,8 +147,7 @@ opp AS (SELECT acct, CAST(row_number() OVER (PARTITION BY acct ORDER BY round(sc
 
 
 def _opportunities(t: Tables) -> DataFrame:
-    open_ = lots.open_lots(t.trades()).select("acct", "sec", F.col("bought").alias("d"), "lot")
-    return harvest.opportunities(_benefits(t), harvest.wash_sales(open_, _buys(t), exclude_own_lot=True), _replacements(t))
+    return harvest.opportunities(_benefits(t, near=30), None, t.keep("replacements", lambda: _replacements(t)))
 
 
 @add("SELECT * FROM opp", "gain benefit score", _FOUND, places=4)
@@ -171,11 +173,17 @@ tg AS (SELECT acct, sec, 1.0::DOUBLE / count(*) OVER (PARTITION BY acct) AS weig
 
 
 def _weights(t: Tables) -> DataFrame:
-    return rebalance.current_weights(lots.positions(t.trades()).where("quantity > 0"), t.last_prices()).drop("trades")
+    held = lots.positions(t.ledger().select("acct", "sec", "side", "qty").repartition("acct"))  # an account's positions together, as its weights need them
+    return rebalance.current_weights(held.where("quantity > 0"), t.last_prices()).drop("trades")
+
+
+def _kept_weights(t: Tables) -> DataFrame:
+    """The weights for a query that reads them more than once."""
+    return t.keep("weights", lambda: _weights(t)).repartition("acct")
 
 
 def _target(t: Tables) -> DataFrame:
-    return _weights(t).select("acct", "sec", (1.0 / F.count("*").over(Window.partitionBy("acct"))).alias("weight"))
+    return _kept_weights(t).select("acct", "sec", (1.0 / F.count("*").over(Window.partitionBy("acct"))).alias("weight"))
 
 
 @add("SELECT acct, sec, quantity, price, value, weight FROM wt", "quantity price value weight", _WEIGHTS, places=4)
@@ -185,12 +193,12 @@ def h52_current_weights(t):
 
 @add("SELECT acct, sqrt(sum((w.weight - g.weight) * (w.weight - g.weight))) AS distance FROM wt w JOIN tg g USING (acct, sec) GROUP BY acct", "distance", _WEIGHTS)
 def h63_weight_distance(t):
-    return rebalance.weight_distance(_weights(t), _target(t))
+    return rebalance.weight_distance(_kept_weights(t), _target(t))
 
 
 @add("""SELECT acct, sec, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS kind, abs(d) AS quantity FROM (SELECT w.acct, w.sec, t.total * g.weight / w.price - w.quantity AS d FROM wt w JOIN tg g USING (acct, sec) JOIN (SELECT acct, sum(value) AS total FROM wt GROUP BY acct) t USING (acct)) WHERE abs(d) > 0.01""", "quantity", _WEIGHTS, places=4)
 def h64_trades(t):
-    w = _weights(t)
+    w = _kept_weights(t)
     return rebalance.trades(w, _target(t), t.last_prices(), w.groupBy("acct").agg(F.sum("value").alias("total")))
 
 
@@ -208,10 +216,11 @@ ords AS (SELECT 'optimiser' AS source, 'buy' AS kind, acct, sec, NULL::BIGINT AS
 
 
 def _lot_orders(t: Tables) -> DataFrame:
-    w = t.keep("weights", lambda: _weights(t))
+    w = _kept_weights(t)
     total = w.groupBy("acct").agg(F.sum("value").alias("total"))
-    found, held = t.keep("opportunities", lambda: _opportunities(t)), t.keep("open_lots", lambda: lots.open_lots(t.trades()))
-    return rebalance.trades_by_lot(w, _target(t), t.last_prices(), total, held, found, _replacements(t))
+    found, held = t.keep("opportunities", lambda: _opportunities(t)), t.keep("open_lots", lambda: lots.open_lots(t.ledger()))
+    held, found = held.repartition("acct"), found.repartition("acct")  # all joins and windows below are an account's
+    return rebalance.trades_by_lot(w, _target(t), t.last_prices(), total, held, found, t.keep("replacements", lambda: _replacements(t)))
 
 
 @add("SELECT acct, source, kind, sec, lot, quantity, price, benefit FROM ords JOIN last_prices USING (sec)", "quantity price benefit", _ORDERS, places=4)
@@ -223,12 +232,12 @@ def h64_trades_by_lot(t):
   JOIN ol ON ol.acct = o.acct AND ol.sec = o.sec AND ol.lot = o.lot WHERE o.kind = 'sell' AND q > remaining + 1e-9""", "quantity", _ORDERS, places=4)
 def h67_lots_sold_twice(t):
     """Lots that the optimiser's sales and a harvest sell more of than there is."""
-    return rebalance.lot_oversells(_lot_orders(t), t.keep("open_lots", lambda: lots.open_lots(t.trades()))).select("acct", "sec", "lot", "source", "quantity")
+    return rebalance.lot_oversells(_lot_orders(t), t.keep("open_lots", lambda: lots.open_lots(t.ledger()))).select("acct", "sec", "lot", "source", "quantity")
 
 
 @add("""SELECT acct, sec, lot, bought, lot % 2 = 0 AS harvest, least(remaining, want - before) AS take FROM (SELECT *, coalesce(sum(remaining) OVER (PARTITION BY acct, sec ORDER BY lot % 2, bought, lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(remaining) OVER (PARTITION BY acct, sec) / 2 AS want FROM ol) WHERE want - before > 1e-9""", "take", _LOTS)
 def h65_lot_selection(t):
-    open_ = lots.open_lots(t.trades()).withColumn("harvest", F.col("lot") % 2 == 0)
+    open_ = lots.open_lots(t.ledger()).withColumn("harvest", F.col("lot") % 2 == 0)
     return lots.select_for_sale(open_, open_.groupBy("acct", "sec").agg((F.sum("remaining") / 2).alias("qty")))
 
 
@@ -252,13 +261,12 @@ def h67_compliance(t):
   FROM (SELECT m.acct, sold, used * (sale_price - cost_price) AS g, sold - bought >= 365 AS long, w.wash FROM m JOIN wash w ON w.acct = m.acct AND w.sec = m.sec AND w.lot = m.sale) GROUP BY ALL)""",
      "gains losses long_net short_net wash_adjustment net long_estimate short_estimate", _LOTS.strip() + "," + _WASH, places=3)
 def h69_tax_report(t):
-    washed = harvest.wash_sales(_sales(t), _buys(t)).withColumnRenamed("lot", "sale")
-    return rebalance.tax_report(lots.realised_gains(lots.fifo(t.trades())), washed)
+    return rebalance.tax_report(lots.realised_gains(lots.fifo(t.ledger(), near=30)))
 
 
 @add("SELECT o.acct, o.sec, sum(remaining) AS quantity, sum(remaining * l.price) AS value, sum(remaining * (l.price - o.price)) AS unrealised, count(*) AS lots FROM ol o JOIN last_prices l ON o.sec = l.sec GROUP BY ALL", "quantity value unrealised", _LOTS, places=3)
 def h70_positions_report(t):
-    return rebalance.positions_report(lots.open_lots(t.trades()), t.last_prices())
+    return rebalance.positions_report(lots.open_lots(t.ledger()), t.last_prices())
 
 
 @add("SELECT l_orderkey, l_linenumber, l_extendedprice / (1 + l_discount) AS acquisition_price FROM lineitem", "acquisition_price", places=5)
@@ -287,8 +295,8 @@ def h74_resolve_tickers(t):
 
 
 def _account_returns(t: Tables) -> DataFrame:
-    monthly = t.trades().groupBy("sec", F.last_day("d").alias("month")).agg(F.avg("price").alias("price"), F.sum("qty").alias("cap"))
-    return prices.monthly_returns(monthly)
+    monthly = t.ledger().groupBy("sec", F.last_day("d").alias("month")).agg(F.avg("price").alias("price"), F.sum("qty").alias("cap"))
+    return t.keep("account_returns", lambda: prices.monthly_returns(monthly))
 
 
 @add("""SELECT acct, count(*) AS n, stddev_samp(a) * sqrt(12.0) AS tracking_error, avg(a) * 12 / (stddev_samp(a) * sqrt(12.0)) AS information_ratio FROM (SELECT acct, month, sum(weight * ret) - any_value(bench) AS a FROM wt JOIN rt USING (sec) JOIN (SELECT month, avg(ret) AS bench FROM rt WHERE ret IS NOT NULL GROUP BY month) USING (month) WHERE ret IS NOT NULL GROUP BY acct, month) GROUP BY acct HAVING count(*) >= 10""",
@@ -296,7 +304,7 @@ def _account_returns(t: Tables) -> DataFrame:
 def h51_account_tracking_error(t):
     r = _account_returns(t)
     bench = r.where("ret is not null").groupBy("month").agg(F.avg("ret").alias("bench"))
-    return rebalance.account_tracking_error(_weights(t), r, bench)
+    return rebalance.account_tracking_error(t.keep("weights", lambda: _weights(t)), r, bench)
 
 
 def _sector_model(t: Tables):
@@ -339,7 +347,7 @@ te AS (SELECT acct, count(*) AS n, stddev_samp(a) * sqrt(12.0) AS tracking_error
 def _tracking(t: Tables) -> DataFrame:
     r = _account_returns(t)
     bench = r.where("ret is not null").groupBy("month").agg(F.avg("ret").alias("bench"))
-    return rebalance.account_tracking_error(_weights(t), r, bench)
+    return rebalance.account_tracking_error(t.keep("weights", lambda: _weights(t)), r, bench)
 
 
 @add("""SELECT coalesce(x.acct, h.acct) AS acct, coalesce(tracking_error > 1.5, false) AS by_tracking_error, coalesce(significant > 0, false) AS by_harvest, coalesce(DATE '2001-12-31' - last >= 30, true) AS by_time, h.acct IS NOT NULL AS by_hand,
@@ -357,4 +365,4 @@ def h62_rebalance_triggers(t):
   (SELECT acct, sum(-g * CASE WHEN long THEN long_rate ELSE short_rate END) AS executed_benefit FROM (SELECT acct, used * (sale_price - cost_price) AS g, sold - bought >= 365 AS long FROM m) JOIN accounts USING (acct) WHERE g < 0 GROUP BY acct) b ON b.acct = te.acct""",
      "tracking_error information_ratio executed_benefit", _LOTS.strip() + "," + _TRACKING, places=3)
 def h68_performance_report(t):
-    return rebalance.performance_report(_tracking(t), lots.realised_gains(lots.fifo(t.trades())), t.accounts())
+    return rebalance.performance_report(_tracking(t), lots.realised_gains(lots.fifo(t.ledger())), t.accounts())
