@@ -48,3 +48,20 @@ def test_odd_rows(spark):
     odd = "ΟΔΟΣ é ́x İ<|endoftext|> it's a b\x1c\x85c ① don't!!!??"
     check(spark, [(1, None), (2, ""), (3, " \n"), (4, odd), (4, odd), (None, "a b"), (6, "z" * 5000), (7, "a b " * 3000)], 64)
     assert check(spark, []) == []
+
+
+def test_new_words_are_encoded_as_lines():
+    """Ids of words do not depend on the words beside them in a line, and a line is one call of the tokenizer."""
+    texts = [r + " ΟΔΟΣ é ́x İ it's \x85 a\x85 ①!? <|endoftext|> " + "z" * 300 for r in (" ".join(f"w{i}q{j}" for i in range(700)) for j in range(2))] + [None, "", "ΟΔΟΣ"]
+    encoder, calls = packing.WordEncoder(PATH), []
+    tokenizer = encoder._tokenizer
+
+    class Counted:
+        def encode(self, line, **more):
+            calls.append(len(line.split(" ")))
+            return tokenizer.encode(line, **more)
+
+    encoder._tokenizer = Counted()
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.each(texts)]
+    assert got == [tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert len(calls) == 3 and sum(calls) == len({w for x in texts for w in (x or "").encode().split()})

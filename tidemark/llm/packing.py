@@ -23,6 +23,8 @@ WINDOW = 2048
 END_ID = 1
 #: Encoded words in each of the two generations a worker remembers; a limit on its memory, not on the texts.
 CACHE_WORDS = 250_000
+#: Words of texts that are looked up together, and new ones encoded as one line: an encoding for each would cost more than its ids.
+TOGETHER, LINE = 50_000, 512
 
 
 class WordEncoder:
@@ -43,22 +45,39 @@ class WordEncoder:
         self._older: dict[bytes, bytes] = {}
 
     def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8").split()
+        return self.each([text])[0]
+
+    def each(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text; new words are looked up for some texts at once."""
+        out, some, n = [], [], 0
+        for text in texts:
+            some.append((text or "").encode("utf-8").split())
+            n += len(some[-1])
+            if n >= TOGETHER:
+                out += self._ids(some)
+                some, n = [], 0
+        return out + self._ids(some)
+
+    def _ids(self, texts: list[list[bytes]]) -> list[bytes]:
         if len(self._known) > CACHE_WORDS:  # words in use move to the new generation, others are forgotten with the old
             self._known, self._older = {}, self._known
-        known, older = self._known, self._older
-        if new := [w for w in set(words) if w not in known]:
-            unseen = []
-            for w in new:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    unseen.append(w)
-            for at in range(0, len(unseen), 4096):
-                part = unseen[at : at + 4096]
-                for w, x in zip(part, self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    known[w] = np.array(x.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        known, older, unseen = self._known, self._older, []
+        for w in set().union(*texts).difference(known):
+            if w in older:
+                known[w] = older[w]
+            else:
+                unseen.append(w)
+        for at in range(0, len(unseen), LINE):
+            part = unseen[at : at + LINE]
+            known.update(zip(part, self._new([w.decode() for w in part])))
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of words, encoded as one line and cut where tokens reach beyond a word and the space behind it."""
+        line = self._tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, ends = np.array(line.ids, "<u4").tobytes(), np.array([end for _, end in line.offsets], np.int64)
+        cuts = 4 * np.searchsorted(ends, np.cumsum([len(w) + 1 for w in words]), "right")
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -76,7 +95,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     def run(batches):
         encode, part, at = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [encode(x) + end for x in batch.column(1).to_pylist()]
+            ids = [x + end for x in encode.each(batch.column(1).to_pylist())]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             places = at + np.cumsum(n) - n
             at += int(n.sum())
