@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing, quality, similar, substring
-from tidemark.llm.common import session, settled, spare
+from tidemark.llm.common import session, settled, spare, tidy
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,4 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = session(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), name)
+        tidy(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -53,6 +53,12 @@ def trim() -> None:
         give_back(0)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what finished jobs have left on the driver: broadcasts, shuffle records and compiled plans go with their last reference,
+    which a driver that has little to do of its own would find late."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given by its edges.
 
@@ -64,16 +70,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct()
     pairs = settled(pairs, "edges")
+    known = _signature(pairs)
     while True:
         both = pairs.union(pairs.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = settled(large, "edges")  # read twice: one small plan each instead of one that holds it twice
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lowest, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         after = settled(small.union(lowest).distinct(), "edges")
-        done = _signature(after) == _signature(pairs)
-        discard(pairs)
-        if done:
+        before, known = known, _signature(after)
+        discard(pairs, large)
+        if known == before:
             return after.toDF("node", "component").union(after.select("lo", "lo").distinct())
         pairs = after
 

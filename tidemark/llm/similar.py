@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import components, discard, forget, settled, trim
+from tidemark.llm.common import components, discard, forget, settled, tidy, trim
 from tidemark.llm.rolling import Prefix, _mix
 
 SHINGLE = 5
@@ -184,6 +184,7 @@ def groups(rows: DataFrame) -> DataFrame:
     classes = settled(signed.groupBy("node").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "classes")
     discard(signed)
     met = settled(simhash_candidates(classes), "met")
+    tidy(rows.sparkSession)
 
     index = classes.select("node", "n", F.explode("bands").alias("band"))
     same = Window.partitionBy("band")
@@ -196,6 +197,7 @@ def groups(rows: DataFrame) -> DataFrame:
     linked = components(stars)
     found = settled(linked, "stars").withColumnRenamed("node", "_node")
     discard(stars, linked)
+    tidy(rows.sparkSession)
 
     labelled = classes.join(found, classes["node"] == found["_node"], "left").select("node", "n", "bands", "least", F.coalesce("component", "node").alias("c"))
     labelled = settled(labelled, "labelled")
@@ -205,6 +207,7 @@ def groups(rows: DataFrame) -> DataFrame:
     blocks = components(index, "c", "low").toDF("c", "block")
     members = settled(index.select("node", "n", "c").distinct().join(blocks, "c"), "members")
     sets = _sets(members.select("node"), classes, rows)
+    tidy(rows.sparkSession)
     joined = _bridges(members, sets).toDF("_node", "group")
     discard(sets, members, index, found, classes)
     full = labelled.join(joined, labelled["c"] == joined["_node"], "left").select(F.coalesce("group", "c").alias("group"), "least")
