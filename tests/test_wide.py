@@ -76,3 +76,13 @@ def test_model_is_made_without_a_row_for_each_factor(spark, tables):
     for df in (returns_of, wide.residuals(rows, returns_of.localCheckpoint())):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_attribution_leaves_out_months_without_a_return(spark):
+    """A security's first month has exposures but no return: it has no row, also where others already have factor returns."""
+    day = dt.date(2000, 2, 29)
+    x = spark.createDataFrame([(1, day, "country:US", 1.0), (2, day, "country:US", 1.0)], "sec long, month date, factor string, exposure double")
+    f = spark.createDataFrame([(day, "country:US", 0.02)], "month date, factor string, factor_return double")
+    rest = spark.createDataFrame([(1, day, 0.01)], "sec long, month date, residual double")
+    got = {(r.sec, r.source): r.contribution for r in regress.attribution(x, f, rest).collect()}
+    assert got == {(1, "country:US"): 0.02, (1, "residual"): 0.01}
