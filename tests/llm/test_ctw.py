@@ -2,6 +2,10 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pytest
+
 from tidemark.llm import ctw
 
 SCHEMA = "doc_id long, text string, gram string, out string"
@@ -89,6 +93,36 @@ def test_against_definition(spark):
     check(spark, rows, 0)
 
 
+def test_levels_are_built_slice_by_slice(monkeypatch):
+    """A shard's memory is bounded by a slice, however many grams it holds, and its roots are the same; one context is never cut."""
+    rng = np.random.default_rng(3)
+    texts = [(97 + rng.integers(0, 11, 900) % 9).astype(np.uint8).tobytes() for _ in range(5)]
+    grams, n = ctw._table(texts, 4)
+    whole = ctw.Levels(grams, n, 4, 2)
+    monkeypatch.setattr(ctw, "SLICE", 40)
+    parts = list(ctw._slices(grams, 4, 2))
+    assert len(parts) > 3 and [p.start for p in parts[1:]] == [p.stop for p in parts[:-1]] and parts[-1].stop == len(grams)
+    context = grams >> np.uint64(24)
+    assert all(context[p.start] != context[p.start - 1] for p in parts[1:])
+    levels = [ctw.Levels(grams[p], n[p], 4, 2) for p in parts]
+    want = whole.roots().sort_values("node")
+    got = pd.concat([x.roots() for x in levels]).sort_values("node")
+    assert (got.to_numpy() == want.to_numpy()).all()
+    above = [want["node"].to_numpy(), np.full(len(want), 0.01), np.full(len(want), 0.9)]
+    assert (np.concatenate([x.log10(grams[p], *above) for x, p in zip(levels, parts)]) == whole.log10(grams, *above)).all()
+
+
+@pytest.mark.parametrize("depth, chunk", [(0, 50), (3, 1 << 21), (6, 50), (7, 50)])
+def test_sums_of_texts_looked_up_together(monkeypatch, depth, chunk):
+    monkeypatch.setattr(ctw, "_CHUNK", chunk)
+    texts = [b"", b"ab ab abc", b"zz"] + [bytes((i * k) % 251 for i in range(k)) for k in range(300)]
+    grams, _ = ctw._table(texts, depth)
+    values = np.sqrt(np.arange(len(grams)) + 1)
+    value = dict(zip(grams.tolist(), values.tolist()))
+    want = [sum(value[g] for p in ctw.grams_of(t, depth) for g in p.tolist()) for t in texts]
+    assert np.allclose(ctw._sums(texts, depth, grams, values), want, rtol=1e-12)
+
+
 def test_compresses_and_empty(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.held_out: r.b for r in ctw.score(docs).groupBy("held_out").agg({"bits_per_byte": "avg"}).toDF("held_out", "b").collect()}

@@ -36,6 +36,8 @@ BUCKET_BYTES = 16 << 20
 #: Shards for each bucket: a bucket has far more grams than it has anchors.
 SHARDS = 2
 _CHUNK = 1 << 21
+#: About so many grams of a shard have their levels in memory at once.
+SLICE = 1 << 18
 _LN2 = 0.6931471805599453
 
 
@@ -90,6 +92,52 @@ def _added(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return g[start], np.add.reduceat(n, start) if len(g) else n
 
 
+def _slices(grams: np.ndarray, depth: int, top: int):
+    """Cuts sorted grams into ranges of about ``SLICE``: those of one context of ``top`` bytes stay together, and share no level below it with others."""
+    context, at = grams >> np.uint64(8 * (depth + 1 - top)), 0
+    while at < len(grams):
+        end = len(grams)
+        if at + SLICE < end:
+            end = int(np.searchsorted(context, context[at + SLICE]))
+            end = end if end > at else int(np.searchsorted(context, context[at], "right"))
+        yield slice(at, end)
+        at = end
+
+
+def _sums(texts: list[bytes], depth: int, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of the ``values`` of all grams of each text (``grams`` sorted).
+
+    The bits that a gram leaves free tell which text it is from, so some texts are sorted together and ask once for each distinct gram.
+    """
+    free = 8 * (7 - depth)
+    out, shift, mask = np.zeros(len(texts)), np.uint64(free), np.uint64((1 << free) - 1)
+
+    def add(waiting: list[np.ndarray], first: int) -> None:
+        keys = np.sort(np.concatenate(waiting))
+        own = keys >> shift
+        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        value = np.repeat(values[np.searchsorted(grams, own[start])], np.diff(np.r_[start, len(own)]))
+        part = np.bincount((keys & mask).astype(np.int64), value)
+        out[first : first + len(part)] += part
+
+    waiting, room, first = [], 0, 0
+    for i, data in enumerate(texts):
+        if i - first >= 1 << free:
+            add(waiting, first)
+            waiting, room, first = [], 0, i
+        for piece in grams_of(data, depth):
+            waiting.append(piece << shift | np.uint64(i - first))
+            room += len(piece)
+            if room > _CHUNK:
+                add(waiting, first)
+                waiting, room = [], 0
+        if not waiting:
+            first = i + 1
+    if waiting:
+        add(waiting, first)
+    return out
+
+
 def _planes(x: np.ndarray) -> np.ndarray:
     """Steps of a sorted list of 64-bit integers as byte planes: the high ones are nearly all zero and compress to nothing."""
     return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
@@ -248,23 +296,22 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES,
         return (_mix(grams >> np.uint64(8 * (depth + 1 - top))) % np.uint64(shards)).astype(np.int32)
 
     def tables(ids: list, texts: list[bytes]):
-        """A bucket's distinct grams by shard, with training counts; and its distinct words alike."""
+        """A bucket's distinct grams with training counts, their order by shard and its ends; and its distinct words alike."""
         out = np.array([_is_held_out(i) for i in ids], bool)
         learnt, n = _table([t for t, o in zip(texts, out) if not o], depth)
         other, _ = _table([t for t, o in zip(texts, out) if o], depth)
         grams, n = _added([learnt, other], [n, np.zeros(len(other), np.int64)])
         shard = shard_of(grams)
         order = np.argsort(shard, kind="stable")  # sorted within a shard
-        grams, n = grams[order], n[order]
         ends = np.searchsorted(shard[order], np.arange(shards + 1))
         words = [_word_hashes(t) for t in texts]
         word, back = np.unique(np.concatenate(words), return_inverse=True)
         w = np.bincount(back, np.repeat(~out, [len(x) for x in words]), len(word)).astype(np.int64)
-        return out, grams, n, ends, words, word, w
+        return out, grams, n, order, ends, words, word, w
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, grams, n, ends, _, word, w = tables(*opened(pdf))
-        at = cuts(word, shards)
+        _, grams, n, order, ends, _, word, w = tables(*opened(pdf))
+        grams, n, at = grams[order], n[order], cuts(word, shards)
         runs = {}
         for s in np.flatnonzero((np.diff(ends) > 0) | (np.diff(at) > 0)).tolist():
             a, b, c, d = ends[s], ends[s + 1], at[s], at[s + 1]
@@ -284,29 +331,27 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES,
         forget()
         _, _, grams, n, _, total = summed(pdf)
         facts = pd.DataFrame({"node": [-1], "n0": [int((total > 0).sum())], "n1": [int(total.sum())], "pw": [0.0]})
-        return pd.concat([Levels(grams, n, depth, top).roots(), facts]) if len(grams) else facts
+        return pd.concat([*(Levels(grams[x], n[x], depth, top).roots() for x in _slices(grams, depth, top)), facts])
 
     def answer(asked: pd.DataFrame, mixed: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             return outgoing(0, {}, width)
         got, keys, grams, n, word, total = summed(asked)
-        logp = np.zeros(0)
-        if len(grams):
-            mixed = mixed.sort_values("node")
-            logp = Levels(grams, n, depth, top).log10(grams, *(mixed[c].to_numpy() for c in ("node", "sum", "rest")))
+        mixed = mixed.sort_values("node")
+        above = [mixed[c].to_numpy() for c in ("node", "sum", "rest")]
+        logp = np.concatenate([np.zeros(0), *(Levels(grams[x], n[x], depth, top).log10(grams[x], *above) for x in _slices(grams, depth, top))])
         runs = {b: pack(logp[np.searchsorted(grams, k)], _narrow(total[np.searchsorted(word, x[2])])) for (b, x), k in zip(got, keys)}
         return outgoing(int(asked["dst"].iloc[0]), runs, width)
 
     def tell(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         ids, texts = opened(pdf)
-        out, grams, _, _, words, word, _ = tables(ids, texts)
+        out, grams, _, order, _, words, word, _ = tables(ids, texts)
         got = [unpack(x) for _, x in incoming(told, width)]
-        order = np.argsort(grams)
-        logp, grams = np.concatenate([x[0] for x in got])[order], grams[order]
+        logp = np.zeros(len(grams))
+        logp[order] = np.concatenate([x[0] for x in got])
         count = np.concatenate([x[1].astype(np.int64) for x in got])
         rows = []
-        for i, o, text, w in zip(ids, out, texts, words):
-            total = sum(logp[np.searchsorted(grams, np.sort(piece))].sum() for piece in grams_of(text, depth))  # neighbours find neighbours
+        for i, o, text, w, total in zip(ids, out, texts, words, _sums(texts, depth, grams, logp)):
             c = count[np.searchsorted(word, w)]
             rows.append((i, bool(o), len(text), len(w), int((c > 0).sum()), float(np.log10(c + 1).sum()), float(total)))
         return pd.DataFrame(rows, columns=["doc_id", "out", "n_bytes", "n_words", "known", "base", "score"]).astype({"doc_id": "Int64"})
