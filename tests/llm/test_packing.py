@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing
+from tidemark.llm import packing, queries
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, part string, ids string"
@@ -65,3 +65,16 @@ def test_new_words_are_encoded_as_lines():
     got = [np.frombuffer(x, "<u4").tolist() for x in encoder.each(texts)]
     assert got == [tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
     assert len(calls) == 3 and sum(calls) == len({w for x in texts for w in (x or "").encode().split()})
+
+
+def test_a_worker_remembers_the_words_of_some_tasks(spark, monkeypatch):
+    """Twice 700,000 distinct words: with generations of 250,000 all of them were encoded twice."""
+    made, whole = [], packing.token_blocks
+    monkeypatch.setattr(packing, "token_blocks", lambda *a: made.append(a) or whole(*a))
+    queries.op2_packing(spark, "/root/testdata/sf0.001")
+    encoder, new = packing.WordEncoder(PATH, made[0][3]), []
+    encoder._new = lambda words: new.append(len(words)) or [b""] * len(words)
+    for _ in range(2):
+        for at in range(0, 700_000, packing.TOGETHER):
+            encoder.each([" ".join(map(str, range(at, at + packing.TOGETHER)))])
+    assert sum(new) == 700_000

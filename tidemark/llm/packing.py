@@ -34,13 +34,14 @@ class WordEncoder:
     builds a token across white space; so each distinct word needs to be encoded once only.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._remember = remember
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
@@ -59,7 +60,7 @@ class WordEncoder:
         return out + self._ids(some)
 
     def _ids(self, texts: list[list[bytes]]) -> list[bytes]:
-        if len(self._known) > CACHE_WORDS:  # words in use move to the new generation, others are forgotten with the old
+        if len(self._known) > self._remember:  # words in use move to the new generation, others are forgotten with the old
             self._known, self._older = {}, self._known
         known, older, unseen = self._known, self._older, []
         for w in set().union(*texts).difference(known):
@@ -80,12 +81,12 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, remember: int = CACHE_WORDS) -> WordEncoder:
     """One encoder per worker process and file, until the worker turns to another stage."""
-    return held(("words", path), lambda: WordEncoder(path))
+    return held(("words", path, remember), lambda: WordEncoder(path, remember))
 
 
-def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, remember: int = CACHE_WORDS) -> DataFrame:
     """Per document: ``part``, ``at`` (tokens before it in its part), ``doc_id``, ``n_tokens`` and ``ids`` with the end id.
 
     The table is settled, so part numbers and places stay as they are even if a later task runs twice.
@@ -93,7 +94,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, part, at = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(tokenizer_path, remember), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [x + end for x in encode.each(batch.column(1).to_pylist())]
             n = np.array([len(x) // 4 for x in ids], np.int64)
@@ -109,15 +110,16 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     return settled(rows.mapInArrow(run, "part int, at long, doc_id long, n_tokens long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, remember: int = CACHE_WORDS) -> DataFrame:
     """Pieces of documents and the sequence each lies in.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` (unsigned little-endian
     32-bit) if ``with_ids``.  A null text counts as empty and gives one piece with the end id alone; a null doc_id and
     repeated rows are packed like any other row; a text of any length is encoded whole and cut as often as need be; other
-    columns are ignored; an empty table gives no pieces.
+    columns are ignored; an empty table gives no pieces.  ``remember`` is the number of words in each generation a worker
+    remembers: about 330 bytes of its memory each, against encoding rarer words again.
     """
-    blocks = token_blocks(docs, tokenizer_path, end_id)
+    blocks = token_blocks(docs, tokenizer_path, end_id, remember)
     totals = {r.part: r.n for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a number per partition
     sizes = np.zeros(max(totals, default=-1) + 1, np.int64)
     sizes[list(totals)] = list(totals.values())

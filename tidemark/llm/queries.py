@@ -10,6 +10,10 @@ from tidemark.llm import bpe, chat, ctw, fim, neighbours, packing, quality, simh
 from tidemark.llm.common import session
 
 
+#: Words that a worker of op2_packing remembers in each generation; in the pipeline its memory is shared with more, so it keeps the default.
+REMEMBERED = 800_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,7 +23,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, remember=REMEMBERED)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
