@@ -155,3 +155,24 @@ def test_tracking_error_has_tasks_for_its_products(spark, monkeypatch):
     monkeypatch.setattr(type(w), "repartition", lambda self, n, *by: sizes.append(n) or whole(self, n, *by))
     got = rebalance.account_tracking_error(w, r, r.select("month", F.lit(0.0).alias("bench"))).collect()
     assert sizes == [10] and len(got) == 40 and {x.n for x in got} == {12}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trades_are_sorted_once_for_open_lots(spark):
+    """Running quantities, purchases near and totals sold follow on one sort; each sort of all trades spills where they are many."""
+    t = trades(spark, [("2024-01-15", "B", 100, 180), ("2024-02-01", "S", 50, 170)])
+    assert plan_of(lots.open_lots(t, near=30)).count("Sort [") == 1
+
+
+def test_last_prices_do_not_sort_trades(spark, monkeypatch):
+    t = standins.Tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(t, "keep", lambda name, make: make())
+    rows = t.ledger().collect()
+    t._kept["trades"] = ledger = spark.createDataFrame(rows, t.ledger().schema)
+    monkeypatch.setattr(t, "ledger", lambda: ledger)
+    plan = plan_of(t.last_prices())
+    assert "HashAggregate(keys=[sec" in plan and plan.count("SortAggregate") == 2  # of days only
+    assert {r.sec: r.price for r in t.last_prices().collect()} == {r.sec: r.price for r in sorted(rows, key=lambda r: (r.d, r.seq))}

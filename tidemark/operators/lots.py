@@ -27,13 +27,17 @@ def _dealt(trades: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _plain_running(trades: DataFrame, near: int | None) -> DataFrame:
-    """Trades with ``hi``, the running quantity of their account, security and side, and ``purchases`` within ``near`` days either way."""
-    own = Window.partitionBy("acct", "sec", "side").orderBy("d", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("hi", F.sum("qty").over(own))
+    """Trades with ``hi``, the running quantity of their account, security and side, and ``purchases`` within ``near`` days either way.
+
+    All windows, and those over whole keys behind them, share one order of the rows: account, security, day and ``seq``.
+    """
+    buy, line = F.col("side") == "B", Window.partitionBy("acct", "sec").orderBy("_day", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = trades.withColumn("_day", F.unix_date("d"))
+    rows = rows.withColumn("hi", F.when(buy, F.sum(F.when(buy, F.col("qty"))).over(line)).otherwise(F.sum(F.when(~buy, F.col("qty"))).over(line)))
     if near is not None:
-        days = Window.partitionBy("acct", "sec").orderBy(F.unix_date("d")).rangeBetween(-near, near)
-        rows = rows.withColumn("purchases", F.when(F.col("d").isNull(), 0).otherwise(F.count_if((F.col("side") == "B") & F.col("d").isNotNull()).over(days)))
-    return rows
+        days = Window.partitionBy("acct", "sec").orderBy("_day").rangeBetween(-near, near)
+        rows = rows.withColumn("purchases", F.when(F.col("d").isNull(), 0).otherwise(F.count_if(buy & F.col("d").isNotNull()).over(days)))
+    return rows.drop("_day")
 
 
 def _running(trades: DataFrame) -> DataFrame:
